@@ -1,19 +1,22 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams.
 
 Every document orders its n-grams from rare to frequent and gives a prefix of them
-as tokens.  If two sets have a similarity of at least t, their prefixes of length
-n - ceil(t * n) + k share at least k tokens, for every k.  Each document picks the
-k of least estimated cost: a longer prefix costs more postings, but fewer of its
-candidates share k tokens and have to be verified.  A pair is a candidate if it
-shares as many tokens as the less demanding of its two documents asks for.
+as tokens.  Two sets of n and m n-grams with a similarity of at least t have at least
+o = t / (1 + t) * (n + m) in common; then their prefixes of length n - o + k and
+m - o + k share at least k tokens, for every k.  Each document picks the k of least
+estimated cost: a longer prefix costs more postings, but fewer of its candidates
+share k tokens and have to be verified.  A pair is a candidate if it shares as many
+tokens as the less demanding of its two documents asks for, in prefixes of the
+lengths that follow for it.
 
 Frequencies come from a table of counts of fixed size over all documents (see
 ``sketch``); they set the order and the cost, never the result.
 
 Documents with equal sets are one class and take part once.  Where many classes
-share a token, each is first compared with one leader; classes that this links are
-not compared with each other again, only across components, so a group of
-thousands of near copies costs no pairs within it.
+share a token, each is first compared with a few leaders, other ones in each round.
+Classes that this joins into one component are not compared with each other again;
+all other pairs are, across components, so the components are exact, and a group of
+thousands of near copies does not cost all the pairs within it.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronarch.llm import textarrays as ta
@@ -37,8 +40,8 @@ CELLS = 1 << 20
 MOST_SHARED = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 50
-#: From so many classes on, a token's classes are first compared with a leader.
-CROWD = 16
+#: From so many classes on, a token's classes are first compared with some leaders, in so many rounds.
+CROWD, LEADERS, ROUNDS = 32, 12, 3
 
 _U = np.uint64
 
@@ -79,19 +82,58 @@ def _signatures(docs: DataFrame, size: int, percent: int, frequencies: np.ndarra
                 rank = np.log2(1 + count / (noise / 2 + 1)).astype(np.int8)
                 order = np.lexsort((ta.mix(u + _U(99)), rank))
                 reads = np.cumsum(count[order] + 1)
-                base = n - -(-percent * n // 100)
-                k = asks[: max(1, min(MOST_SHARED, n - base))]
-                read = reads[base + k - 1]
-                best = int(k[np.argmin(read * (1 + VERIFY_COST / k))])
+                longest = n - -(-percent * n // 100)  # with the smallest partner there may be
+                usual = n - -(-2 * percent * n // (100 + percent))  # with one of equal size
+                k = asks[: max(1, min(MOST_SHARED, n - longest))]
+                best = int(k[np.argmin(reads[usual + k - 1] * (1 + VERIFY_COST / k))])
                 need.append(best)
-                prefix.append(u[order[: base + best]].tobytes())
+                prefix.append(u[order[: longest + best]].tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "text_key": batch["text_key"], "node": pa.array(node, pa.int64()), "n": pa.array(n_set, pa.int64()), "need": pa.array(need, pa.int32()), "prefix": pa.array(prefix, pa.binary())})
 
     return docs.mapInArrow(sign, "doc_id long, text_key long, node long, n long, need int, prefix binary")
 
 
+def _short(grams: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, enough to compare two sets: 4 bytes of each, then the fifth of each."""
+    return (grams >> _U(24)).astype(np.uint32).tobytes() + (grams >> _U(56)).astype(np.uint8).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, np.uint32, n).astype(_U) | np.frombuffer(data, np.uint8, n, 4 * n).astype(_U) << _U(32)
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, grams) of the classes ``wanted`` (node, text_key).
+
+    A table of hashed keys, of fixed size, lets tasks pass over most other texts, so
+    sets are made and shuffled for few but those wanted.  When more are wanted than
+    it can tell apart, it passes more; the join decides.
+    """
+    flags = counts(wanted.select("text_key"), CELLS, lambda batch: iter([ta.mix(batch["text_key"].to_numpy().view(_U))])) > 0
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            key = batch["text_key"].to_numpy()
+            _, first = np.unique(key, return_index=True)  # equal texts once
+            some = np.zeros(len(key), bool)
+            some[first] = True
+            batch = batch.filter(pa.array(some & flags[(ta.mix(key.view(_U)) % _U(CELLS)).astype(np.int64)], pa.bool_()))
+            yield pa.RecordBatch.from_pydict({"text_key": batch["text_key"], "grams": pa.array([_short(u) for u in gram_sets(batch["text"], size)], pa.binary())})
+
+    picked = texts.mapInArrow(pick, "text_key long, grams binary")
+    return picked.join(wanted, "text_key").groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def _sets_of(nodes: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    wanted = classes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text_key")
+    return written(_sets(texts, written(wanted, "wanted"), size), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar enough."""
+    """Of pairs (a, b) of classes, those whose sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -99,12 +141,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                x, y = _long(x), _long(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    return written(both.mapInArrow(verify, "a long, b long"), "links")
+
+
+def _across(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """Postings of tokens that more than one component has, each with its component and whether that is not the token's largest."""
+    rows = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows, "across")
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("many"))
+    sizes = sizes.groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    return rows.join(sizes.select("token", "largest"), "token").withColumn("outside", F.col("component") != F.col("largest")).drop("largest")
+
+
+def _candidates(left: DataFrame, rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Pairs (a, b) of a class of ``left`` and another component's, that share as many tokens as they ask for and whose sizes allow a link.
+
+    With ``all_pairs``, left has the rows outside each token's largest component, and
+    each pair comes once for each shared token.
+    """
+    left = left.select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "need", "place", "component")])
+    common = f"(({percent} * (n + n1) + {99 + percent}) div {100 + percent})"
+    asked = "least(need, need1)"
+    pairs = left.join(rows, "token").where(
+        f"component <> component1 AND {percent} * greatest(n, n1) <= 100 * least(n, n1) AND place < n - {common} + {asked} AND place1 < n1 - {common} + {asked}"
+    )
+    a, b = F.least("node", "node1"), F.greatest("node", "node1")
+    if all_pairs:
+        pairs, group = pairs.where("NOT outside OR node1 < node"), [a.alias("a"), b.alias("b")]
+    else:
+        group = [a.alias("a"), b.alias("b"), (F.col("node") < F.col("node1")).alias("turned")]
+    pairs = pairs.groupBy(*group).agg(F.count("*").alias("shared"), F.first(F.expr(asked)).alias("need")).where("shared >= need").select("a", "b")
+    return pairs if all_pairs else pairs.distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -134,39 +206,31 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             token = [np.frombuffer(v, _U)[np.frombuffer(p, np.int32)].view(np.int64) for v, p in zip(batch["values"].to_pylist(), batch["places"].to_pylist())]
             times = [len(t) for t in token]
             if sum(times):
-                yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(token), pa.int64())} | {c: pa.array(np.repeat(batch[c].to_numpy(), times), t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("need", pa.int32()))})
+                place = np.concatenate([np.frombuffer(p, np.int32) for p in batch["places"].to_pylist()])
+                yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(token), pa.int64()), "place": pa.array(place, pa.int32())} | {c: pa.array(np.repeat(batch[c].to_numpy(), times), t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("need", pa.int32()))})
 
-    postings = tokens.join(once, tokens["owner"] == once["node"]).select("node", "n", "need", F.col("prefix").alias("values"), "places").mapInArrow(spread, "token long, node long, n long, need int")
+    postings = tokens.join(once, tokens["owner"] == once["node"]).select("node", "n", "need", F.col("prefix").alias("values"), "places").mapInArrow(spread, "token long, place int, node long, n long, need int")
     postings = written(postings, "postings")
 
-    # A class can be in a pair only if it has as many shared tokens as some partner may ask for.
-    asked = postings.groupBy("token").agg(F.min("need").alias("asked"))
-    able = postings.join(asked, "token").groupBy("node").agg(F.count("*").alias("has"), F.min("asked").alias("asked")).where("has >= asked")
-    able = classes.join(able, "node", "left_semi").select("text_key", F.col("node").alias("of"))
-    picked = texts.select("text_key", "text").join(able, "text_key").groupBy("of").agg(F.first("text").alias("text"))
-
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"node": batch["of"], "grams": pa.array([u.tobytes() for u in gram_sets(batch["text"], size)], pa.binary())})
-
-    sets = written(picked.mapInArrow(as_sets, "node long, grams binary"), "sets")
-
-    # Crowds: each class against the leader of its token and size.
-    sized = postings.withColumn("width", F.floor(F.log(F.col("n")) / float(np.log(100 / percent))))
-    leaders = sized.groupBy("token", "width").agg(F.min("node").alias("a"), F.count("*").alias("many")).where(F.col("many") >= CROWD)
-    stars = sized.join(leaders, ["token", "width"]).where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.first("need").alias("need"))
-    links = written(_verified(stars.where("shared >= need").select("a", "b"), sets, percent), "links")
-    joined = connected_components(links)
-
-    # All other pairs: across components only.  Of each token, rows outside its largest component look for partners.
-    rows = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = written(rows, "across")
-    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("many")).groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("token", "largest")
-    rows = rows.join(sizes, "token").withColumn("outside", F.col("component") != F.col("largest"))
-    left = rows.where("outside").select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "need", "component")])
-    pairs = left.join(rows, "token").where(f"component <> component1 AND (NOT outside OR node1 < node) AND {percent} * greatest(n, n1) <= 100 * least(n, n1)")
-    pairs = pairs.groupBy(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need", "need1")).alias("need"))
-    more = written(_verified(pairs.where("shared >= need").select("a", "b"), sets, percent), "links")
+    links = postings.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    joined = postings.select("node", F.col("node").alias("component")).limit(0)
+    crowds = postings.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD)
+    crowds = written(postings.join(crowds, "token").drop("many"), "crowds")
+    if not crowds.isEmpty():
+        sets = _sets_of(crowds, texts, classes, size)
+        for k in range(ROUNDS):
+            rows = _across(crowds, joined)
+            first = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)), "node")
+            leaders = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= LEADERS).drop("rank")
+            found = _verified(_candidates(leaders, rows, percent, all_pairs=False), sets, percent)
+            links = written(links.union(found), "links")
+            joined = connected_components(links)
+
+    # All pairs across components: of each token, rows outside its largest component look for partners.
+    rows = _across(postings, joined)
+    pairs = written(_candidates(rows.where("outside"), rows, percent, all_pairs=True), "candidates")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    more = _verified(pairs, _sets_of(nodes, texts, classes, size), percent)
 
     components = connected_components(links.union(more))
     named = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -19,12 +19,21 @@ SLICE = 1 << 14
 def counts(df: DataFrame, cells: int, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
     """int64 counts of ``items`` (arrays of uint64 hashes) modulo ``cells``, over all rows of ``df``."""
 
+    def add_up(table: np.ndarray, held: list[np.ndarray]) -> None:
+        if held:
+            table += np.bincount((np.concatenate(held) % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.int32)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells, np.int32)
         for batch in batches:
+            held, n = [], 0
             for x in items(batch):
-                if len(x):
-                    table += np.bincount((x % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.int32)
+                held.append(x)
+                n += len(x)
+                if n > cells:
+                    add_up(table, held)
+                    held, n = [], 0
+            add_up(table, held)
         for k in range(0, cells, SLICE):
             if table[k : k + SLICE].any():
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "c": pa.array([table[k : k + SLICE].tobytes()], pa.binary())})
