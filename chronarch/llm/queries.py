@@ -11,6 +11,7 @@ from chronarch.llm.bpe import encode
 from chronarch.llm.decontamination import contamination
 from chronarch.llm.jaccard_join import similar_components
 from chronarch.llm.line_rules import line_rules
+from chronarch.llm.oracle import ORACLE_SQL
 from chronarch.llm.quality import score_quality
 from chronarch.llm.sharding import assign_shards
 from chronarch.llm.substring_dedup import remove_repeats
@@ -99,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
