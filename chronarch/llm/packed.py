@@ -46,7 +46,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     of its values that occur at least twice among all rows, twice in one row included.  Owners without such
     values have no row; an owner may stand in several rows, whose places then count in each row from 0.
     """
-    n = buckets(rows.sparkSession)
+    # Few groups for each partition: every group sends a row to every other one, so the rows grow with the square.
+    n = buckets(rows.sparkSession, 2)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,9 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def buckets(spark: SparkSession) -> int:
-    """Number of groups into which packed rows are dealt: several for each shuffle partition, so that they even out."""
-    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets(spark: SparkSession, each: int = 8) -> int:
+    """Number of groups into which rows are dealt: ``each`` for a shuffle partition, so that they even out."""
+    return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_results(df: DataFrame, results: dict) -> DataFrame:
