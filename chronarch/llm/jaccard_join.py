@@ -61,6 +61,12 @@ def gram_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, _U)
 
 
+def _node(u: np.ndarray) -> int:
+    """64-bit key of a set of n-grams."""
+    digest = np.array([u.sum(dtype=_U), ta.mix(u + _U(7)).sum(dtype=_U), len(u)], _U)
+    return int(ta.spans(ta.rolling(ta.mix(digest)), np.array([0]), np.array([3])).view(np.int64)[0])
+
+
 def _signatures(docs: DataFrame, size: int, percent: int, frequencies: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequencies, 2**31 - 1).astype(np.int32))
 
@@ -76,8 +82,7 @@ def _signatures(docs: DataFrame, size: int, percent: int, frequencies: np.ndarra
                 if not n:
                     node.append(None), need.append(None), prefix.append(None)
                     continue
-                digest = np.array([u.sum(dtype=_U), ta.mix(u + _U(7)).sum(dtype=_U), n], _U)
-                node.append(int(ta.spans(ta.rolling(ta.mix(digest)), np.array([0]), np.array([3])).view(np.int64)[0]))
+                node.append(_node(u))
                 count = np.maximum(table[(u % _U(CELLS)).astype(np.int64)] - noise, 0)
                 rank = np.log2(1 + count / (noise / 2 + 1)).astype(np.int8)
                 order = np.lexsort((ta.mix(u + _U(99)), rank))
@@ -104,11 +109,11 @@ def _long(data: bytes) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, grams) of the classes ``wanted`` (node, text_key).
+    """(node, grams) of the classes ``wanted`` (text_key), and of some others.
 
     A table of hashed keys, of fixed size, lets tasks pass over most other texts, so
     sets are made and shuffled for few but those wanted.  When more are wanted than
-    it can tell apart, it passes more; the join decides.
+    it can tell apart, it passes more.
     """
     flags = counts(wanted.select("text_key"), CELLS, lambda batch: iter([ta.mix(batch["text_key"].to_numpy().view(_U))])) > 0
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(flags))
@@ -121,19 +126,18 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             some = np.zeros(len(key), bool)
             some[first] = True
             batch = batch.filter(pa.array(some & flags[(ta.mix(key.view(_U)) % _U(CELLS)).astype(np.int64)], pa.bool_()))
-            yield pa.RecordBatch.from_pydict({"text_key": batch["text_key"], "grams": pa.array([_short(u) for u in gram_sets(batch["text"], size)], pa.binary())})
-
-    picked = texts.mapInArrow(pick, "text_key long, grams binary")
-    return picked.join(wanted, "text_key").groupBy("node").agg(F.first("grams").alias("grams"))
-
+            node, grams = [], []
+            for u in gram_sets(batch["text"], size):
+                node.append(_node(u)), grams.append(_short(u))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "grams": pa.array(grams, pa.binary())})
 
-def _sets_of(nodes: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    wanted = classes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text_key")
-    return written(_sets(texts, written(wanted, "wanted"), size), "sets")
+    return texts.mapInArrow(pick, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose sets are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose sets are similar enough.  Sets are made for classes in pairs only."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(texts, classes.join(nodes, "node", "left_semi").select("text_key"), size)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -217,20 +221,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     crowds = postings.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD)
     crowds = written(postings.join(crowds, "token").drop("many"), "crowds")
     if not crowds.isEmpty():
-        sets = _sets_of(crowds, texts, classes, size)
+        central = crowds.groupBy("node").agg(F.count("*").alias("central"))
+        crowds = written(crowds.join(central, "node"), "crowds")
         for k in range(ROUNDS):
             rows = _across(crowds, joined)
-            first = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)), "node")
+            # A text from which others are copied shares more tokens than its copies, whose rarest are their own.
+            order = [F.xxhash64("node", F.lit(k)), F.col("node")]
+            first = Window.partitionBy("token").orderBy(*([F.desc("central")] if k % 2 == 0 else []), *order)
             leaders = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= LEADERS).drop("rank")
-            found = _verified(_candidates(leaders, rows, percent, all_pairs=False), sets, percent)
+            pairs = written(_candidates(leaders, rows, percent, all_pairs=False), "candidates")
+            found = _verified(pairs, texts, classes, size, percent)
             links = written(links.union(found), "links")
             joined = connected_components(links)
 
     # All pairs across components: of each token, rows outside its largest component look for partners.
     rows = _across(postings, joined)
     pairs = written(_candidates(rows.where("outside"), rows, percent, all_pairs=True), "candidates")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    more = _verified(pairs, _sets_of(nodes, texts, classes, size), percent)
+    more = _verified(pairs, texts, classes, size, percent)
 
     components = connected_components(links.union(more))
     named = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
