@@ -1,0 +1,227 @@
+"""The corpus operators against brute force, round trips and held-out labels."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from chronarch.llm import bpe
+from chronarch.llm.components import connected_components
+from chronarch.llm.decontamination import contamination
+from chronarch.llm.jaccard_join import similar_components
+from chronarch.llm.lexicon import Lexicon, build
+from chronarch.llm.line_rules import line_rules
+from chronarch.llm.quality import score_quality
+from chronarch.llm.queries import QUERIES, remainder, vocabulary
+from chronarch.llm.sharding import assign_shards
+from chronarch.llm.substring_dedup import remove_repeats
+from chronarch.llm.surrogates import replace_personal_data
+from chronarch.llm.toxicity import score_toxicity
+from chronarch.llm.url_filter import judge_pages
+
+from conftest import DATA
+
+BIG = DATA.replace("sf0.001", "sf0.01")
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, None), (7, 7)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for x in parent}
+
+
+def test_large_group_of_near_copies_is_one_component(spark):
+    """Copies that are each like the source but not like one another."""
+    rng = random.Random(2)
+    source = [f"s{k}" for k in range(200)]
+    rows = [(0, " ".join(source))]
+    for k in range(1, 80):
+        own = list(source)
+        for at in rng.sample(range(200), 3):
+            own[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(own)))
+    sets = [{tuple(w[i : i + 3]) for i in range(198)} for w in (t.split() for _, t in rows)]
+    parent = list(range(80))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(80):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=90)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {k: find(k) for k in range(80)}
+
+
+def test_shards_are_contiguous_and_even(spark):
+    df = spark.createDataFrame([(k, (k * 37) % 50 + 1, "a") for k in range(1000)] + [(None, None, None)], "doc_id long, size long, shard string")
+    rows = assign_shards(df, "size", "doc_id", 7).orderBy("shard", "slot").collect()
+    ids = [r["doc_id"] for r in rows]
+    assert ids == [None, *range(1000)]
+    sums, slots = {}, {}
+    for r in rows:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + (r["size"] or 0)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(sums) == 7 and max(sums.values()) - min(sums.values()) <= 100
+    assert all(v == list(range(len(v))) for v in slots.values())
+
+
+def test_redirect_table_carries_blocks(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/1", None), (2, "http://y.com/2", None), (3, "http://x.org/fr/3", None)], "page_id long, url string, html string")
+    edges = spark.createDataFrame([("http://x.com/1", "http://mid.com/"), ("http://mid.com/", "http://bad.net/"), ("http://x.org/fr/3", "http://bad.net/"), (None, "http://y.com/2")], "source string, target string")
+    got = {r["page_id"]: r["verdict"] for r in judge_pages(pages, [("net/", "block"), ("org/fr/", "allow")], redirects=edges).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+
+
+def accuracy(scored, labels, label, held):
+    rows = scored.join(labels, "doc_id").where(held & F.col(label).isNotNull()).select("predicted", F.col(label).alias("y")).collect()
+    return sum(r["predicted"] == r["y"] for r in rows) / len(rows)
+
+
+def test_toxicity_on_held_out_labels(spark, labelled):
+    docs, labels = labelled
+    scored = score_toxicity(docs.withColumn("Score", F.lit("clash")), labels, remainder(5) != 0)
+    assert [c.lower() for c in scored.columns].count("score") == 1
+    assert accuracy(scored, labels, "toxic", remainder(5) == 0) > 0.9
+    assert scored.where("score IS NULL OR score < 0 OR score > 1").isEmpty()
+
+
+def test_quality_on_held_out_labels(spark, labelled):
+    docs, labels = labelled
+    assert accuracy(score_quality(docs, labels, remainder(4) != 2), labels, "quality", remainder(4) == 2) > 0.9
+    none = score_quality(docs.limit(5), labels.limit(0), remainder(4) != 2)
+    assert {r["predicted"] for r in none.collect()} == {1}
+
+
+def test_nearest_equals_brute_force():
+    import numpy as np
+
+    from chronarch.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    examples = []
+    for k in range(300):
+        y = int(k % 3 == 0)
+        terms = np.unique(np.r_[rng.integers(0, 40, 6), rng.integers(40, 60, 5) if y else rng.integers(60, 90, 5)]).astype(np.int32)
+        examples.append((k, y, terms, rng.integers(1, 4, len(terms))))
+    frequency = np.zeros(toxicity.TERMS, np.int64)
+    for _, _, t, _ in examples:
+        frequency[t] += 1
+    index = toxicity.fit(examples, frequency, 300)
+    dense = np.zeros((300, len(index.terms)))
+    for k, name in enumerate(index.names):
+        at, w = index.vector(*next(e for e in examples if e[0] == name)[2:])
+        dense[k, at] = w
+    for _, _, t, c in examples[:50]:
+        at, w = index.vector(t, c)
+        who, what = index.nearest(at, w)
+        all_scores = dense[:, at] @ w
+        best = np.sort(all_scores[all_scores > 0])[::-1][: toxicity.NEAREST]
+        assert np.allclose(what, best)
+
+
+def test_encoding_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(vocabulary())
+    own.no_truncation(), own.no_padding()
+    rng = random.Random(7)
+    letters = "abcdefghijklmnop äöüßéœΣσжщк123'’.,!? \t\n日本İǅ̈é🙂"
+    texts = [None, "", "<|endoftext|>x<|startoftext|>", "word " * 20_000, *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("IDS", F.lit(1))
+    done = bpe.decode(bpe.encode(df, vocabulary()), vocabulary())
+    for r in done.collect():
+        ids = own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        decoded = own.decode(ids, skip_special_tokens=False)
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == decoded
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_lexicon_finds_its_words_and_no_others():
+    words = {w.encode(): [k, k + 1] for k, w in enumerate(("a", "an", "and", "band", "hand", "über", "hands"))}
+    lexicon = Lexicon(build(words))
+    assert all(lexicon.get(w) == ids for w, ids in words.items())
+    assert not any(lexicon.get(w) for w in (b"", b"b", b"ha", b"handsome", b"\xff"))
+    assert Lexicon(build({})).get(b"a") is None
+
+
+def test_surrogates(spark):
+    texts = [
+        "Write to ann.lee@mail.com or call +49 30 1234567.", "ann.lee@mail.com again, ANN.LEE@MAIL.COM", "Mrs Anna Schmidt met Mr. Otto Schmidt at 10.1.2.3.",
+        "Card 4111 1111 1111 1111 and SSN 123-45-6789.", None, "", "No data here.", "Госпожа Анна Петрова",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in replace_personal_data(df, "k").collect()}
+    assert {k: r["text"] for k, r in got.items() if k in (4, 5, 6)} == {4: None, 5: "", 6: "No data here."}
+    mail = got[0]["surrogates"][0]
+    assert got[1]["surrogates"][0] == mail and got[1]["surrogates"][1].lower() == mail.lower()
+    assert re.fullmatch(r"Write to \S+@\S+\.example or call \+49 \d{2} \d{7}\.", got[0]["text"]) and "1234567" not in got[0]["text"]
+    women, men = got[2]["surrogates"][0].split(), got[2]["surrogates"][1].split()
+    assert (women[0], men[0]) == ("Mrs", "Mr.") and women[2] == men[2] and women[2] != "Schmidt" and women[1].endswith("a")
+    assert re.search(r"Card \d{4} \d{4} \d{4} \d{4} and SSN \d{3}-\d{2}-\d{4}", got[3]["text"])
+    assert re.fullmatch(r"Госпожа [А-Яа-яё]+ [А-Яа-яё]+", got[7]["text"]) and "Петрова" not in got[7]["text"]
+    again = {r["doc_id"]: r["text"] for r in replace_personal_data(df, "k").collect()}
+    other = {r["doc_id"]: r["text"] for r in replace_personal_data(df, "other").collect()}
+    assert again == {k: r["text"] for k, r in got.items()} and other[0] != again[0]
+
+
+def test_surrogates_stay_distinct(spark):
+    df = spark.createDataFrame([(k, f"call +1 555 {k:07d}") for k in range(3000)], "doc_id long, text string")
+    put = [r["surrogates"][0] for r in replace_personal_data(df, "k").collect()]
+    assert len(set(put)) == 3000
+
+
+def test_hit_spans_point_into_the_original(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs far away today"
+    docs = spark.createDataFrame([(1, f"Ünrelated: {item.upper().replace(' ', ' ,')}!", "x")], "doc_id long, text string, n_hit string")
+    r = contamination(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).first()
+    text = r["text"].encode()
+    (span,) = r["hit_spans"]
+    assert text[span["start"] : span["end"]].decode().lower().replace(" ,", " ") == item
+    assert r["n_hit"] == 14 and r["contaminated"]
+
+
+def test_common_lines_are_cut(spark):
+    rows = [(k, f"Cookie notice {k}\nbody of " + " ".join(c * (k + 2) for c in "abcdefghijklmno"), "h") for k in range(8)]
+    got = line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=5).collect()
+    assert all("Cookie" not in r["text"] and "body" in r["text"] and r["kept"] for r in got)
+
+
+def test_repeats_are_cut_from_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    df = spark.createDataFrame([(1, f"a {passage} b"), (2, f"c {passage}"), (3, "alone"), (4, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in remove_repeats(df).collect()} == {1: "a b", 2: "c", 3: "alone", 4: ""}
+
+
+def test_contract_columns(spark):
+    out = QUERIES["op2_byte_shards"](spark, DATA).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in out:
+        data = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "bytes", None)
