@@ -21,6 +21,8 @@ from chronarch.llm.toxicity import labelled_sample
 _U = np.uint64
 #: Labelled documents to learn from, at most; words of a passage; hidden size of the attention; steps of the fit.
 MOST_EXAMPLES, PASSAGE, HIDDEN, STEPS = 4000, 48, 16, 400
+#: Documents scored at once.
+ROWS = 512
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +148,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, learnable: Column, id_col:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 x, sizes = passages(batch[text_col])
                 yield batch.append_column("__score", pa.array(_forward(shared.value, x, sizes)["p"], pa.float64()))
 
