@@ -26,6 +26,8 @@ from chronarch.llm.tables import with_results
 
 #: Words in the lexicon, and counters of a task's summary.
 LEXICON_WORDS, COUNTERS = 1 << 14, 1 << 15
+#: Rank of a pair that is not merged.
+NO_RANK = 1 << 30
 #: Words that a task keeps decided, so that it does not walk the automaton for each.
 KEPT_WORDS = 1 << 17
 #: All but ASCII letters and characters outside ASCII.
@@ -66,12 +68,19 @@ class WordBpe:
         """Ids of one piece: the leftmost pair of least rank is merged until none is left."""
         parts = [self.characters[b] for b in word]
         parts[-1] += self.suffix
-        ranks = self.ranks
-        while len(parts) > 1:
-            rank, k = min((ranks.get(p, 1 << 30), k) for k, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
+        rank = self.ranks.get
+        open_ = [rank(p, NO_RANK) for p in zip(parts, parts[1:])]  # rank of each pair of neighbours
+        while open_:
+            least = min(open_)
+            if least == NO_RANK:
                 break
+            k = open_.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del open_[k]
+            if k:
+                open_[k - 1] = rank((parts[k - 1], parts[k]), NO_RANK)
+            if k < len(open_):
+                open_[k] = rank((parts[k], parts[k + 1]), NO_RANK)
         return [self.ids[p] for p in parts if p in self.ids]
 
     def pieces(self, text: str) -> list[str]:
@@ -95,9 +104,9 @@ class _Kept(dict):
     def __missing__(self, piece: str):
         word = piece.encode()
         ids = self.lexicon.get(word) if self.lexicon else None
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[piece] = out = self.form(self.bpe.merge(word) if ids is None else ids)
+        out = self.form(self.bpe.merge(word) if ids is None else ids)
+        if len(self) < KEPT_WORDS:  # frequent words come early; those that no longer fit are decided each time
+            self[piece] = out
         return out
 
 
@@ -171,15 +180,17 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids: bool =
         bpe, data = shared.value
         coder = Coder(bpe, Lexicon(data))
         for batch in batches:
-            told = [coder.told(t) for t in batch["text"].to_pylist()]
-            out = {
-                "row": batch["row"],
-                "n": pa.array([len(i) and i.count(" ") + 1 for i, _ in told], pa.int64()),
-                "i": pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in told], pa.string()),
-                "d": pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in told], pa.string()),
-            }
+            n, sha, decoded, numbers = [], [], [], []
+            for text in batch["text"]:  # one after the other: the strings of a batch's ids would fill the memory
+                i, t = coder.told(text.as_py())
+                n.append(len(i) and i.count(" ") + 1)
+                sha.append(hashlib.sha256(i.encode()).hexdigest())
+                decoded.append(hashlib.sha256(t.encode()).hexdigest())
+                if ids:
+                    numbers.append(np.fromstring(i, np.int32, sep=" "))
+            out = {"row": batch["row"], "n": pa.array(n, pa.int64()), "i": pa.array(sha, pa.string()), "d": pa.array(decoded, pa.string())}
             if ids:
-                out |= {"ids": pa.array([np.fromstring(i, np.int32, sep=" ") for i, _ in told], pa.list_(pa.int32()))}
+                out |= {"ids": pa.array(numbers, pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("_")]).alias("row"), F.col(f"`{text_col}`").alias("text"))

@@ -72,17 +72,16 @@ class Lexicon:
             parts.append(view[at : at + n])
             at += n
         self.first, self.final, self.label, self.target, self.output, self.offsets, self.ids = parts
+        self.label = bytes(self.label.tolist())  # one byte each, to be searched at once
         self.root = len(self.final) - 1
 
     def get(self, word: bytes) -> list[int] | None:
         state, number = self.root, 0
         first, label = self.first, self.label
         for c in word:
-            for k in range(first[state], first[state + 1]):
-                if label[k] == c:
-                    number += self.output[k]
-                    state = self.target[k]
-                    break
-            else:
+            k = label.find(c, first[state], first[state + 1])
+            if k < 0:
                 return None
+            number += self.output[k]
+            state = self.target[k]
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if self.final[state] else None
