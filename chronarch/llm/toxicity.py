@@ -1,18 +1,19 @@
-"""Toxicity by the nearest labelled examples, in exact TF-IDF cosine.
-
-A bounded sample of labelled documents gives the examples and the terms in which
-labels differ.  Document frequencies are counted over all documents.  The
-examples' vectors are inverted: each term has its postings, cut into blocks of
-examples, with the largest weight in each block.  A query reads blocks from the
-highest bound down and stops where no bound reaches its k-th best, so its nearest
-examples are exact.  Votes are weighted by cosine; their share is calibrated by a
+"""Toxicity by the nearest labelled examples, in exact TF-IDF cosine over all terms.
+
+A bounded sample of labelled documents gives the examples.  Document frequencies are
+counted over all documents.  The examples' vectors hold all their terms and are
+inverted; terms that many examples have are rows of a matrix instead, by which texts
+are multiplied many at once.  Every example with a term in common is scored, so the
+nearest are exact.  Votes are weighted by cosine; their share is calibrated by a
 logistic curve fitted to the examples' own votes, each without itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import zlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, fields
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,19 @@ from chronarch.llm.tables import with_results
 _U = np.uint64
 #: Bounds of the sample: labelled documents, and bytes of all their texts are read once by the driver's model fit as term sets.
 MOST_EXAMPLES = 6000
-#: Hashed terms; terms in which labels differ, at most; least chi-square and least number of examples of such a term.
-TERMS, MOST_CHOSEN, LEAST_CHI2, LEAST_EXAMPLES = 1 << 20, 512, 30.0, 5
+#: Hashed terms.
+TERMS = 1 << 20
 #: Bytes of a word's beginning that are terms too; counts from which a term is one more.
 PREFIXES, LEVELS = (4, 6), (2, 4, 8, 16)
-#: Examples in a block, nearest examples that vote, weight of the prior among them.
-BLOCK, NEAREST, PRIOR_WEIGHT = 64, 15, 0.5
+#: Nearest examples that vote, weight of the prior among them.
+NEAREST, PRIOR_WEIGHT = 15, 0.5
+#: A term is a row of the matrix if one example in so many has it, up to so many terms; texts multiplied at once.
+COMMON, MOST_ROWS, AT_ONCE = 16, 1024, 128
 WORDS = bytes(c for c in range(256) if NORMAL[c] == 32)
 
 
-def term_counts(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct hashed terms of each text and their counts; with ``wanted`` (a flag for each term), those only.
+def term_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct hashed terms of each text and their counts.
 
     Terms are words and their first 4 and 6 bytes.  A term that comes 2, 4, 8 or 16
     times is so many more terms, as cosine alone forgets how often a text says it.
@@ -59,62 +62,97 @@ def term_counts(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[
                 all_count.append(np.ones(len(often), np.int64))
             own, count = np.concatenate(all_own), np.concatenate(all_count)
             own, first = np.unique(own, return_index=True)
-            count = count[first]
-            if wanted is not None:
-                keep = wanted[own]
-                own, count = own[keep], count[keep]
-            yield own, count
+            yield own, count[first]
 
 
 @dataclass
 class Index:
-    """Inverted lists of the examples; ``ends[t, b]`` is where term t's postings of block b end."""
+    """Inverted lists of the examples; term t's postings are from ``ends[t]`` to ``ends[t + 1]``.
+
+    Weights and the matrix follow from the counts, so they are made anew where an
+    index arrives, and only the counts are sent.
+    """
 
-    terms: np.ndarray  #: chosen terms, sorted
-    idf: np.ndarray
+    terms: np.ndarray  #: the examples' terms, sorted
+    frequency: np.ndarray  #: of every hashed term, in ``n_documents``
+    n_documents: int
     names: np.ndarray  #: ids of the examples
     labels: np.ndarray
-    example: np.ndarray  #: postings
-    weight: np.ndarray
-    ends: np.ndarray
-    most: np.ndarray  #: largest weight by term and block
     prior: float
+    norms: np.ndarray  #: of the examples
+    ends: np.ndarray
+    example: np.ndarray  #: postings
+    count: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
 
+    def __post_init__(self):
+        self.idf = idf(self.frequency, self.n_documents)
+        many = np.diff(self.ends)
+        self.weight = (1 + np.log(self.count)) / self.norms[self.example] * np.repeat(self.idf[self.terms], many)
+        common = np.sort(np.argsort(-many, kind="stable")[:MOST_ROWS])
+        common = common[COMMON * many[common] >= len(self.names)]
+        self.row = np.full(len(many), -1, np.int32)  # of each term its row, or -1
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(self.names)))
+        for k, t in enumerate(common):
+            s = slice(self.ends[t], self.ends[t + 1])
+            self.rows[k, self.example[s]] = self.weight[s]
+
+    def __reduce__(self):
+        values = [getattr(self, f.name) for f in fields(self)]
+        return _unpacked, tuple((zlib.compress(v.tobytes(), 1), v.dtype.str) if isinstance(v, np.ndarray) else v for v in values)
+
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        own = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at = at[own]
-        w = (1 + np.log(tf[own])) * self.idf[at]
-        return at, w / np.sqrt(np.sum(w * w)) if len(w) else w
+        """Places in ``terms`` and weights; the norm is over all terms of the text, in an example or not."""
+        w = (1 + np.log(tf)) * self.idf[terms]
+        w = w / np.sqrt(np.sum(w * w)) if len(w) else w
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        own = self.terms[at] == terms
+        return at[own], w[own]
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of texts (rows) with all examples."""
+        common = np.zeros((len(vectors), len(self.rows)))
+        for k, (at, w) in enumerate(vectors):
+            row = self.row[at]
+            common[k, row[row >= 0]] = w[row >= 0]
+        out = common @ self.rows
+        for k, (at, w) in enumerate(vectors):
+            at, w = at[self.row[at] < 0], w[self.row[at] < 0]
+            begin = self.ends[at]
+            many = self.ends[at + 1] - begin
+            total = int(many.sum())
+            if total:
+                s = np.arange(total) + np.repeat(begin - (np.cumsum(many) - many), many)
+                out[k] += np.bincount(self.example[s], weights=self.weight[s] * np.repeat(w, many), minlength=len(self.names))
+        return out
+
+    def best(self, score: np.ndarray, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Examples of greatest cosine above 0, and the cosines; ties go to the example that comes first."""
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        who, what, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or len(who) >= k and bound[b] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at, w):
-                s = slice(self.ends[t, b], self.ends[t, b + 1])
-                score[self.example[s] - b * BLOCK] += x * self.weight[s]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            own = np.flatnonzero(score > 0)
-            who, what = np.r_[who, own + b * BLOCK], np.r_[what, score[own]]
-            if len(who) > k:
-                top = np.lexsort((who, -np.round(what, 9)))[:k]
-                who, what = who[top], what[top]
-            least = what.min() if len(who) >= k else 0.0
-        top = np.lexsort((who, -np.round(what, 9)))
+        if without >= 0:
+            score[without] = 0
+        least = np.partition(score, -k)[-k] - 1e-8 if len(score) > k else 0.0
+        who = np.flatnonzero((score > 0) & (score >= least))
+        what = score[who]
+        top = np.lexsort((who, -np.round(what, 9)))[:k]
         return who[top], what[top]
 
+    def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        if not len(at) or not len(self.names):
+            return np.zeros(0, np.int64), np.zeros(0)
+        return self.best(self.cosines([(at, w)])[0], without, k)
+
+    def nearest_of(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], themselves: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest of each text; with ``themselves``, texts are the examples and each is left out for itself."""
+        vectors, k = iter(vectors), 0
+        while some := list(islice(vectors, AT_ONCE)):
+            for score in self.cosines(some) if len(self.names) else np.zeros((len(some), 0)):
+                yield self.best(score, k if themselves else -1)
+                k += 1
+
     def share(self, who: np.ndarray, what: np.ndarray) -> float:
         return float((np.sum(what * self.labels[who]) + PRIOR_WEIGHT * self.prior) / (np.sum(what) + PRIOR_WEIGHT))
 
@@ -122,44 +160,43 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * _logit(share) + self.shift))))
 
 
+def _unpacked(*values) -> Index:
+    return Index(*[np.frombuffer(zlib.decompress(v[0]), v[1]) if isinstance(v, tuple) else v for v in values])
+
+
+def idf(frequency: np.ndarray, n_documents: int) -> np.ndarray:
+    return np.log((1 + n_documents) / (1 + np.minimum(frequency, n_documents))) + 1
+
+
 def _logit(p):
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
 
 
 def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], frequency: np.ndarray, n_documents: int) -> Index:
-    """Choose terms, invert the examples (id, label, terms, counts), and calibrate.  Without examples the prior is 0."""
+    """Invert the examples (id, label, terms, counts), and calibrate.  Without examples the prior is 0."""
     examples = sorted(examples, key=lambda e: (e[1], e[0]))
     labels = np.array([e[1] for e in examples], np.int64)
     n, ones = len(labels), int(labels.sum())
-    seen = np.zeros((2, TERMS), np.int32)
-    for _, y, terms, _ in examples:
-        seen[y, terms] += 1
-    total = seen.sum(0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = seen[1].astype(float), seen[0].astype(float)
-        chi2 = n * (a * (n - ones - b) - b * (ones - a)) ** 2 / (total * (n - total) * float(ones) * (n - ones))
-    chi2[(total < LEAST_EXAMPLES) | ~np.isfinite(chi2)] = 0
-    # Terms that speak for label 1: a document without them is like most.
-    chi2[seen[1] * max(1, n - ones) <= seen[0] * max(1, ones)] = 0
-    chosen = np.sort(np.argsort(-chi2, kind="stable")[:MOST_CHOSEN])
-    chosen = chosen[chi2[chosen] >= LEAST_CHI2].astype(np.int32)
-    idf = np.log((1 + n_documents) / (1 + np.minimum(frequency[chosen], n_documents))) + 1
-    index = Index(chosen, idf, np.array([e[0] for e in examples], np.int64), labels, *[np.zeros(0)] * 4, prior=ones / n if n else 0.0)
-    vectors = [index.vector(t, c) for _, _, t, c in examples]
-    blocks = -(-n // BLOCK)
-    example = np.concatenate([np.full(len(at), k) for k, (at, _) in enumerate(vectors)] or [np.zeros(0)]).astype(np.int64)
-    term = np.concatenate([at for at, _ in vectors] or [np.zeros(0)]).astype(np.int64)
-    weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-    order = np.lexsort((example, term))
-    index.example, index.weight = example[order], weight[order]
-    cell = term[order] * blocks + index.example // BLOCK
-    ends = np.searchsorted(cell, np.arange(len(chosen) * blocks + 1)).reshape(-1) if blocks else np.zeros(1, np.int64)
-    index.ends = np.array([ends[t * blocks : t * blocks + blocks + 1] for t in range(len(chosen))], np.int64).reshape(len(chosen), blocks + 1)
-    index.most = np.zeros((len(chosen), blocks))
-    np.maximum.at(index.most.reshape(-1), cell, index.weight)
+    seen = np.zeros(TERMS, np.int64)
+    for _, _, terms, _ in examples:
+        seen[terms] += 1
+    own = np.flatnonzero(seen)
+    place = np.zeros(TERMS, np.int32)
+    place[own] = np.arange(len(own))
+    ends = np.r_[0, np.cumsum(seen[own])]
+    example, count = np.zeros(ends[-1], np.uint16 if n < 1 << 16 else np.int32), np.zeros(ends[-1], np.int32)
+    rarity, norms, free = idf(frequency, n_documents), np.ones(n), ends[:-1].copy()
+    for k, (_, _, terms, tf) in enumerate(examples):
+        at = place[terms]
+        example[free[at]], count[free[at]] = k, tf
+        free[at] += 1
+        if len(terms):
+            norms[k] = np.sqrt(np.sum(((1 + np.log(tf)) * rarity[terms]) ** 2))
+    names = np.array([e[0] for e in examples], np.int64)
+    index = Index(own.astype(np.int32), frequency, n_documents, names, labels, ones / n if n else 0.0, norms, ends, example, count)
     # Each example's vote without itself tells how far votes can be trusted.
-    x = _logit(np.array([index.share(*index.nearest(at, w, without=k)) for k, (at, w) in enumerate(vectors)])) if n else np.zeros(0)
+    x = _logit(np.array([index.share(*found) for found in index.nearest_of((index.vector(t, c) for _, _, t, c in examples), themselves=True)])) if n else np.zeros(0)
     slope, shift = 1.0, 0.0
     if 0 < ones < n:
         for _ in range(50):  # Newton's steps, with a little shrinkage towards slope 1
@@ -189,7 +226,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col
     has at most ``MOST_EXAMPLES`` documents.  score: likelihood of label 1, by the
     cosine-weighted votes of the nearest examples; predicted: 1 if it is 0.5 or more;
     evidence: the nearest examples' ids, labels and cosines.  A null or empty text,
-    and one without any chosen term, has no evidence and the score of the prior.
+    and one without any term of an example, has no evidence and the score of the prior.
     Null labels and labels of unknown ids are left out; repeated labels count once,
     as the greatest.  No labels: score 0.  Input columns named like a result are
     replaced.
@@ -213,21 +250,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = index.value
-        wanted = np.zeros(TERMS, bool)
-        wanted[model.terms] = True
-        known: dict[bytes, tuple] = {}
         for batch in batches:
             scores, evidence = [], []
-            for t, c in term_counts(batch["text"], wanted):
-                at, w = model.vector(t, c)
-                key = at.tobytes() + w.tobytes()
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    who, what = model.nearest(at, w)
-                    known[key] = model.calibrated(model.share(who, what)) if len(model.labels) else 0.0, [{"example": int(model.names[k]), "label": int(model.labels[k]), "cosine": float(x)} for k, x in zip(who[:3], what[:3])]
-                score, why = known[key]
-                scores.append(score), evidence.append(why)
+            for who, what in model.nearest_of(model.vector(t, c) for t, c in term_counts(batch["text"])):
+                scores.append(model.calibrated(model.share(who, what)) if len(model.labels) else 0.0)
+                evidence.append([{"example": int(model.names[k]), "label": int(model.labels[k]), "cosine": float(x)} for k, x in zip(who[:3], what[:3])])
             kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_pydict({"row": batch["row"], "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, kind)})
 

@@ -145,6 +145,32 @@ def test_nearest_equals_brute_force():
         assert np.allclose(what, best)
 
 
+def test_neighbours_are_by_all_terms():
+    """Terms of one example only count, as do, in the norm, those of no example."""
+    import numpy as np
+
+    from chronarch.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    examples = [(k, int(k < 20), np.unique(np.r_[k + 1000, rng.integers(0, 60, 9)]).astype(np.int32)) for k in range(100)]
+    examples = [(k, y, t, rng.integers(1, 4, len(t))) for k, y, t in examples]
+    frequency = np.full(toxicity.TERMS, 3, np.int64)
+    index = toxicity.fit(examples, frequency, 200)
+    idf = np.log(201 / 4) + 1
+
+    def dense(terms, counts):
+        x = np.zeros(2000)
+        x[terms] = (1 + np.log(counts)) * idf
+        return x / np.sqrt(np.sum(x * x))
+
+    all_examples = np.array([dense(*e[2:]) for e in examples])
+    for terms in ([1007], [1007, 1500, 1501], [3, 5, 1030, 1999]):
+        t, c = np.array(terms, np.int32), np.ones(len(terms), np.int64)
+        who, what = index.nearest(*index.vector(t, c))
+        assert np.allclose(what, np.sort((s := all_examples @ dense(t, c))[s > 0])[::-1][: toxicity.NEAREST])
+        assert np.allclose(what, all_examples[index.names[who]] @ dense(t, c))
+
+
 def test_encoding_equals_the_library(spark):
     from tokenizers import Tokenizer
 
