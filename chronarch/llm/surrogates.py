@@ -26,7 +26,7 @@ _TITLES = "|".join(sorted((*FEMALE, *MALE, *EITHER), key=len, reverse=True))
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "token": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[_-]?[A-Za-z0-9_-]{16,100})(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[_-]?[A-Za-z0-9_-]{16,}+)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?!\d)|(?<![\d.])3\d{3}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -37,7 +37,7 @@ ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: The country of a phone or account number, which stays.
 COUNTRY = r"^(?:\+\d{1,3}(?=[ (.-])|[A-Z]{2}(?=\d{2}))"
 #: What every entity but names has, and what names have: cheap tests before the patterns.
-MAYBE, MAYBE_NAME = "[0-9@]", rf"(?:{_TITLES})\.? \p{{Lu}}"
+MAYBE, MAYBE_NAME = "[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[A-Za-z_-]{16}|[a-f]{32}|[A-F]{32}", rf"(?:{_TITLES})\.? \p{{Lu}}"
 #: Rounds of drawing again, after which surrogates get longer with each.
 ROUNDS = 12
 

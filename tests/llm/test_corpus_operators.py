@@ -217,6 +217,15 @@ def test_surrogates(spark):
     assert again == {k: r["text"] for k, r in got.items()} and other[0] != again[0]
 
 
+def test_secrets_of_any_length_are_replaced(spark):
+    secrets = ["0123456789abcdef" * 10, "AB12" * 50, "sk-" + "aB3" * 40, "sk-proj-" + "Ab1" * 25 + "_" + "x-Y" * 60, "ghp_" + "abcdefgh" * 3, "sk-" + "Q" * 200, "abcdef" * 30]
+    df = spark.createDataFrame([(k, f"key {t}, end") for k, t in enumerate(secrets)], "doc_id long, text string")
+    for r in replace_personal_data(df, "k").collect():
+        secret = secrets[r["doc_id"]]
+        assert r["n_entities"] == 1 and re.fullmatch(r"key \S+, end", r["text"]) and len(r["text"]) == len(secret) + 9
+        assert not any(secret[i : i + 16] in r["text"] for i in range(len(secret) - 15))
+
+
 def test_surrogates_stay_distinct(spark):
     df = spark.createDataFrame([(k, f"call +1 555 {k:07d}") for k in range(3000)], "doc_id long, text string")
     put = [r["surrogates"][0] for r in replace_personal_data(df, "k").collect()]
