@@ -38,8 +38,10 @@ ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 COUNTRY = r"^(?:\+\d{1,3}(?=[ (.-])|[A-Z]{2}(?=\d{2}))"
 #: What every entity but names has, and what names have: cheap tests before the patterns.
 MAYBE, MAYBE_NAME = "[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[A-Za-z_-]{16}|[a-f]{32}|[A-F]{32}", rf"(?:{_TITLES})\.? \p{{Lu}}"
-#: Rounds of drawing again, after which surrogates get longer with each.
-ROUNDS = 12
+#: What may follow a name and is no part of it.
+OWNER = "'s?$"
+#: Names get longer with each round of drawing again after half of ROUNDS; after MOST_ROUNDS it is an error that surrogates are not distinct.
+ROUNDS, MOST_ROUNDS = 12, 64
 
 
 def _kind(entity: Column) -> Column:
@@ -49,7 +51,7 @@ def _kind(entity: Column) -> Column:
 
 def _parts(entity: Column, kind: Column) -> Column:
     """What of the entity is replaced: (kind, canonical form), the same for all spellings of one entity."""
-    names = F.split(F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", ""), " ")
+    names = F.split(F.regexp_replace(F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", ""), OWNER, ""), " ")
     title = F.regexp_extract(entity, r"^([^. ]+)", 1)
     given = F.when(title.isin(*FEMALE), "given_f").when(title.isin(*MALE), "given_m").otherwise("given")
     part = lambda k, c: F.struct(k.alias("kind"), F.lower(c).alias("canon"))
@@ -108,24 +110,49 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate) of distinct (kind, canon): no two of a kind alike, and none that is an entity of the corpus.
 
-    Kinds with few forms (a card number of which all digits may change has 10**16, an
-    address 254**4) come out distinct after a few rounds.  Given and family names get
-    longer after half of the rounds.
+    Given names of all genders are one kind here.  Kinds with few forms (a card number
+    of which all digits may change has 10**16, an address 254**4) come out distinct
+    after a few rounds.  Given and family names get longer after half of ``ROUNDS``.
+    Surrogates that are not distinct after ``MOST_ROUNDS`` are an error.
     """
+    space = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("space")
     drawn = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
-        drawn = cut(drawn.select("kind", "canon", "attempt", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate")))
+    for _ in range(MOST_ROUNDS):
+        drawn = cut(drawn.select("kind", space, "canon", "attempt", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate")))
         # Of those with one surrogate, the one drawn first keeps it.
-        keeper = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("keeper"), F.count("*").alias("n"))
-        real = entities.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
-        bad = keeper.join(real, ["kind", "surrogate"], "left").where("n > 1 OR real")
+        keeper = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("keeper"), F.count("*").alias("n"))
+        real = entities.select(space, F.col("canon").alias("surrogate"), F.lit(True).alias("real")).distinct()
+        bad = keeper.join(real, ["space", "surrogate"], "left").where("n > 1 OR real")
         bad = cut(bad)
         if bad.isEmpty():
-            break
-        drawn = drawn.join(bad, ["kind", "surrogate"], "left")
+            return drawn.select("kind", "canon", "surrogate")
+        drawn = drawn.join(bad, ["space", "surrogate"], "left")
         again = F.col("real") | (F.col("n") > 1) & (F.col("keeper") != F.struct("attempt", "canon"))
         drawn = drawn.select("kind", "canon", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt"))
-    return drawn.select("kind", "canon", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate"))
+    raise RuntimeError(f"surrogates are not distinct after {MOST_ROUNDS} rounds: {[tuple(r) for r in bad.groupBy('space').count().collect()]}")
+
+
+def _one_gender(parts: DataFrame) -> DataFrame:
+    """``parts`` with one kind for each given name: the gender of its titles, none if they differ or tell none."""
+    f, m = (F.max(F.col("kind") == k) for k in ("given_f", "given_m"))
+    given = parts.where(F.col("kind").startswith("given")).groupBy("canon").agg(F.when(f & ~m, "given_f").when(m & ~f, "given_m").otherwise("given").alias("one"))
+    joined = parts.join(given, "canon", "left")
+    return joined.withColumn("kind", F.when(F.col("kind").startswith("given"), F.col("one")).otherwise(F.col("kind"))).drop("one")
+
+
+def _mentions(gap: Column, names: Column) -> Column:
+    """The words of a gap and what is between them, (text, put): names of the document without a title are replaced."""
+
+    def word(w: Column) -> Column:
+        bare = F.regexp_replace(w, OWNER, "")
+        new = F.when(w.rlike(r"^\p{Lu}"), F.coalesce(names[F.lower(bare)], names[F.lower(w)]))
+        owner = F.when(names[F.lower(bare)].isNotNull(), F.regexp_extract(w, OWNER, 0)).otherwise("")
+        shouted = (F.length(bare) > 1) & (F.upper(bare) == bare)
+        new = F.concat(F.when(shouted, F.upper(new)).otherwise(F.initcap(new)), owner)
+        return F.struct(F.coalesce(new, w).alias("text"), new.isNotNull().alias("put"))
+
+    whole = F.array(F.struct(gap.alias("text"), F.lit(False).alias("put")))
+    return F.when(names.isNull(), whole).otherwise(F.transform(F.regexp_extract_all(gap, F.lit(r"\p{L}[\p{L}'-]*+|[^\p{L}]++"), F.lit(0)), word))
 
 
 def _rendered(entity: Column, kind: Column, parts: Column) -> Column:
@@ -142,7 +169,7 @@ def _rendered(entity: Column, kind: Column, parts: Column) -> Column:
     rest = F.substring(entity, F.length(country) + 1, F.length(entity))
     formatted = F.concat(country, F.aggregate(F.split(rest, ""), start, fill, lambda d: d["text"]))
     title = F.regexp_extract(entity, rf"^((?:{_TITLES})\.?) ", 1)
-    name = F.concat_ws(" ", title, F.transform(parts, F.initcap))
+    name = F.concat(F.concat_ws(" ", title, F.transform(parts, F.initcap)), F.regexp_extract(entity, OWNER, 0))
     shouted = (F.upper(entity) == entity) & entity.rlike(r"\p{L}")
     plain = F.when(shouted, F.upper(first)).otherwise(first)
     return F.when(kind == "name", name).when(kind.isin("email", "ip", "token"), plain).otherwise(formatted)
@@ -152,9 +179,10 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     """All columns of ``docs`` with text_col without personal data, n_entities and surrogates.
 
     Found are e-mail addresses, account, phone, card and social security numbers, IPv4
-    addresses, secret tokens, and names after a title.  surrogates lists what was put
-    in, in order.  Of a phone or account number the country stays, of a name the title; a
-    given name keeps the title's gender, a word its script, a number its format.
+    addresses, secret tokens, names after a title, and where their parts stand again as
+    capitalised words of the same text, each part for itself.  surrogates lists what was
+    put in, in order.  Of a phone or account number the country stays, of a name the title; a
+    given name, one throughout the corpus, keeps the gender of its titles, a word its script, a number its format.
     ``key`` decides the surrogates: the same key and corpus give the same ones.
 
     Null and empty texts stay, with n_entities 0.  Texts of any length are searched
@@ -169,13 +197,17 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     held = written(held, "with-entities")
     found = held.select("__row", F.posexplode("__entities").alias("pos", "entity")).withColumn("kind", _kind(F.col("entity")))
     parts = found.select("__row", "pos", "entity", F.col("kind").alias("whole"), F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("nth", "part"))
-    parts = written(parts.select("__row", "pos", "entity", "whole", "nth", "part.*"), "entities")
+    parts = written(_one_gender(parts.select("__row", "pos", "entity", "whole", "nth", "part.*")), "entities")
     table = surrogate_table(parts.select("kind", "canon").distinct(), key)
+    # A name that is both given and family name is, without a title, the family name.
+    names = parts.where("whole = 'name'").join(table, ["kind", "canon"]).groupBy("__row", "canon").agg(F.max_by("surrogate", "kind").alias("surrogate"))
+    names = names.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("__names"))
     put = parts.join(table, ["kind", "canon"]).groupBy("__row", "pos", "entity", "whole").agg(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))).alias("parts"))
     put = put.select("__row", "pos", _rendered(F.col("entity"), F.col("whole"), F.col("parts.surrogate")).alias("surrogate"))
     put = put.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("__put"))
-    joined = held.join(put, "__row").withColumn("__new", F.col("__put.surrogate"))
-    gaps = F.array_join(F.flatten(F.zip_with("__gaps", "__new", lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    joined = joined.withColumn("__text", gaps)
-    done = with_results(joined, {text_col: F.col("__text"), "n_entities": F.size("__new").cast("long"), "surrogates": F.col("__new")})
+    joined = held.join(put, "__row").join(names, "__row", "left")
+    given = lambda s: F.when(s.isNotNull(), F.array(F.struct(s.alias("text"), F.lit(True).alias("put")))).otherwise(F.array())
+    pieces = F.flatten(F.zip_with("__gaps", "__put.surrogate", lambda g, s: F.concat(_mentions(g, F.col("__names")), given(s))))
+    joined = joined.withColumn("__pieces", pieces).withColumn("__new", F.filter("__pieces", lambda p: p["put"])["text"])
+    done = with_results(joined, {text_col: F.array_join(F.col("__pieces")["text"], ""), "n_entities": F.size("__new").cast("long"), "surrogates": F.col("__new")})
     return clean.unionByName(done.select(clean.columns))

@@ -226,6 +226,29 @@ def test_secrets_of_any_length_are_replaced(spark):
         assert not any(secret[i : i + 16] in r["text"] for i in range(len(secret) - 15))
 
 
+def test_a_person_has_one_surrogate(spark):
+    texts = ["Dr Anna Keller and Mrs Anna Keller. Later Anna Keller, KELLER and Keller's dog; keller stays.", "Anna Keller is unknown here.", "Mr. Otto Schmidt's car. Otto drove."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in replace_personal_data(df, "k").collect()}
+    one = re.fullmatch(r"Dr (\w+) (\w+) and Mrs \1 \2\. Later \1 \2, (\w+) and \2's dog; keller stays\.", got[0]["text"])
+    assert one and one[3] == one[2].upper() and "Anna" not in got[0]["text"] and "Keller" not in got[0]["text"]
+    assert got[0]["n_entities"] == 6 == len(got[0]["surrogates"]) and got[1]["text"] == texts[1]
+    assert re.fullmatch(r"Mr\. (\w+) \w+'s car\. \1 drove\.", got[2]["text"]) and "Otto" not in got[2]["text"]
+
+
+def test_surrogates_of_all_given_names_are_distinct(spark, monkeypatch):
+    from chronarch.llm import surrogates
+
+    first = surrogates._surrogate
+    monkeypatch.setattr(surrogates, "_surrogate", lambda kind, canon, attempt, key: F.when(attempt == 0, "same").otherwise(first(kind, canon, attempt, key)))
+    given = spark.createDataFrame([("given", "otto"), ("given_m", "karl"), ("given_f", "anna")], "kind string, canon string")
+    assert surrogates.surrogate_table(given, "k").select("surrogate").distinct().count() == 3
+    monkeypatch.setattr(surrogates, "_surrogate", lambda kind, canon, attempt, key: F.lit("same"))
+    monkeypatch.setattr(surrogates, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        surrogates.surrogate_table(given, "k")
+
+
 def test_surrogates_stay_distinct(spark):
     df = spark.createDataFrame([(k, f"call +1 555 {k:07d}") for k in range(3000)], "doc_id long, text string")
     put = [r["surrogates"][0] for r in replace_personal_data(df, "k").collect()]
