@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from chronarch.llm.components import connected_components
 from chronarch.llm.tables import with_results, written
 
+#: A list of link types with canonical in it: quoted, or one word.
+REL = r"(?:\"(?:[^\">]*\s)?canonical(?=[\s\"])|'(?:[^'>]*\s)?canonical(?=[\s'])|canonical\b)"
 #: Links to the canonical page, and redirects by a page itself.  The place of the address differs, so there are two forms of each.
 LINKS = (
-    r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
-    r"(?is)<link\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\brel\s*=\s*[\"']?canonical\b",
+    rf"(?is)<link\b[^>]*?\brel\s*=\s*{REL}[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
+    rf"(?is)<link\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\brel\s*=\s*{REL}",
     r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)",
     r"(?is)<meta\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b",
 )
@@ -52,8 +54,38 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def resolved(target: Column, source: Column) -> Column:
+    """The address that ``target`` means on the page ``source``; null for schemes without ://, such as mailto:."""
+    scheme = F.regexp_extract(source, r"(?s)^(.*?:)//", 1)
+    root = F.regexp_extract(source, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = url_path(source)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(target, F.length(own) + 1, F.length(target))
+    whole = F.when(target.startswith("/"), own).otherwise(F.concat(folder, own))
+    steps = F.split(F.substring(whole, F.lit(2), F.length(whole)), "/")
+
+    def fold(done: Column, step: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    folded = F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), fold), "/"))
+    # A last . or .. is a folder.
+    folded = F.when(F.element_at(steps, -1).isin(".", "..") & (folded != "/"), F.concat(folded, F.lit("/"))).otherwise(folded)
+    query = F.regexp_extract(source, r"(?s)^([^?#]*(?:\?[^#]*)?)", 1)
+    return (
+        F.when(target.rlike("(?s)^[^/?#]*://"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/") & ~own.rlike(r"(?s)/\.\.?(?:/|$)"), F.concat(root, target))
+        .when(~source.contains("://") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("#"), F.concat(query, target))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .otherwise(F.concat(root, folded, rest))
+    )
+
+
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(source, target) addresses of canonical links and redirects to absolute or host-relative addresses."""
+    """(source, target) addresses of canonical links and redirects to absolute addresses and to those relative to the page."""
     source = F.col(f"`{url_col}`")
     html = F.col(f"`{html_col}`")
     targets = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in LINKS])
@@ -61,9 +93,7 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     some = pages.where(source.isNotNull() & html.rlike("(?i)canonical|http-equiv"))
     links = some.select(source.alias("source"), F.explode(targets).alias("target"))
     target = F.regexp_replace("target", "&amp;", "&")
-    scheme = F.regexp_extract("source", r"(?s)^(.*?:)//", 1)
-    root = F.regexp_extract("source", r"(?s)^(.*?://[^/?#]*)", 1)
-    target = F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(root, target))
+    target = resolved(target, F.col("source"))
     return links.select(url_node(F.col("source")).alias("source"), url_node(target).alias("target")).where("target IS NOT NULL AND source <> target").distinct()
 
 

@@ -93,6 +93,23 @@ def test_redirect_table_carries_blocks(spark):
     assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_relative_targets_and_lists_of_link_types(spark):
+    from chronarch.llm.url_filter import link_edges
+
+    page = "http://Example.com/en/a/b?q=1"
+    targets = {
+        "../de/x": "/en/de/x", "index.html": "/en/a/index.html", "?p=2": "/en/a/b?p=2", "./c/./d/../e?x=../y": "/en/a/c/e?x=../y", "../../../z": "/z",
+        "..": "/en/", "/m/../n": "/n", "/k": "/k", "r?u=http://o.org/": "/en/a/r?u=http://o.org/", "mailto:a@b.c": None, "#top": None,
+    }
+    rows = [(page.replace("com", f"h{k}"), f"<link href='{t}' rel='nofollow canonical'>") for k, t in enumerate(targets)]
+    got = {tuple(r) for r in link_edges(spark.createDataFrame(rows, "url string, html string"), "url", "html").collect()}
+    assert got == {(f"http://example.h{k}/en/a/b?q=1", f"http://example.h{k}{path}") for k, path in enumerate(targets.values()) if path}
+    html = '<link rel="nofollow canonical alternate" href="../de/b">'
+    pages = spark.createDataFrame([(1, "http://example.com/en/a", html), (2, "http://example.com/en/c", html.replace("canonical", "canonical-not"))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in judge_pages(pages, [("example.com/de/", "block")]).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     return spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
