@@ -13,6 +13,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,12 @@ from pyspark.sql import functions as F
 
 from chronarch.llm import textarrays as ta
 from chronarch.llm.lexicon import Lexicon, build
-from chronarch.llm.tables import with_results
+from chronarch.llm.shipping import ship, shipped
+from chronarch.llm.tables import prepare, with_results
 
 #: Words in the lexicon, and counters of a task's summary.
 LEXICON_WORDS, COUNTERS = 1 << 14, 1 << 15
-#: Rank of a pair that is not merged.
-NO_RANK = 1 << 30
-#: Words that a task keeps decided, so that it does not walk the automaton for each.
+#: Words that a worker keeps decided, so that it does not walk the automaton for each.
 KEPT_WORDS = 1 << 17
 #: All but ASCII letters and characters outside ASCII.
 NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
@@ -66,21 +66,26 @@ class WordBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the leftmost pair of least rank is merged until none is left."""
-        parts = [self.characters[b] for b in word]
+        parts: list[str | None] = [self.characters[b] for b in word]
         parts[-1] += self.suffix
-        rank = self.ranks.get
-        open_ = [rank(p, NO_RANK) for p in zip(parts, parts[1:])]  # rank of each pair of neighbours
-        while open_:
-            least = min(open_)
-            if least == NO_RANK:
-                break
-            k = open_.index(least)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del open_[k]
-            if k:
-                open_[k - 1] = rank((parts[k - 1], parts[k]), NO_RANK)
-            if k < len(open_):
-                open_[k] = rank((parts[k], parts[k + 1]), NO_RANK)
+        n, rank = len(parts), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        waiting = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank(p)) is not None]
+        heapify(waiting)  # by rank, then place
+        while waiting:
+            r, i = heappop(waiting)
+            k = after[i]
+            if parts[i] is None or k >= n or rank((parts[i], parts[k])) != r:
+                continue  # one of the two has been merged since
+            parts[i] += parts[k]
+            parts[k] = None
+            after[i] = to = after[k]
+            before[to] = i
+            if to < n and (r := rank((parts[i], parts[to]))) is not None:
+                heappush(waiting, (r, i))
+            at = before[i]
+            if at >= 0 and (r := rank((parts[at], parts[i]))) is not None:
+                heappush(waiting, (r, at))
         return [self.ids[p] for p in parts if p in self.ids]
 
     def pieces(self, text: str) -> list[str]:
@@ -137,6 +142,17 @@ class Coder:
         return " ".join(filter(None, ids)), " ".join(filter(None, words))
 
 
+_CODERS: dict[str, Coder] = {}
+
+
+def _coder(bpe: WordBpe, file: str) -> Coder:
+    """The coder of a worker process, which maps the lexicon's file once."""
+    if file not in _CODERS:
+        _CODERS.clear()
+        _CODERS[file] = Coder(bpe, Lexicon(shipped(file)))
+    return _CODERS[file]
+
+
 def frequent_words(texts: DataFrame) -> list[str]:
     """The words of greatest count over all rows of ``texts`` (text), by summaries of bounded size."""
 
@@ -170,15 +186,16 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids: bool =
     ``vocabulary`` is the path of the tokenizer file, read by the driver.
     """
     spark = docs.sparkSession
+    prepare(spark)
     bpe = WordBpe(vocabulary)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     words = [w for w in frequent_words(texts) if bpe.pieces(w) == [w]]
-    shared = spark.sparkContext.broadcast((bpe, build({w.encode(): bpe.merge(w.encode()) for w in words})))
+    file = ship(spark, build({w.encode(): bpe.merge(w.encode()) for w in words}), "lexicon")
+    shared = spark.sparkContext.broadcast(bpe)
     others = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, data = shared.value
-        coder = Coder(bpe, Lexicon(data))
+        coder = _coder(shared.value, file)
         for batch in batches:
             n, sha, decoded, numbers = [], [], [], []
             for text in batch["text"]:  # one after the other: the strings of a batch's ids would fill the memory
@@ -202,6 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids: bool =
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """All columns of ``df`` with decoded: the tokens of ids_col joined by one space; null ids give "", unknown ones nothing."""
+    prepare(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(WordBpe(vocabulary).tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

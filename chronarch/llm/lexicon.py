@@ -7,15 +7,15 @@ the outputs along a path add up to the word's number, which tells its ids.
 
 from __future__ import annotations
 
-import mmap
 import os
-import tempfile
 
 import numpy as np
 
+from chronarch.llm.shipping import Mapped
 
-def build(words: dict[bytes, list[int]]) -> bytes:
-    """The file's bytes: sizes, then first transition and finality of each state, labels, targets and outputs, id offsets, ids."""
+
+def build(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
+    """The arrays of the file: first transition and finality of each state, labels, targets and outputs, id offsets, ids."""
     ordered = sorted(words)
     register: dict[tuple, int] = {}
     path: list[dict[int, object]] = [{}]
@@ -55,31 +55,27 @@ def build(words: dict[bytes, list[int]]) -> bytes:
         first.append(len(label))
     ids = [x for w in ordered for x in words[w]]
     offsets = np.cumsum([0] + [len(words[w]) for w in ordered])
-    parts = [np.array(x, np.int32) for x in (first, [int(s[0]) for s in states], label, target, output, offsets, ids)]
-    return b"".join([np.array([len(p) for p in parts], np.int32).tobytes(), *(p.tobytes() for p in parts)])
+    told = {"first": first, "final": [int(s[0]) for s in states], "target": target, "output": output, "offsets": offsets, "ids": ids}
+    return {"label": np.array(label, np.uint8)} | {k: np.array(x, np.int32) for k, x in told.items()}
 
 
 class Lexicon:
-    """Reads the file of ``build`` in place."""
+    """Reads the mapped file of ``build`` in place."""
 
-    def __init__(self, data: bytes) -> None:
-        with tempfile.TemporaryFile() as file:  # no name is left behind; the map stays until the process ends
-            file.write(data)
-            file.flush()
-            view = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)).cast("i")
-        at, parts = 7, []
-        for n in view[:7]:
-            parts.append(view[at : at + n])
-            at += n
-        self.first, self.final, self.label, self.target, self.output, self.offsets, self.ids = parts
-        self.label = bytes(self.label.tolist())  # one byte each, to be searched at once
+    def __init__(self, file: Mapped) -> None:
+        view = memoryview(file.map)
+        self.first, self.final, self.target, self.output, self.offsets, self.ids = (
+            view[file.at[k] : file.at[k] + file[k].nbytes].cast("i") for k in ("first", "final", "target", "output", "offsets", "ids")
+        )
+        self.map, self.labels = file.map, file.at["label"]
+        self.bytes = [bytes([c]) for c in range(256)]
         self.root = len(self.final) - 1
 
     def get(self, word: bytes) -> list[int] | None:
         state, number = self.root, 0
-        first, label = self.first, self.label
+        first, labels = self.first, self.labels
         for c in word:
-            k = label.find(c, first[state], first[state + 1])
+            k = self.map.find(self.bytes[c], labels + first[state], labels + first[state + 1]) - labels
             if k < 0:
                 return None
             number += self.output[k]
