@@ -1,71 +1,252 @@
-"""Benchmark passages in documents, found by an Aho-Corasick automaton.
+"""Benchmark passages in documents, found by one Aho-Corasick automaton over words.
 
-Test items are normalised to words and cut into windows; the automaton holds them
-all and reads every document once.  Words keep their places, so what is found is
-told as byte offsets of the original text.
+Any window of w consecutive words holds a whole segment of g = (w + 1) // 2 words
+that begins at a multiple of g in its item.  The automaton holds these segments, a
+node for each word at most, so it is about as large as the items; items shorter than
+a window stand in it whole.  It reads every document once.  Where a segment is
+found, the words before and after are compared with the item's, which tells the
+windows that occur.  Words keep their places, so hits are told as byte offsets of
+the original text.
 
-The windows are broadcast.  Their size is checked: items of more than ``BLOCK``
-bytes are dealt into blocks, each with an automaton of its own, which the
-documents pass one after the other without a shuffle.
+A document's words are read in many lanes side by side, each overlapping the one
+before by the longest pattern, so that a step of the automaton is one step of arrays.
+Words are told apart by 64-bit hashes.  The automaton is one memory-mapped file; the
+items of ``MOST_BYTES`` make one, and more items another one, with hits merged by text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronarch.llm import textarrays as ta
-from chronarch.llm.tables import with_results
+from chronarch.llm.shipping import ship, shipped
+from chronarch.llm.tables import Scratch, prepare, text_key, with_results
 
-#: Bytes of item texts in one automaton, which takes some hundred times as much memory.
-BLOCK = 1 << 20
+_U = np.uint64
+#: Bytes of item texts in one automaton.
+MOST_BYTES = 64 << 20
+#: Words of a lane, without the overlap.
+LANE = 64
+RUN = "array<struct<first: int, last: int, start: int, end: int>>"
 
-#: Lower-cases A-Z and makes a space of every byte outside words.
-NORMAL = bytes(32 if c in ta.NOT_ALPHANUMERIC and not 65 <= c <= 90 else c + 32 * (65 <= c <= 90) for c in range(256))
 
+def _find(edges: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node reached, whether there is an edge): edge k leads to node k + 1."""
+    at = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
+    return at + 1, edges[at] == key
 
-def normal_words(text: bytes) -> list[bytes]:
-    return text.translate(NORMAL).split()
+
+def build(items: list[tuple[str | None, str | None]], size: int) -> tuple[dict[str, np.ndarray], list[list[str]]]:
+    """(arrays of the automaton, names of each class of items with equal words)."""
+    texts = pa.array([t for _, t in items], pa.string())
+    classes: dict[bytes, int] = {}
+    names: list[set[str]] = []
+    words: list[np.ndarray] = []
+    k = 0
+    for w in ta.chunks(texts, ta.NOT_ALPHANUMERIC_RAW):
+        hashes = w.hashes(lower=True)
+        for a, b in zip(w.offsets[:-1], w.offsets[1:]):
+            own = hashes[a:b]
+            if len(own):
+                c = classes.setdefault(own.tobytes(), len(words))
+                if c == len(words):
+                    words.append(own), names.append(set())
+                if items[k][0] is not None:
+                    names[c].add(items[k][0])
+            k += 1
+    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, _U)
+    n_words = max(1, len(vocabulary))
+    item_words = np.searchsorted(vocabulary, np.concatenate(words)).astype(np.int32) if words else np.zeros(0, np.int32)
+    sizes = np.array([len(w) for w in words], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    # Patterns: where in item_words each begins, and its length.
+    g = (size + 1) // 2
+    short = sizes < size
+    segments = np.where(short, 1, sizes // g)
+    item = np.repeat(np.arange(len(sizes)), segments)
+    nth = np.arange(len(item)) - np.repeat(np.cumsum(segments) - segments, segments)
+    start = begins[item] + nth * g
+    length = np.where(short[item], sizes[item], g)
+    # Level by level: nodes are numbered in the order of their edges (node * n_words + word), which are sorted.
+    node, first = np.zeros(len(item), np.int64), 0
+    edges, fail, levels = np.zeros(0, np.int64), np.zeros(1, np.int32), []
+    for d in range(int(length.max()) if len(length) else 0):
+        going = np.flatnonzero(length > d)
+        key = node[going] * n_words + item_words[start[going] + d]
+        own, inverse = np.unique(key, return_inverse=True)
+        node[going] = len(edges) + 1 + inverse
+        edges = np.concatenate([edges, own])
+        levels.append((first, len(edges)))
+        first = len(edges)
+    fail = np.zeros(len(edges) + 1, np.int32)
+    for a, b in levels[1:]:
+        parent, word = edges[a:b] // n_words, edges[a:b] % n_words
+        at, open_ = fail[parent].astype(np.int64), np.arange(b - a)
+        while len(open_):
+            to, there = _find(edges, at[open_] * n_words + word[open_])
+            fail[a + 1 + open_[there]] = to[there]
+            open_ = open_[~there]
+            open_ = open_[at[open_] > 0]
+            at[open_] = fail[at[open_]]
+    # Occurrences of the pattern that ends at a node, and the next node on the way of failures at which a pattern ends.
+    order = np.argsort(node, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(node, minlength=len(edges) + 1))]
+    link = np.zeros(len(edges) + 1, np.int32)
+    for a, b in levels:
+        at = fail[a + 1 : b + 1]
+        link[a + 1 : b + 1] = np.where(np.diff(ends)[at] > 0, at, link[at])
+    root = np.zeros(n_words, np.int32)
+    top = edges[: levels[0][1]] if levels else edges
+    root[top] = np.arange(1, len(top) + 1)
+    arrays = {
+        "vocabulary": vocabulary, "edges": edges, "fail": fail, "link": link, "root": root, "ends": ends, "item": item[order].astype(np.int32),
+        "start": start[order], "length": length[order].astype(np.int32), "item_words": item_words, "begins": np.r_[begins, len(item_words)],
+    }
+    return arrays, [sorted(x) for x in names]
+
+
+def _lanes(offsets: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each lane, its text's first word); lanes begin every ``LANE`` words of a text."""
+    many = -(-np.diff(offsets) // LANE)
+    text = np.repeat(offsets[:-1], many)
+    return text + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)), text
 
 
-def windows_of(items: list[tuple[str, bytes]], size: int) -> dict[bytes, list[str]]:
-    """Items by window; an item of fewer words than ``size`` is one window, one without words none."""
-    out: dict[bytes, list[str]] = {}
-    for name, text in items:
-        words = normal_words(text)
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            names = out.setdefault(b" ".join(words[k : k + size]), [])
-            if name not in names:
-                names.append(name)
-    return out
+def scan(m, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the last word, node) of every pattern found in the texts, whose words (places in the vocabulary, -1 if not there) are ``ids``."""
+    edges, fail, link, root, ends = (m[k] for k in ("edges", "fail", "link", "root", "ends"))
+    if not len(edges) or not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n_words, overlap = len(root), int(m["length"].max()) - 1
+    first, text = _lanes(offsets, overlap)
+    last = np.minimum(first + LANE, np.repeat(offsets[1:], -(-np.diff(offsets) // LANE)))
+    state = np.zeros(len(first), np.int64)
+    places, nodes = [], []
+    ended = np.diff(ends) > 0
+    for t in range(-overlap, LANE):
+        at = first + t
+        inside = (at >= text) & (at < last)
+        word = np.where(inside, ids[np.minimum(np.maximum(at, 0), len(ids) - 1)], -1)
+        go = np.flatnonzero(word >= 0)
+        now, word = state[go], word[go]
+        new = root[word].astype(np.int64)
+        open_ = np.flatnonzero(now > 0)
+        while len(open_):
+            to, there = _find(edges, now[open_] * n_words + word[open_])
+            new[open_[there]] = to[there]
+            open_ = open_[~there]
+            now[open_] = fail[now[open_]]
+            open_ = open_[now[open_] > 0]
+        state[:] = 0
+        state[go] = new
+        if t < 0:
+            continue
+        hit = go[new > 0]
+        found = np.where(ended[state[hit]], state[hit], link[state[hit]])
+        while len(hit := hit[found > 0]):
+            found = found[found > 0]
+            places.append(at[hit]), nodes.append(found)
+            found = link[found]
+    return (np.concatenate(places), np.concatenate(nodes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-@lru_cache(maxsize=2)
-def _automaton(windows: tuple[bytes, ...]) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for k, w in enumerate(windows):
-        # Latin-1 gives a character for each byte, so offsets stay those of the bytes.
-        found.add_word(f" {w.decode('latin-1')} ", (k, len(w)))
-    found.make_automaton()
-    return found
+def _hits(m, ids: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, item class) of each stretch of words that windows cover."""
+    place, node = scan(m, ids, offsets)
+    many = m["ends"][node + 1] - m["ends"][node]
+    which = np.repeat(m["ends"][node], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    item, start, length = m["item"][which], m["start"][which], m["length"][which].astype(np.int64)
+    a = np.repeat(place, many) + 1 - length
+    b = a + length
+    low, high = m["begins"][item], m["begins"][item + 1]
+    text = np.searchsorted(offsets, a, "right") - 1
+    whole = high - low < size
+    left, right = (~whole).copy(), (~whole).copy()  # which still grow
+    before, after = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    words = m["item_words"]
+    for d in range(1, size - (size + 1) // 2 + 1):
+        i, q = a - d, start - d
+        left &= (i >= offsets[text]) & (q >= low)
+        left &= ids[np.maximum(i, 0)] == words[np.maximum(q, 0)]
+        before += left
+        i, q = b + d - 1, start + length + d - 1
+        right &= (i < offsets[text + 1]) & (q < high)
+        right &= ids[np.minimum(i, len(ids) - 1)] == words[np.minimum(q, len(words) - 1)]
+        after += right
+    real = whole | (before + length + after >= size)
+    return (a - before)[real], (b + after)[real], item[real]
 
 
-def _blocks(items: DataFrame, size: int) -> list[dict[bytes, list[str]]]:
-    blocks, rows, held = [], [], 0
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Items of ``MOST_BYTES`` at a time, one block held at once; at least one block."""
+    rows, held, any_ = [], 0, False
     for row in items.toLocalIterator():
-        text = (row["text"] or "").encode()
-        rows.append((row["item"], text))
-        held += len(text)
-        if held > BLOCK:
-            blocks.append(rows)
-            rows, held = [], 0
-    return [windows_of(b, size) for b in [*blocks, rows] if b]
+        rows.append((row["item"], row["text"]))
+        held += len(row["text"] or "")
+        if held > MOST_BYTES:
+            yield rows
+            rows, held, any_ = [], 0, True
+    if rows or not any_:
+        yield rows
+
+
+def _scanned(rows: DataFrame, block: list, size: int, hits_only: bool) -> DataFrame:
+    """``rows`` (text and others) with n_words, runs and names in place of the text; with ``hits_only``, those with runs."""
+    arrays, names = build(block, size)
+    file = ship(rows.sparkSession, arrays, "automaton")
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped(file)
+        vocabulary = m["vocabulary"]
+        for batch in batches:
+            n, runs, found = [], [], []
+            for w in ta.chunks(batch["__text"], ta.NOT_ALPHANUMERIC_RAW):
+                n += np.diff(w.offsets).tolist()
+                first = len(runs)
+                runs += [None] * (len(w.offsets) - 1)
+                found += [None] * (len(w.offsets) - 1)
+                if not len(vocabulary) or not len(w.starts):
+                    continue
+                hashes = w.hashes(lower=True)
+                ids = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+                ids = np.where(vocabulary[ids] == hashes, ids, -1)
+                a, b, item = _hits(m, ids, w.offsets, size)
+                if not len(a):
+                    continue
+                cover = np.bincount(a, minlength=len(ids) + 1) - np.bincount(b, minlength=len(ids) + 1)
+                mark = np.cumsum(cover)[:-1] > 0
+                text = np.searchsorted(w.offsets, a, "right") - 1
+                for i in np.unique(text):
+                    s, e = w.offsets[i], w.offsets[i + 1]
+                    edge = np.diff(np.r_[0, mark[s:e], 0].astype(np.int8))
+                    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+                    at = w.bounds[i]
+                    runs[first + i] = [{"first": int(x), "last": int(y), "start": int(w.starts[s + x] - at), "end": int(w.ends[s + y] - at)} for x, y in zip(begin, end)]
+                    found[first + i] = sorted({x for c in np.unique(item[text == i]) for x in shared.value[c]})
+            kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
+            out = {c: batch[c] for c in batch.schema.names if c != "__text"}
+            out = pa.RecordBatch.from_pydict(out | {"__n": pa.array(n, pa.int64()), "__runs": pa.array(runs, kind), "__names": pa.array(found, pa.list_(pa.string()))})
+            yield out.filter(out["__runs"].is_valid()) if hits_only else out
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
+    return rows.mapInArrow(run, f"{kept}, __n long, __runs {RUN}, __names array<string>")
+
+
+def _united(runs: Column) -> Column:
+    """Runs in order, those that meet made one."""
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        both = F.struct(last["first"].alias("first"), F.greatest(last["last"], r["last"]).alias("last"), last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when((F.size(done) == 0) | (r["first"] > F.try_element_at(done, F.lit(-1))["last"] + 1), F.concat(done, F.array(r))).otherwise(F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(both)))
+
+    return F.aggregate(F.array_sort(runs), F.array().cast(RUN), add)
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, per_hit: int = 20, keep_text: bool = True) -> DataFrame:
@@ -78,74 +259,36 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Null and empty texts have no words; neither they nor items without words hit.
     Items with a null id are left out of n_items.  Items with equal texts are all
-    counted, an item_id that stands in several rows once.  Input columns named like
-    a result are replaced.  No items: no hits.
+    counted, an item_id that stands in several rows once.  Repeated rows are told
+    alike.  Input columns named like a result are replaced.  No items: no hits.
     """
     spark = docs.sparkSession
-    blocks = _blocks(items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")), size) or [{}]
-    rows = docs if keep_text else docs.withColumn("__text", F.col(f"`{text_col}`")).drop(text_col).withColumnRenamed("__text", text_col)
-    hits, of_items = "__hits", "__names"
-    rows = rows.withColumns({hits: F.lit(None).cast("binary"), of_items: F.array().cast("array<string>")})
-    for block in blocks:
-        windows = spark.sparkContext.broadcast((tuple(block), list(block.values())))
-
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            keys, names = windows.value
-            find = _automaton(keys)
-            for batch in batches:
-                marks, found = [], []
-                texts = batch[text_col].cast(pa.binary()).to_pylist()
-                for text, before, old in zip(texts, batch[hits].to_pylist(), batch[of_items].to_pylist()):
-                    words = normal_words(text or b"")
-                    own = set()
-                    hit = []
-                    if keys and words:
-                        for end, (k, length) in find.iter(f" {b' '.join(words).decode('latin-1')} "):
-                            hit.append((end - 1 - length, end))
-                            own.update(x for x in names[k] if x is not None)
-                    if hit:
-                        mark = np.zeros(len(words), np.uint8) if before is None else np.frombuffer(before, np.uint8).copy()
-                        starts = np.cumsum([1] + [len(x) + 1 for x in words[:-1]])
-                        for a, b in zip(np.searchsorted(starts, [h[0] + 1 for h in hit]), np.searchsorted(starts, [h[1] for h in hit])):
-                            mark[a:b] = 1
-                        before = mark.tobytes()
-                    marks.append(before)
-                    found.append(sorted({*old, *own}))
-                for name, values, kind in ((hits, marks, pa.binary()), (of_items, found, pa.list_(pa.string()))):
-                    k = batch.schema.get_field_index(name)
-                    batch = batch.set_column(k, name, pa.array(values, kind))
-                yield batch
-
-        rows = rows.mapInArrow(scan, rows.schema)
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, n_hit, spans = [], [], []
-            marks = batch[hits].to_pylist()
-            k = 0
-            for w in ta.chunks(batch[text_col], ta.NOT_ALPHANUMERIC_RAW):
-                for i, (a, b) in enumerate(zip(w.offsets[:-1], w.offsets[1:])):
-                    n.append(int(b - a))
-                    own = []
-                    if marks[k] is not None:
-                        mark = np.frombuffer(marks[k], np.uint8)
-                        edge = np.diff(np.r_[0, mark, 0].astype(np.int8))
-                        own = [{"start": int(w.starts[a + s] - w.bounds[i]), "end": int(w.ends[a + e - 1] - w.bounds[i])} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
-                        n_hit.append(int(mark.sum()))
-                    else:
-                        n_hit.append(0)
-                    spans.append(own)
-                    k += 1
-            batch = batch.append_column("__n_words", pa.array(n, pa.int64())).append_column("__n_hit", pa.array(n_hit, pa.int64()))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            batch = batch.append_column("__spans", pa.array(spans, span))
-            yield batch.drop_columns([hits] + ([] if keep_text else [text_col]))
-
-    kept = [f for f in rows.schema.fields if f.name != hits and (keep_text or f.name != text_col)]
-    out = rows.mapInArrow(tell, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__n_words long, __n_hit long, __spans array<struct<start: int, end: int>>"]))
+    prepare(spark)
+    text = F.col(f"`{text_col}`")
+    blocks = _blocks(items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")))
+    block, after = next(blocks), next(blocks, None)
+    others = [f"`{c}`" for c in docs.columns if keep_text or c != text_col]
+    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("__row"), text_key(text).alias("__key"), text.alias("__text"))
+    out = _scanned(rows, block, size, hits_only=False)
+    if after is not None:
+        # More items than one automaton takes: the hits of each further one, by text, are joined to those of the first.
+        more, scratch = None, Scratch(spark)
+        while after is not None:
+            found = scratch.written(_scanned(docs.select(text_key(text).alias("__key"), text.alias("__text")), after, size, hits_only=True).dropDuplicates(["__key"]), "hits")
+            more = found if more is None else more.union(found)
+            after = next(blocks, None)
+        more = more.groupBy("__key").agg(F.flatten(F.collect_list("__runs")).alias("__more"), F.flatten(F.collect_list("__names")).alias("__others"))
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+        out = out.join(more, "__key", "left")
+        runs = _united(F.concat(none(F.col("__runs"), RUN), none(F.col("__more"), RUN)))
+        out = out.select("__row", "__n", runs.alias("__runs"), F.array_sort(F.array_distinct(F.concat(none(F.col("__names"), "array<string>"), none(F.col("__others"), "array<string>")))).alias("__names"))
+    runs, names = F.col("__runs"), F.coalesce("__names", F.array().cast("array<string>"))
+    n_hit = F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0).cast("long"))
+    spans = F.coalesce(F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))), F.array().cast("array<struct<start: int, end: int>>"))
+    told = out.select("__row.*", F.col("__n"), n_hit.alias("__hit"), names.alias("__names"), spans.alias("__spans"))
     results = {
-        "n_words": F.col("__n_words"), "n_hit": F.col("__n_hit"), "n_items": F.size(of_items).cast("long"),
-        "items_sha256": F.sha2(F.concat_ws(",", of_items), 256),
-        "contaminated": (F.col("__n_hit") > 0) & (per_hit * F.col("__n_hit") >= F.col("__n_words")), "hit_spans": F.col("__spans"),
+        "n_words": F.col("__n"), "n_hit": F.col("__hit"), "n_items": F.size("__names").cast("long"),
+        "items_sha256": F.sha2(F.concat_ws(",", "__names"), 256),
+        "contaminated": (F.col("__hit") > 0) & (per_hit * F.col("__hit") >= F.col("__n")), "hit_spans": F.col("__spans"),
     }
-    return with_results(out, results).drop("__n_words", "__n_hit", "__spans", of_items)
+    return with_results(told, results).drop("__n", "__hit", "__names", "__spans")
