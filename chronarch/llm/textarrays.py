@@ -1,6 +1,6 @@
 """Words and hashes of a column of texts, as numpy arrays.
 
-``chunks`` cuts an Arrow string column into pieces of whole texts (about 1 MB
+``chunks`` cuts an Arrow string column into pieces of whole texts (about half a MB
 each, so that the working arrays stay small) and gives each piece as ``Words``.
 A null text is a text without words.  Words never cross two texts.
 """
@@ -17,7 +17,7 @@ U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64, for polynomial hashes.
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Bytes that separate words: all but these belong to words.  Texts are UTF-8, so
 #: bytes from 0x80 up are parts of characters outside ASCII.

@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples, in exact TF-IDF cosine over all terms.
 
-A bounded sample of labelled documents gives the examples.  Document frequencies are
-counted over all documents.  The examples' vectors hold all their terms and are
-inverted; terms that many examples have are rows of a matrix instead, by which texts
-are multiplied many at once.  Every example with a term in common is scored, so the
-nearest are exact.  Votes are weighted by cosine; their share is calibrated by a
-logistic curve fitted to the examples' own votes, each without itself.
+A bounded sample of labelled documents gives the examples; their terms are words,
+and document frequencies are counted over all documents.  The inverted index is cut
+into blocks of similar examples.  Terms that few examples have are scored in full;
+of the others a block has the greatest weight, so that the best that a block can
+reach is known before its examples are scored.  Blocks that cannot reach the k-th
+best cosine are passed over: the neighbours found are those of a full comparison.
+
+Votes are weighted by cosine.  Their share is calibrated by a logistic curve fitted
+to the examples' own votes, each without itself.
 """
 
 from __future__ import annotations
@@ -17,87 +20,89 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronarch.llm import textarrays as ta
-from chronarch.llm.decontamination import NORMAL
 from chronarch.llm.sketch import counts
-from chronarch.llm.tables import with_results
+from chronarch.llm.tables import Scratch, prepare, with_results
 
 _U = np.uint64
-#: Bounds of the sample: labelled documents, and bytes of all their texts are read once by the driver's model fit as term sets.
-MOST_EXAMPLES = 6000
-#: Hashed terms.
-TERMS = 1 << 20
-#: Bytes of a word's beginning that are terms too; counts from which a term is one more.
-PREFIXES, LEVELS = (4, 6), (2, 4, 8, 16)
-#: Nearest examples that vote, weight of the prior among them.
-NEAREST, PRIOR_WEIGHT = 15, 0.5
-#: A term is a row of the matrix if one example in so many has it, up to so many terms; texts multiplied at once.
-COMMON, MOST_ROWS, AT_ONCE = 16, 1024, 128
-WORDS = bytes(c for c in range(256) if NORMAL[c] == 32)
+#: Bounds of the sample: labelled documents, and bytes of all their texts.
+MOST_EXAMPLES, MOST_BYTES = 4000, 64 << 20
+#: Nearest examples that vote (with all that tie with the last of them), and weight of the prior among them.
+NEAREST, PRIOR_WEIGHT = 47, 0.5
+#: Cosines that differ by less are ties.
+TIE = 1e-6
+#: Examples in a block; a term is common if one example in so many has it, for so many terms at most; texts scored at once.
+BLOCK, COMMON, MOST_COMMON, AT_ONCE = 32, 16, 1024, 128
 
 
 def term_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct hashed terms of each text and their counts.
-
-    Terms are words and their first 4 and 6 bytes.  A term that comes 2, 4, 8 or 16
-    times is so many more terms, as cosine alone forgets how often a text says it.
-    """
-    for w in ta.chunks(column, WORDS):
-        parts = [w.hashes(lower=True)]
-        letters = w.letters(lower=True)
-        for n in PREFIXES:
-            parts.append(ta.mix(ta.spans(letters, w.starts, np.minimum(w.starts + n, w.ends)) + _U(n)))
-        terms = np.stack([(p % _U(TERMS)).astype(np.int32) for p in parts], 1)
+    """Distinct terms of each text, as sorted 64-bit hashes of its words (A-Z as a-z), and their counts."""
+    for w in ta.chunks(column, ta.NOT_ALPHANUMERIC_RAW):
+        words = w.hashes(lower=True)
         for a, b in zip(w.offsets[:-1], w.offsets[1:]):
-            own, count = np.unique(terms[a:b], return_counts=True)
-            all_own, all_count = [own], [count]
-            for k in LEVELS:
-                often = own[count >= k]
-                if not len(often):
-                    break
-                all_own.append((ta.mix(often.astype(_U) + _U(k << 32)) % _U(TERMS)).astype(np.int32))
-                all_count.append(np.ones(len(often), np.int64))
-            own, count = np.concatenate(all_own), np.concatenate(all_count)
-            own, first = np.unique(own, return_index=True)
-            yield own, count[first]
+            yield np.unique(words[a:b], return_counts=True)
+
+
+def idf(frequency: np.ndarray, n_documents: int) -> np.ndarray:
+    """A term of no document weighs as much as one of a single document."""
+    return np.log((1 + n_documents) / np.clip(frequency, 1, max(1, n_documents)))
+
+
+def _halves(ids: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Examples in blocks of similar ones: cut in two along the direction in which they differ most, again and again."""
+    if len(ids) <= BLOCK:
+        yield ids
+        return
+    x = rows[:, ids] - rows[:, ids].mean(axis=1, keepdims=True)
+    side = np.sin(np.arange(len(ids)) + 1.0)
+    for _ in range(6):
+        side = x.T @ (x @ side)
+        side = side / (np.linalg.norm(side) or 1.0)
+    order = ids[np.argsort(side, kind="stable")]
+    half = -(-len(ids) // (2 * BLOCK)) * BLOCK
+    yield from _halves(np.sort(order[:half]), rows)
+    yield from _halves(np.sort(order[half:]), rows)
 
 
 @dataclass
 class Index:
     """Inverted lists of the examples; term t's postings are from ``ends[t]`` to ``ends[t + 1]``.
 
-    Weights and the matrix follow from the counts, so they are made anew where an
-    index arrives, and only the counts are sent.
+    Weights, blocks and the rows of common terms follow from the counts, so they are
+    made anew where an index arrives, and only the counts are sent.
     """
 
     terms: np.ndarray  #: the examples' terms, sorted
-    frequency: np.ndarray  #: of every hashed term, in ``n_documents``
+    frequency: np.ndarray  #: of those terms, in ``n_documents``
     n_documents: int
-    names: np.ndarray  #: ids of the examples
+    names: np.ndarray  #: ids of the examples, in the order of blocks
     labels: np.ndarray
     prior: float
-    norms: np.ndarray  #: of the examples
     ends: np.ndarray
     example: np.ndarray  #: postings
     count: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
 
-    def __post_init__(self):
-        self.idf = idf(self.frequency, self.n_documents)
-        many = np.diff(self.ends)
-        self.weight = (1 + np.log(self.count)) / self.norms[self.example] * np.repeat(self.idf[self.terms], many)
-        common = np.sort(np.argsort(-many, kind="stable")[:MOST_ROWS])
-        common = common[COMMON * many[common] >= len(self.names)]
+    def __post_init__(self) -> None:
+        n, many = len(self.names), np.diff(self.ends)
+        self.idf, self.no_idf = idf(self.frequency, self.n_documents), float(np.log(1 + max(1, self.n_documents)))
+        weight = (1 + np.log(self.count)) * np.repeat(self.idf, many)
+        norms = np.sqrt(np.bincount(self.example, weights=weight**2, minlength=n))
+        self.weight = (weight / np.where(norms > 0, norms, 1)[self.example]).astype(np.float32)
+        common = np.sort(np.argsort(-many, kind="stable")[:MOST_COMMON])
+        common = common[COMMON * many[common] >= n]
         self.row = np.full(len(many), -1, np.int32)  # of each term its row, or -1
         self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), len(self.names)))
+        self.rows = np.zeros((len(common), n), np.float32)
         for k, t in enumerate(common):
             s = slice(self.ends[t], self.ends[t + 1])
             self.rows[k, self.example[s]] = self.weight[s]
+        self.starts = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.rows, self.starts, axis=1) if n else self.rows
 
     def __reduce__(self):
         values = [getattr(self, f.name) for f in fields(self)]
@@ -105,161 +110,203 @@ class Index:
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``terms`` and weights; the norm is over all terms of the text, in an example or not."""
-        w = (1 + np.log(tf)) * self.idf[terms]
-        w = w / np.sqrt(np.sum(w * w)) if len(w) else w
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         own = self.terms[at] == terms
-        return at[own], w[own]
-
-    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosines of texts (rows) with all examples."""
-        common = np.zeros((len(vectors), len(self.rows)))
-        for k, (at, w) in enumerate(vectors):
+        w = (1 + np.log(tf)) * np.where(own, self.idf[at], self.no_idf)
+        w = w / (np.sqrt(np.sum(w * w)) or 1.0)
+        return at[own], w[own].astype(np.float32)
+
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None, k: int = NEAREST) -> tuple[np.ndarray, int]:
+        """(cosines of texts (rows) with all examples that can be among the k nearest, others -1; number of blocks scored).
+
+        ``without``: an example for each text that is left out.
+        """
+        n, e = len(vectors), len(self.names)
+        common, out = np.zeros((n, len(self.rows)), np.float32), np.zeros((n, e), np.float32)
+        for i, (at, w) in enumerate(vectors):
             row = self.row[at]
-            common[k, row[row >= 0]] = w[row >= 0]
-        out = common @ self.rows
-        for k, (at, w) in enumerate(vectors):
-            at, w = at[self.row[at] < 0], w[self.row[at] < 0]
+            common[i, row[row >= 0]] = w[row >= 0]
+            at, w = at[row < 0], w[row < 0]
             begin = self.ends[at]
             many = self.ends[at + 1] - begin
             total = int(many.sum())
             if total:
                 s = np.arange(total) + np.repeat(begin - (np.cumsum(many) - many), many)
-                out[k] += np.bincount(self.example[s], weights=self.weight[s] * np.repeat(w, many), minlength=len(self.names))
-        return out
-
-    def best(self, score: np.ndarray, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of greatest cosine above 0, and the cosines; ties go to the example that comes first."""
-        if without >= 0:
-            score[without] = 0
-        least = np.partition(score, -k)[-k] - 1e-8 if len(score) > k else 0.0
-        who = np.flatnonzero((score > 0) & (score >= least))
-        what = score[who]
-        top = np.lexsort((who, -np.round(what, 9)))[:k]
-        return who[top], what[top]
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        if not len(at) or not len(self.names):
-            return np.zeros(0, np.int64), np.zeros(0)
-        return self.best(self.cosines([(at, w)])[0], without, k)
-
-    def nearest_of(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], themselves: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                out[i] = np.bincount(self.example[s], weights=self.weight[s] * np.repeat(w, many), minlength=e)
+        bound = np.maximum.reduceat(out, self.starts, axis=1) + common @ self.most + TIE
+        done = np.zeros(bound.shape, bool)
+        first = min(bound.shape[1], 2 * -(-k // BLOCK) + 1)
+        wanted = np.zeros(bound.shape, bool)
+        np.put_along_axis(wanted, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        for last in (False, True):
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who = np.flatnonzero(wanted[:, b])
+                s = slice(self.starts[b], self.starts[b] + BLOCK)
+                out[who, s] += common[who] @ self.rows[:, s]
+            done |= wanted
+            if not last:  # what the blocks scored so far reach decides which others are needed
+                seen = np.where(np.repeat(done, BLOCK, axis=1)[:, :e], out, -1)
+                if without is not None:
+                    seen[np.arange(n), without] = -1
+                kth = np.partition(seen, -k, axis=1)[:, -k] if e > k else np.full(n, -1.0)
+                wanted = ~done & (bound >= np.maximum(kth - TIE, TIE)[:, None])
+        out[~np.repeat(done, BLOCK, axis=1)[:, :e]] = -1
+        if without is not None:
+            out[np.arange(n), without] = -1
+        return out, int(done.sum())
+
+    def best(self, score: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of greatest cosine above 0, with all that tie with the last of them, and the cosines."""
+        least = np.partition(score, -k)[-k] - TIE if len(score) > k else 0.0
+        who = np.flatnonzero((score > TIE) & (score >= least))
+        top = np.lexsort((self.names[who], -score[who]))
+        return who[top], score[who][top]
+
+    def nearest(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], themselves: bool = False, k: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The nearest of each text; with ``themselves``, texts are the examples and each is left out for itself."""
-        vectors, k = iter(vectors), 0
+        vectors, at = iter(vectors), 0
         while some := list(islice(vectors, AT_ONCE)):
-            for score in self.cosines(some) if len(self.names) else np.zeros((len(some), 0)):
-                yield self.best(score, k if themselves else -1)
-                k += 1
+            if not len(self.names):
+                yield from [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(some)
+                continue
+            for score in self.scores(some, np.arange(at, at + len(some)) if themselves else None, k)[0]:
+                yield self.best(score, k)
+            at += len(some)
 
     def share(self, who: np.ndarray, what: np.ndarray) -> float:
         return float((np.sum(what * self.labels[who]) + PRIOR_WEIGHT * self.prior) / (np.sum(what) + PRIOR_WEIGHT))
 
     def calibrated(self, share: float) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * _logit(share) + self.shift))))
+        return float(1 / (1 + np.exp(-(self.slope * _logit(share) + self.shift)))) if len(self.labels) else 0.0
 
 
 def _unpacked(*values) -> Index:
     return Index(*[np.frombuffer(zlib.decompress(v[0]), v[1]) if isinstance(v, tuple) else v for v in values])
 
 
-def idf(frequency: np.ndarray, n_documents: int) -> np.ndarray:
-    return np.log((1 + n_documents) / (1 + np.minimum(frequency, n_documents))) + 1
-
-
 def _logit(p):
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
 
 
-def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], frequency: np.ndarray, n_documents: int) -> Index:
-    """Invert the examples (id, label, terms, counts), and calibrate.  Without examples the prior is 0."""
-    examples = sorted(examples, key=lambda e: (e[1], e[0]))
+def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], frequency, n_documents: int) -> Index:
+    """Invert the examples (id, label, terms, counts) and calibrate.  ``frequency`` gives the document frequencies of terms.  Without examples the prior is 0."""
+    examples = sorted(examples, key=lambda e: e[0])
     labels = np.array([e[1] for e in examples], np.int64)
     n, ones = len(labels), int(labels.sum())
-    seen = np.zeros(TERMS, np.int64)
-    for _, _, terms, _ in examples:
-        seen[terms] += 1
-    own = np.flatnonzero(seen)
-    place = np.zeros(TERMS, np.int32)
-    place[own] = np.arange(len(own))
-    ends = np.r_[0, np.cumsum(seen[own])]
-    example, count = np.zeros(ends[-1], np.uint16 if n < 1 << 16 else np.int32), np.zeros(ends[-1], np.int32)
-    rarity, norms, free = idf(frequency, n_documents), np.ones(n), ends[:-1].copy()
-    for k, (_, _, terms, tf) in enumerate(examples):
-        at = place[terms]
-        example[free[at]], count[free[at]] = k, tf
-        free[at] += 1
-        if len(terms):
-            norms[k] = np.sqrt(np.sum(((1 + np.log(tf)) * rarity[terms]) ** 2))
-    names = np.array([e[0] for e in examples], np.int64)
-    index = Index(own.astype(np.int32), frequency, n_documents, names, labels, ones / n if n else 0.0, norms, ends, example, count)
+    every = np.concatenate([e[2] for e in examples]) if n else np.zeros(0, _U)
+    of, tf = np.repeat(np.arange(n), [len(e[2]) for e in examples]), np.concatenate([e[3] for e in examples]) if n else np.zeros(0, np.int64)
+    terms, inverse = np.unique(every, return_inverse=True)
+    seen = np.bincount(inverse, minlength=len(terms))
+    found = frequency(terms)
+
+    def index(order: np.ndarray) -> Index:
+        """The index of the examples in that order."""
+        place = np.zeros(n, np.int64)
+        place[order] = np.arange(n)
+        sort = np.lexsort((place[of], inverse))
+        return Index(terms, found, n_documents, np.array([examples[k][0] for k in order], np.int64), labels[order], ones / n if n else 0.0, np.r_[0, np.cumsum(seen)], place[of][sort].astype(np.uint16 if n < 1 << 16 else np.int32), tf[sort].astype(np.int32))
+
+    rows = index(np.arange(n)).rows
+    order = np.concatenate(list(_halves(np.arange(n), rows))) if n else np.arange(0)
+    made = index(order)
     # Each example's vote without itself tells how far votes can be trusted.
-    x = _logit(np.array([index.share(*found) for found in index.nearest_of((index.vector(t, c) for _, _, t, c in examples), themselves=True)])) if n else np.zeros(0)
+    votes = made.nearest((made.vector(examples[k][2], examples[k][3]) for k in order), themselves=True)
+    x, y = _logit(np.array([made.share(*v) for v in votes])) if n else np.zeros(0), made.labels
     slope, shift = 1.0, 0.0
     if 0 < ones < n:
         for _ in range(50):  # Newton's steps, with a little shrinkage towards slope 1
             p = 1 / (1 + np.exp(-(slope * x + shift)))
-            g = np.array([np.sum((p - labels) * x) + (slope - 1), np.sum(p - labels) + 0.1 * shift])
+            g = np.array([np.sum((p - y) * x) + (slope - 1), np.sum(p - y) + 0.1 * shift])
             v = p * (1 - p)
             h = np.array([[np.sum(v * x * x) + 1, np.sum(v * x)], [np.sum(v * x), np.sum(v) + 0.1]])
             step = np.linalg.solve(h, g)
             slope, shift = slope - step[0], shift - step[1]
             if np.abs(step).max() < 1e-9:
                 break
-    index.slope, index.shift = slope, shift
-    return index
+    made.slope, made.shift = float(slope), float(shift)
+    return made
+
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, most: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``most`` labelled documents of ``docs`` (doc_id, text) and at most ``most_bytes`` bytes of text.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label: str, learnable: Column, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled documents, by least hash of the id, so the choice is even and the same every time."""
-    ids = labels.where(learnable & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    return docs.join(F.broadcast(ids), id_col)  # at most ``most`` rows
+    Documents come by least hash of the id, so the choice is even and the same every
+    time.  An id that stands in several rows is one document, with the greatest of
+    its texts and labels; the one that would pass ``most_bytes`` and all after it stay out.
+    """
+    chance = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    ids = ids.orderBy(*chance).limit(most)
+    one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))  # at most ``most`` ids
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*chance).rowsBetween(Window.unboundedPreceding, 0))
+    fit_in = one.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most_bytes).select("doc_id")  # sizes of at most ``most`` documents
+    return one.join(F.broadcast(fit_in), "doc_id")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
     """All columns of ``docs`` but the text, with score, predicted and evidence.
 
     Learns from labels (id_col, label 0 or 1) where ``learnable`` holds; the sample
-    has at most ``MOST_EXAMPLES`` documents.  score: likelihood of label 1, by the
-    cosine-weighted votes of the nearest examples; predicted: 1 if it is 0.5 or more;
-    evidence: the nearest examples' ids, labels and cosines.  A null or empty text,
-    and one without any term of an example, has no evidence and the score of the prior.
-    Null labels and labels of unknown ids are left out; repeated labels count once,
-    as the greatest.  No labels: score 0.  Input columns named like a result are
-    replaced.
+    has at most ``MOST_EXAMPLES`` documents of ``MOST_BYTES`` in all.  score:
+    likelihood of label 1, by the cosine-weighted votes of the ``NEAREST`` examples
+    and all that tie with the last of them; predicted: 1 if it is 0.5 or more;
+    evidence: ids, labels and cosines of all that voted, nearest first.  A term of no
+    example counts in a text's norm as one of a single document.
+
+    A null or empty text, and one without any term of an example, has no evidence and
+    gets what the curve says of the prior.  Null labels and labels of unknown ids are
+    left out; repeated labels count once, as the greatest, and so do repeated ids.
+    No labels: score 0.  No rows: no rows.  Input columns named like a result are replaced.
     """
     spark = docs.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
-    def terms(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        return (t.astype(_U) for t, _ in term_counts(batch["text"]))
-
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(term_counts(batch["text"]))
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "y": batch["y"], "t": pa.array([t.tobytes() for t, _ in found], pa.binary()), "c": pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())})
 
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label}`").alias(label))
-    sample = labelled_sample(texts, own, "doc_id", label, learnable, MOST_EXAMPLES)
-    rows = sample.mapInArrow(example, "doc_id long, y int, t binary, c binary").collect()  # bounded by MOST_EXAMPLES
-    frequency = counts(texts.select("text"), TERMS, terms)
-    index = spark.sparkContext.broadcast(fit([(r["doc_id"], r["y"], np.frombuffer(r["t"], np.int32), np.frombuffer(r["c"], np.int32)) for r in rows], frequency, texts.count()))
+    sample = scratch.written(labelled_sample(texts, own, label, learnable, MOST_EXAMPLES, MOST_BYTES), "examples")
+    rows = sample.mapInArrow(example, "doc_id long, y int, t binary, c binary").collect()  # terms of at most MOST_BYTES of texts
+    scratch.close()
+    examples = [(r["doc_id"], r["y"], np.frombuffer(r["t"], _U), np.frombuffer(r["c"], np.int32)) for r in rows]
+
+    def frequency(terms: np.ndarray) -> np.ndarray:
+        """In how many of all documents each of the sorted terms is."""
+        if not len(terms):
+            return np.zeros(0, np.int64)
+        shared = spark.sparkContext.broadcast(terms)
+
+        def places(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            known = shared.value
+            for t, _ in term_counts(batch["text"]):
+                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                yield at[known[at] == t].astype(_U)
+
+        return counts(texts.select("text"), len(terms), places)
+
+    index = spark.sparkContext.broadcast(fit(examples, frequency, texts.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = index.value
         for batch in batches:
-            scores, evidence = [], []
-            for who, what in model.nearest_of(model.vector(t, c) for t, c in term_counts(batch["text"])):
-                scores.append(model.calibrated(model.share(who, what)) if len(model.labels) else 0.0)
-                evidence.append([{"example": int(model.names[k]), "label": int(model.labels[k]), "cosine": float(x)} for k, x in zip(who[:3], what[:3])])
-            kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_pydict({"row": batch["row"], "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, kind)})
+            scores, who, what, many = [], [], [], [0]
+            for a, b in model.nearest(model.vector(t, c) for t, c in term_counts(batch["text"])):
+                scores.append(model.calibrated(model.share(a, b)))
+                who.append(a), what.append(b), many.append(len(a))
+            who, what = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, what))
+            voters = pa.StructArray.from_arrays([pa.array(model.names[who], pa.int64()), pa.array(model.labels[who].astype(np.int32), pa.int32()), pa.array(what.astype(np.float32), pa.float32())], ["example", "label", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum(many), pa.int32()), voters)
+            yield pa.RecordBatch.from_pydict({"row": batch["row"], "score": pa.array(scores, pa.float64()), "evidence": evidence})
 
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, evidence array<struct<example: long, label: int, cosine: double>>")
+    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, evidence array<struct<example: long, label: int, cosine: float>>")
     done = done.select("row.*", F.col("score").alias("__score"), F.col("evidence").alias("__evidence"))
     return with_results(done, {"score": F.col("__score"), "predicted": (F.col("__score") >= 0.5).cast("int"), "evidence": F.col("__evidence")}).drop("__score", "__evidence")
