@@ -32,7 +32,7 @@ from chronarch.llm import textarrays as ta
 from chronarch.llm.components import connected_components
 from chronarch.llm.packed import repeated
 from chronarch.llm.sketch import counts
-from chronarch.llm.tables import text_key, written
+from chronarch.llm.tables import Scratch, bits, cut, prepare, text_key
 
 #: Cells of the count table: 8 MB when broadcast.
 CELLS = 1 << 20
@@ -40,6 +40,8 @@ CELLS = 1 << 20
 MOST_SHARED = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 50
+#: Largest table of flags by which texts are passed over, in bits: 64 MB when broadcast.
+MOST_FLAGS = 1 << 29
 #: From so many classes on, a token's classes are first compared with some leaders, in so many rounds.
 CROWD, LEADERS, ROUNDS = 32, 12, 3
 
@@ -98,37 +100,29 @@ def _signatures(docs: DataFrame, size: int, percent: int, frequencies: np.ndarra
     return docs.mapInArrow(sign, "doc_id long, text_key long, node long, n long, need int, prefix binary")
 
 
-def _short(grams: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, enough to compare two sets: 4 bytes of each, then the fifth of each."""
-    return (grams >> _U(24)).astype(np.uint32).tobytes() + (grams >> _U(56)).astype(np.uint8).tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, np.uint32, n).astype(_U) | np.frombuffer(data, np.uint8, n, 4 * n).astype(_U) << _U(32)
-
-
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, grams) of the classes ``wanted`` (text_key), and of some others.
 
-    A table of hashed keys, of fixed size, lets tasks pass over most other texts, so
-    sets are made and shuffled for few but those wanted.  When more are wanted than
-    it can tell apart, it passes more.
+    A table of hashed keys, sized by their number up to a bound, lets tasks pass over
+    most other texts, so sets are made and shuffled for few but those wanted.
     """
-    flags = counts(wanted.select("text_key"), CELLS, lambda batch: iter([ta.mix(batch["text_key"].to_numpy().view(_U))])) > 0
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    prepare(texts.sparkSession)
+    cells = min(MOST_FLAGS, 1 << max(15, int(16 * wanted.count()).bit_length()))
+    shared = texts.sparkSession.sparkContext.broadcast(bits(wanted, "text_key", cells))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(shared.value).astype(bool)
+        flags = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             key = batch["text_key"].to_numpy()
             _, first = np.unique(key, return_index=True)  # equal texts once
             some = np.zeros(len(key), bool)
             some[first] = True
-            batch = batch.filter(pa.array(some & flags[(ta.mix(key.view(_U)) % _U(CELLS)).astype(np.int64)], pa.bool_()))
+            cell = key % cells
+            some &= flags[cell >> 3] >> (cell & 7) & 1 > 0
+            batch = batch.filter(pa.array(some, pa.bool_()))
             node, grams = [], []
             for u in gram_sets(batch["text"], size):
-                node.append(_node(u)), grams.append(_short(u))
+                node.append(_node(u)), grams.append(u.tobytes())
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "grams": pa.array(grams, pa.binary())})
 
     return texts.mapInArrow(pick, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
@@ -137,29 +131,32 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose sets are similar enough.  Sets are made for classes in pairs only."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _sets(texts, classes.join(nodes, "node", "left_semi").select("text_key"), size)
+    sets = _sets(texts, cut(classes.join(nodes, "node", "left_semi").select("text_key")), size)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                x, y = _long(x), _long(y)
+            for x, y in zip(batch["x"], batch["y"]):  # one pair after the other: sets are long
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(verify, "a long, b long"), "links")
+    return both.mapInArrow(verify, "a long, b long")
 
 
-def _across(postings: DataFrame, joined: DataFrame) -> DataFrame:
-    """Postings of tokens that more than one component has, each with its component and whether that is not the token's largest."""
-    rows = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = written(rows, "across")
+def _across(postings: DataFrame, joined: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows, table they rest on): postings of tokens that more than one component has, each with its component and whether that is not the token's largest."""
+    if joined is None:  # each class is a component of its own
+        rows = postings.withColumn("component", F.col("node"))
+    else:
+        rows = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = scratch.written(rows, "across")
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("many"))
     sizes = sizes.groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    return rows.join(sizes.select("token", "largest"), "token").withColumn("outside", F.col("component") != F.col("largest")).drop("largest")
+    return rows.join(sizes.select("token", "largest"), "token").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), rows
 
 
 def _candidates(left: DataFrame, rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
@@ -183,65 +180,111 @@ def _candidates(left: DataFrame, rows: DataFrame, percent: int, all_pairs: bool)
     return pairs if all_pairs else pairs.distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, class_id, class_size, component_id) of every row of ``docs``.
+def _all_links(postings: DataFrame, joined: DataFrame | None, texts: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of classes of different components: of each token, rows outside its largest component look for partners."""
+    rows, base = _across(postings, joined, scratch)
+    pairs = scratch.written(_candidates(rows.where("outside"), rows, percent, all_pairs=True), "candidates")
+    scratch.drop(base)
+    links = scratch.written(_verified(pairs, texts, classes, size, percent), "links")
+    scratch.drop(pairs)
+    return links
 
-    Words are runs of other than ASCII white space, A-Z as a-z.  Two rows link if
-    100 * |intersection| >= percent * |union| of their sets of ``size``-word
-    n-grams; component_id is the least doc_id reachable by links, class_id the
-    least doc_id with an equal set, class_size the number of such rows.
 
-    A text of fewer words than ``size`` has one n-gram, all its words.  A row whose
-    text is null, empty or white space has an empty set and links with nothing.
-    Repeated rows are rows of one class.  A null id is never chosen as the least,
-    unless a component has no other.  No rows: no rows.
-    """
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("text_key", text_key(F.col("text")))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("text_key", text_key(F.col("text")))
+
+
+def _prepared(texts: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures of rows, classes of equal sets, postings of the classes' shared tokens)."""
     frequencies = counts(texts.select("text"), CELLS, lambda batch: gram_sets(batch["text"], size))
-    signed = written(_signatures(texts, size, percent, frequencies), "signatures")
+    signed = scratch.written(_signatures(texts, size, percent, frequencies), "signatures")
 
     classes = signed.where("node IS NOT NULL").groupBy("node", "n", "need", "prefix")  # all equal within a class
-    once = written(classes.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("text_key").alias("text_key")), "classes")
-    classes = once.select("node", "class_id", "class_size", "text_key")
+    once = scratch.written(classes.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("text_key").alias("text_key")), "classes")
     tokens = repeated(once.select(F.col("node").alias("owner"), F.col("prefix").alias("values")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token = [np.frombuffer(v, _U)[np.frombuffer(p, np.int32)].view(np.int64) for v, p in zip(batch["values"].to_pylist(), batch["places"].to_pylist())]
-            times = [len(t) for t in token]
+            places = [np.frombuffer(p, np.int32) for p in batch["places"].to_pylist()]
+            times = [len(p) for p in places]
             if sum(times):
-                place = np.concatenate([np.frombuffer(p, np.int32) for p in batch["places"].to_pylist()])
-                yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(token), pa.int64()), "place": pa.array(place, pa.int32())} | {c: pa.array(np.repeat(batch[c].to_numpy(), times), t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("need", pa.int32()))})
+                token = np.concatenate([np.frombuffer(v.as_buffer(), _U)[p].view(np.int64) for v, p in zip(batch["values"], places)])
+                yield pa.RecordBatch.from_pydict({"token": pa.array(token, pa.int64()), "place": pa.array(np.concatenate(places), pa.int32())} | {c: pa.array(np.repeat(batch[c].to_numpy(), times), t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("need", pa.int32()))})
 
     postings = tokens.join(once, tokens["owner"] == once["node"]).select("node", "n", "need", F.col("prefix").alias("values"), "places").mapInArrow(spread, "token long, place int, node long, n long, need int")
-    postings = written(postings, "postings")
+    return signed, once.select("node", "class_id", "class_size", "text_key"), scratch.written(postings, "postings")
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b): class_id of each two classes of different sets that link, a < b, every link once.
 
-    links = postings.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    joined = postings.select("node", F.col("node").alias("component")).limit(0)
+    Classes, sets and links are those of ``similar_components``, which tells the
+    members of each class.  A group of many near copies has as many rows here as it
+    has links.  No rows, or no links: no rows.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark)
+    texts = _texts(docs, id_col, text_col)
+    signed, classes, postings = _prepared(texts, size, percent, scratch)
+    links = _all_links(postings, None, texts, classes, size, percent, scratch)
+    ids = classes.select("node", "class_id")
+    named = links.join(ids.select(F.col("node").alias("a"), F.col("class_id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("class_id").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_key, n_shingles, class_id, class_size, component_id, group) of every row of ``docs``.
+
+    group is one number for all rows that links join, whatever their ids, and null for
+    a row with an empty set; the rest is as ``similar_components`` tells it.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark)
+    texts = _texts(docs, id_col, text_col)
+    signed, classes, postings = _prepared(texts, size, percent, scratch)
+
+    links = joined = None
     crowds = postings.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD)
-    crowds = written(postings.join(crowds, "token").drop("many"), "crowds")
+    crowds = scratch.written(postings.join(crowds, "token").drop("many"), "crowds")
     if not crowds.isEmpty():
         central = crowds.groupBy("node").agg(F.count("*").alias("central"))
-        crowds = written(crowds.join(central, "node"), "crowds")
+        crowds = scratch.written(crowds.join(central, "node"), "crowds")
         for k in range(ROUNDS):
-            rows = _across(crowds, joined)
+            rows, base = _across(crowds, joined, scratch)
             # A text from which others are copied shares more tokens than its copies, whose rarest are their own.
             order = [F.xxhash64("node", F.lit(k)), F.col("node")]
             first = Window.partitionBy("token").orderBy(*([F.desc("central")] if k % 2 == 0 else []), *order)
             leaders = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= LEADERS).drop("rank")
-            pairs = written(_candidates(leaders, rows, percent, all_pairs=False), "candidates")
+            pairs = scratch.written(_candidates(leaders, rows, percent, all_pairs=False), "candidates")
+            scratch.drop(base)
             found = _verified(pairs, texts, classes, size, percent)
-            links = written(links.union(found), "links")
+            before, links = links, scratch.written(found if links is None else links.union(found), "links")
+            scratch.drop(pairs, *([before] if before is not None else []))
             joined = connected_components(links)
+    scratch.drop(crowds)
 
-    # All pairs across components: of each token, rows outside its largest component look for partners.
-    rows = _across(postings, joined)
-    pairs = written(_candidates(rows.where("outside"), rows, percent, all_pairs=True), "candidates")
-    more = _verified(pairs, texts, classes, size, percent)
-
-    components = connected_components(links.union(more))
+    more = _all_links(postings, joined, texts, classes, size, percent, scratch)
+    components = connected_components(more if links is None else links.union(more))
     named = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "class_id", "class_size", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(least, "component").select("node", "class_id", "class_size", "component_id", "component")
+    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("group"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, class_id, class_size, component_id) of every row of ``docs``.
+
+    Words are runs of other than ASCII white space, A-Z as a-z.  Two rows link if
+    100 * |intersection| >= percent * |union| of their sets of ``size``-word
+    n-grams; component_id is the least doc_id reachable by links, class_id the
+    least doc_id with an equal set, class_size the number of such rows.
+
+    A text of fewer words than ``size`` has one n-gram, all its words.  A row whose
+    text is null, empty or white space has an empty set and links with nothing.
+    Repeated rows are rows of one class.  A null id is never chosen as the least,
+    unless a component has no other.  No rows: no rows.  Other columns play no part.
+    """
+    return similar_groups(docs, id_col, text_col, size, percent).drop("text_key", "group")
