@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronarch.llm.bpe import encode
 from chronarch.llm.decontamination import contamination
-from chronarch.llm.jaccard_join import similar_components
+from chronarch.llm.jaccard_join import similar_groups
 from chronarch.llm.quality import score_quality
 from chronarch.llm.queries import KEY, remainder, table, vocabulary
 from chronarch.llm.surrogates import replace_personal_data
@@ -30,12 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by n-gram similarity (five words, 0.8), the one of least id stays.
 
-    A document without an id is told by a hash of its columns.
+    Of rows with one id, or with none, the one whose text has the least key stays; an
+    id comes last if it is null.  Documents without words are linked with nothing and
+    all stay.
     """
-    named = docs.withColumns({"__id": F.coalesce("doc_id", F.xxhash64(*docs.columns)), "__key": text_key(F.col("text"))})
-    groups = similar_components(named.select("__id", "text"), id_col="__id")
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return named.join(stays, "__id", "left_semi").dropDuplicates(["__id", "__key"]).select(docs.columns)
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    groups = similar_groups(docs.where(worded))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    stays = first.select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.text_key").alias("__key"))
+    named = keyed.where(worded).withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()})
+    kept = named.join(stays, ["__id", "__none", "__key"], "left_semi").dropDuplicates(["__id", "__none", "__key"])
+    return kept.select(docs.columns).union(docs.where(~worded))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
