@@ -64,7 +64,7 @@ def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score_quality(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
+    out = score_quality(docs, table(spark, sf_dir, "labels"), remainder(4) != 2, keep_text=False)
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
