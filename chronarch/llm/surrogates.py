@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronarch.llm.tables import cut, with_results, written
+from chronarch.llm.tables import cut, prepare, with_results, written
 
 #: Titles before names, by gender (fixed values).
 FEMALE = ("Mrs", "Ms", "Miss", "Madame", "Mme", "Frau", "Señora", "Sra", "Госпожа")
@@ -22,22 +22,44 @@ MALE = ("Mr", "Monsieur", "Herr", "Señor", "Sr", "Господин")
 EITHER = ("Dr", "Prof", "Professor")
 _TITLES = "|".join(sorted((*FEMALE, *MALE, *EITHER), key=len, reverse=True))
 
+#: Letters of names by script, consonants and vowels in turn; where a script has no such order, the same letters twice (fixed values).
+SCRIPTS = {
+    "Latin": ("bdfgklmnprstvz", "aeiou"),
+    "Cyrillic": ("бвгдзклмнпрст", "аеиоу"),
+    "Greek": ("βγδζκλμνπρστφχ", "αεηιουω"),
+    "Armenian": ("բգդզթլխկհմնպռսվտրքֆ", "աեիու"),
+    "Hebrew": ("אבגדהוזחטיכלמנסעפצקרשת", "אבגדהוזחטיכלמנסעפצקרשת"),
+    "Arabic": ("بتجحدرزسشصطعفقكلمنهوي", "بتجحدرزسشصطعفقكلمنهوي"),
+    "Han": ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗", "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平"),
+    "Hangul": ("김이박최정강조윤장임한오서신권황안송류홍", "민서준지현수영진은혜성우태경호유나린빈아"),
+    "Hiragana": ("かきくけこさしすせそたちつてとなにのはひふへほまみむめも", "あいうえおやゆよらりるれろわ"),
+    "Katakana": ("カキクケコサシスセソタチツテトナニノハヒフヘホマミムメモ", "アイウエオヤユヨラリルレロワ"),
+}
+#: Scripts with capitals, and with what a woman's given name ends there (fixed values).
+ENDINGS = {"Latin": "a", "Cyrillic": "а", "Greek": "α"}
+_LETTER = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS)
+_UNCASED = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s not in (*ENDINGS, "Armenian"))
+_NAME = rf"(?:(?=\p{{Lu}})[{_LETTER}](?:[{_LETTER}]|(?:(?!\p{{L}})['-]))++|(?=\p{{L}})[{_UNCASED}]++)"
+#: How secret tokens of some services begin; that stays (fixed values).
+TOKEN_PREFIX = r"(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[_-]?"
+
 #: Patterns by kind, in the order in which they are tried (fixed values).
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "token": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[_-]?[A-Za-z0-9_-]{16,}+)",
+    "token": rf"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?![0-9A-Za-z])|{TOKEN_PREFIX}[A-Za-z0-9_-]{{16,}}+)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?!\d)|(?<![\d.])3\d{3}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,40}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: The country of a phone or account number, which stays.
-COUNTRY = r"^(?:\+\d{1,3}(?=[ (.-])|[A-Z]{2}(?=\d{2}))"
+#: The country of a phone number, which stays.
+COUNTRY = r"^\+\d{1,3}(?=[ (.-])"
 #: What every entity but names has, and what names have: cheap tests before the patterns.
-MAYBE, MAYBE_NAME = "[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[A-Za-z_-]{16}|[a-f]{32}|[A-F]{32}", rf"(?:{_TITLES})\.? \p{{Lu}}"
+MAYBE, MAYBE_NAME = "[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[A-Za-z_-]{16}|[a-f]{32}|[A-F]{32}", rf"(?:{_TITLES})\.? \p{{L}}"
 #: What may follow a name and is no part of it.
 OWNER = "'s?$"
 #: Names get longer with each round of drawing again after half of ROUNDS; after MOST_ROUNDS it is an error that surrogates are not distinct.
@@ -54,10 +76,11 @@ def _parts(entity: Column, kind: Column) -> Column:
     names = F.split(F.regexp_replace(F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", ""), OWNER, ""), " ")
     title = F.regexp_extract(entity, r"^([^. ]+)", 1)
     given = F.when(title.isin(*FEMALE), "given_f").when(title.isin(*MALE), "given_m").otherwise("given")
-    part = lambda k, c: F.struct(k.alias("kind"), F.lower(c).alias("canon"))
-    last = F.array(part(F.lit("surname"), F.element_at(names, -1)))
-    plain = F.when(kind.isin("email", "ip", "token"), entity).otherwise(F.regexp_replace(F.regexp_replace(entity, COUNTRY, ""), r"[^\p{L}\p{N}]", ""))
-    return F.when(kind == "name", F.when(F.size(names) > 1, F.concat(F.array(part(given, names[0])), last)).otherwise(last)).otherwise(F.array(part(kind, plain)))
+    part = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
+    last = F.array(part(F.lit("surname"), F.lower(F.element_at(names, -1))))
+    bare = F.regexp_replace(F.regexp_replace(entity, COUNTRY, ""), r"[^\p{L}\p{N}]", "")
+    plain = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind.isin("ip", "token"), entity).otherwise(bare)
+    return F.when(kind == "name", F.when(F.size(names) > 1, F.concat(F.array(part(given, F.lower(names[0]))), last)).otherwise(last)).otherwise(F.array(part(kind, plain)))
 
 
 def _pick(digest: Column, i: Column, letters: str) -> Column:
@@ -66,68 +89,82 @@ def _pick(digest: Column, i: Column, letters: str) -> Column:
     return F.substring(F.lit(letters), byte % len(letters) + 1, F.lit(1))
 
 
+def _check_digits(kind: Column, text: Column) -> Column:
+    """``text`` with the check digits that card numbers (Luhn) and accounts (modulo 97) need."""
+    values = F.transform(F.split(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 2), F.lit("00")), ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    rest = F.aggregate(values, F.lit(0), lambda r, v: (r * F.when(v > 9, 100).otherwise(10) + v) % 97)
+    account = F.concat(F.substring(text, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(text, F.lit(5), F.length(text)))
+    digits = F.transform(F.reverse(F.split(F.substring(text, F.lit(1), F.length(text) - 1), "")), lambda c, i: c.cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
+    total = F.aggregate(digits, F.lit(0), lambda s, d: s + d - F.when(d > 9, 9).otherwise(0))
+    card = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), ((10 - total % 10) % 10).cast("string"))
+    return F.when(kind == "iban", account).when(kind == "card", card).otherwise(text)
+
+
 def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     seed = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), canon)
     digest = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512))
-    chars = F.split(canon, "")
     longer = F.greatest(F.lit(0), attempt - ROUNDS // 2)
+    stays = F.when(kind == "token", F.regexp_extract(canon, f"^{TOKEN_PREFIX}", 0)).when(kind == "iban", F.substring(canon, 1, 2)).otherwise("")
+    hexadecimal = (kind == "ipv6") | (kind == "token") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
 
     def same_class(c: Column, i: Column) -> Column:
-        return (
-            F.when((kind == "token") & c.rlike("[0-9a-f]"), _pick(digest, i, "0123456789abcdef"))
-            .when(c.rlike("[0-9]"), _pick(digest, i, "0123456789"))
-            .when(c.rlike("[a-z]"), _pick(digest, i, "abcdefghijklmnopqrstuvwxyz"))
-            .when(c.rlike("[а-яё]"), _pick(digest, i, "абвгдежзиклмнопрстуфхцчшя"))
-            .when(c.rlike(r"\p{L}"), _pick(digest, i, "àáâäçèéêëíîïñóôöùúûü"))
-            .otherwise(c)
-        )
+        out = F.when(hexadecimal & c.rlike("[0-9a-f]"), _pick(digest, i, "0123456789abcdef")).when(hexadecimal & c.rlike("[A-F]"), _pick(digest, i, "0123456789ABCDEF"))
+        out = out.when(c.rlike("[0-9]"), _pick(digest, i, "0123456789")).when(c.rlike("[a-z]"), _pick(digest, i, "abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), _pick(digest, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        for script, (some, others) in SCRIPTS.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), _pick(digest, i, "àáâäçèéêëíîïñóôöùúûü" if script == "Latin" else "".join(dict.fromkeys(some + others))))
+        return out.otherwise(c)
 
     def sound(i: Column) -> Column:
-        cyrillic = canon.rlike("[а-яё]")
-        latin = F.when(i % 2 == 0, _pick(digest, i, "bdfgklmnprstvz")).otherwise(_pick(digest, i, "aeiou"))
-        return F.when(cyrillic, F.when(i % 2 == 0, _pick(digest, i, "бвгдзклмнпрст")).otherwise(_pick(digest, i, "аеиоу"))).otherwise(latin)
+        out = F.when(F.lit(False), "")
+        for script, (some, others) in SCRIPTS.items():
+            out = out.when(canon.rlike(rf"^.?\p{{Is{script}}}"), F.when(i % 2 == 0, _pick(digest, i, some)).otherwise(_pick(digest, i, others)))
+        return out.otherwise(_pick(digest, i, SCRIPTS["Latin"][0]))
 
-    whole = F.array_join(F.transform(chars, same_class), "")
-    local = F.array_join(F.transform(F.split(F.regexp_extract(canon, "^(.*)@", 1), ""), same_class), "")
+    alike = lambda text: F.array_join(F.transform(F.split(text, ""), same_class), "")
+    whole = F.concat(stays, alike(F.substring(canon, F.length(stays) + 1, F.length(canon))))
     host = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(107)), lambda i: _pick(digest, i, "abcdefghijklmnopqrstuvwxyz")), "")
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
     # Names sound: an even number of letters ends in a vowel, an odd one in a consonant.
-    name_length = F.greatest(F.lit(5), F.length(canon)) + 2 * longer
+    least = F.when(canon.rlike(rf"[{_UNCASED}]"), 1).otherwise(5)
+    name_length = F.greatest(least, F.length(canon)) + 2 * longer
     spoken = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), sound), "")
     odd, even = name_length - (name_length % 2) + 1, name_length + (name_length % 2)
-    ending = F.when(canon.rlike("[а-яё]"), "а").otherwise("a")
+    ending = F.when(F.lit(False), "")
+    for script, letter in ENDINGS.items():
+        ending = ending.when(canon.rlike(rf"^.?\p{{Is{script}}}"), letter)
+    more = F.when(longer > 0, attempt.cast("string")).otherwise("")
     return (
-        F.when(kind == "email", F.concat(local, F.when(longer > 0, attempt.cast("string")).otherwise(""), F.lit("@"), host, F.lit(".example")))
+        F.when(kind == "email", F.concat(alike(F.regexp_extract(canon, "^(.*)@", 1)), more, F.lit("@"), host, F.lit(".example")))
         .when(kind == "ip", octets)
         .when(kind == "surname", spoken(even))
-        .when(kind == "given_m", spoken(odd))
-        .when(kind == "given_f", F.concat(spoken(odd), ending))
-        .when(kind == "given", spoken(odd))
-        .otherwise(whole)
+        .when(kind.isin("given_m", "given"), spoken(odd))
+        .when(kind == "given_f", F.concat(spoken(odd), ending.otherwise("")))
+        .when(kind == "token", F.concat(whole, more))
+        .otherwise(_check_digits(kind, whole))
     )
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate) of distinct (kind, canon): no two of a kind alike, and none that is an entity of the corpus.
 
-    Given names of all genders are one kind here.  Kinds with few forms (a card number
-    of which all digits may change has 10**16, an address 254**4) come out distinct
-    after a few rounds.  Given and family names get longer after half of ``ROUNDS``.
-    Surrogates that are not distinct after ``MOST_ROUNDS`` are an error.
+    Given and family names are one kind here.  Kinds of a fixed form (a card number
+    has 10**15, an address 254**4) come out distinct after a few rounds.  Names,
+    e-mail addresses and tokens get longer after half of ``ROUNDS``.  Surrogates that
+    are not distinct after ``MOST_ROUNDS``, the last draw included, are an error.
     """
-    space = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("space")
+    space = F.when(F.col("kind").startswith("given") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind")).alias("space")
     drawn = entities.withColumn("attempt", F.lit(0))
     for _ in range(MOST_ROUNDS):
         drawn = cut(drawn.select("kind", space, "canon", "attempt", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate")))
         # Of those with one surrogate, the one drawn first keeps it.
-        keeper = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("keeper"), F.count("*").alias("n"))
+        keeper = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "canon", "kind")).alias("keeper"), F.count("*").alias("n"))
         real = entities.select(space, F.col("canon").alias("surrogate"), F.lit(True).alias("real")).distinct()
         bad = keeper.join(real, ["space", "surrogate"], "left").where("n > 1 OR real")
         bad = cut(bad)
         if bad.isEmpty():
             return drawn.select("kind", "canon", "surrogate")
         drawn = drawn.join(bad, ["space", "surrogate"], "left")
-        again = F.col("real") | (F.col("n") > 1) & (F.col("keeper") != F.struct("attempt", "canon"))
+        again = F.col("real") | (F.col("n") > 1) & (F.col("keeper") != F.struct("attempt", "canon", "kind"))
         drawn = drawn.select("kind", "canon", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt"))
     raise RuntimeError(f"surrogates are not distinct after {MOST_ROUNDS} rounds: {[tuple(r) for r in bad.groupBy('space').count().collect()]}")
 
@@ -145,7 +182,7 @@ def _mentions(gap: Column, names: Column) -> Column:
 
     def word(w: Column) -> Column:
         bare = F.regexp_replace(w, OWNER, "")
-        new = F.when(w.rlike(r"^\p{Lu}"), F.coalesce(names[F.lower(bare)], names[F.lower(w)]))
+        new = F.when(w.rlike(rf"^(?:\p{{Lu}}|[{_UNCASED}])"), F.coalesce(names[F.lower(bare)], names[F.lower(w)]))
         owner = F.when(names[F.lower(bare)].isNotNull(), F.regexp_extract(w, OWNER, 0)).otherwise("")
         shouted = (F.length(bare) > 1) & (F.upper(bare) == bare)
         new = F.concat(F.when(shouted, F.upper(new)).otherwise(F.initcap(new)), owner)
@@ -165,35 +202,41 @@ def _rendered(entity: Column, kind: Column, parts: Column) -> Column:
         put = F.when(c.rlike(r"\p{Lu}"), F.upper(other)).otherwise(other)
         return F.when(c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(done["text"], put).alias("text"), (done["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(done["text"], c).alias("text"), done["at"].alias("at")))
 
-    country = F.regexp_extract(entity, COUNTRY, 0)
+    country = F.when(kind == "phone", F.regexp_extract(entity, COUNTRY, 0)).otherwise("")
     rest = F.substring(entity, F.length(country) + 1, F.length(entity))
     formatted = F.concat(country, F.aggregate(F.split(rest, ""), start, fill, lambda d: d["text"]))
     title = F.regexp_extract(entity, rf"^((?:{_TITLES})\.?) ", 1)
     name = F.concat(F.concat_ws(" ", title, F.transform(parts, F.initcap)), F.regexp_extract(entity, OWNER, 0))
-    shouted = (F.upper(entity) == entity) & entity.rlike(r"\p{L}")
+    shouted = (kind != "token") & (F.upper(entity) == entity) & entity.rlike(r"\p{L}")
     plain = F.when(shouted, F.upper(first)).otherwise(first)
-    return F.when(kind == "name", name).when(kind.isin("email", "ip", "token"), plain).otherwise(formatted)
+    return F.when(kind == "name", name).when(kind.isin("email", "ip", "ipv6", "token"), plain).otherwise(formatted)
 
 
 def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with text_col without personal data, n_entities and surrogates.
 
-    Found are e-mail addresses, account, phone, card and social security numbers, IPv4
-    addresses, secret tokens, names after a title, and where their parts stand again as
-    capitalised words of the same text, each part for itself.  surrogates lists what was
-    put in, in order.  Of a phone or account number the country stays, of a name the title; a
-    given name, one throughout the corpus, keeps the gender of its titles, a word its script, a number its format.
+    Found are e-mail addresses, account, phone, card and social security numbers, IP
+    addresses, secret tokens, names after a title in the scripts of ``SCRIPTS``, and
+    where their parts stand again as words of the same text, each part for itself.
+    surrogates lists what was put in, in order.  Of a phone or account number the
+    country stays, of a name the title, of a token its service's prefix and the case
+    of each place; cards and accounts get valid check digits.  A given name, one
+    throughout the corpus, keeps the gender of its titles, a word its script, a number
+    its format.  Names without any title in their text are not found.
     ``key`` decides the surrogates: the same key and corpus give the same ones.
 
     Null and empty texts stay, with n_entities 0.  Texts of any length are searched
     whole.  Repeated rows get the same surrogates.  Input columns named n_entities or
     surrogates are replaced.
     """
+    prepare(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    has = F.coalesce((text.rlike(MAYBE) | text.rlike(MAYBE_NAME)) & text.rlike(ALL), F.lit(False))
-    clean = with_results(docs.where(~has), {"n_entities": F.lit(0).cast("long"), "surrogates": F.array().cast("array<string>")})
+    maybe = text.rlike(MAYBE) | text.rlike(MAYBE_NAME)
+    entities = F.when(maybe, F.regexp_extract_all(text, F.lit(ALL), F.lit(0)))
+    scanned = written(docs.withColumn("__entities", F.coalesce(entities, F.array().cast("array<string>"))), "scanned")  # each text is searched once
+    clean = with_results(scanned.where(F.size("__entities") == 0).drop("__entities"), {"n_entities": F.lit(0).cast("long"), "surrogates": F.array().cast("array<string>")})
 
-    held = docs.where(has).withColumns({"__entities": F.regexp_extract_all(text, F.lit(ALL), F.lit(0)), "__gaps": F.split(text, ALL, -1), "__row": F.monotonically_increasing_id()})
+    held = scanned.where(F.size("__entities") > 0).withColumns({"__gaps": F.split(text, ALL, -1), "__row": F.monotonically_increasing_id()})
     held = written(held, "with-entities")
     found = held.select("__row", F.posexplode("__entities").alias("pos", "entity")).withColumn("kind", _kind(F.col("entity")))
     parts = found.select("__row", "pos", "entity", F.col("kind").alias("whole"), F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("nth", "part"))
