@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +46,11 @@ def lengths(size: int) -> list[int]:
 
 def standing(grams: np.ndarray, n_full: int) -> np.ndarray:
     """The least of the hashes of a level's windows in each full window."""
-    return sliding_window_view(grams, len(grams) - n_full + 1).min(axis=1)
+    width, have, out = len(grams) - n_full + 1, 1, grams
+    while 2 * have <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    return np.minimum(out[: n_full], out[width - have :]) if have < width else out
 
 
 def _flagged(table: np.ndarray, values: np.ndarray) -> np.ndarray:
