@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +52,12 @@ class Archive:
 
     def where(self, condition) -> Archive:
         """Rows by their keys, times or versions; a filter of values would break what holds until when."""
-        named = set(self.values)
-        used = self.df.select(condition if not isinstance(condition, str) else F.expr(condition))
-        if any(f"{v}" in used.columns[0] for v in named):
-            raise ValueError("archives are filtered by keys, times and versions only")
-        return self.of(self.df.where(condition))
+        kept = self.df.where(condition)  # tells of names that there are not
+        try:
+            _ = self.df.drop(*self.values).select(F.expr(condition) if isinstance(condition, str) else condition).schema
+        except AnalysisException as e:
+            raise ValueError("archives are filtered by keys, times and versions only") from e
+        return self.of(kept)
 
 
 @dataclass(frozen=True)

@@ -38,9 +38,9 @@ def containing_time(version: Column, time_type: str) -> Column:
     return week_end(version) if time_type == "week" else version
 
 
-def zero_lag_version(time: Column) -> Column:
-    """The version at which a time is reported without lag: its own end."""
-    return time
+def zero_lag_version(time: Column, time_type: str) -> Column:
+    """The version at which a time is reported without lag: the day itself, the last day of a week, the same number."""
+    return containing_time(time, time_type)
 
 
 @dataclass(frozen=True)

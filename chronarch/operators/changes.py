@@ -138,3 +138,16 @@ def map_accumulate(df: DataFrame, f: Callable[[object, object, pd.DataFrame], tu
 
     mapped = df.groupBy(*by).applyInPandas(run, schema)
     return snapshots_to_archive(mapped, ekt, version, tol) if result == "snapshot" else updates_to_archive(mapped, ekt, version, tol)
+
+
+def last_accumulator(df: DataFrame, f: Callable[[object, object, pd.DataFrame], tuple[object, pd.DataFrame]], init: object, by: list[str], kind: str, version: str = "version", name: str = "accumulator") -> DataFrame:
+    """(by, accumulator of the type ``kind``): what the fold of ``map_accumulate`` holds after the last version of each group."""
+    kinds = {x.name: x.dataType.simpleString() for x in df.schema.fields}
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state = init
+        for v, part in rows.groupby(version, sort=True):
+            state, _ = f(state, v, part)
+        return pd.DataFrame([(*key, state)], columns=[*by, name])
+
+    return df.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", `{name}` {kind}")

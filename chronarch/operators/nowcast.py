@@ -9,6 +9,7 @@ model sees in training only what it will see when used.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from chronarch.archive import Archive
 from chronarch.functions.steps import shifted, step, window
-from chronarch.operators.travel import change_keys, lookup
+from chronarch.operators.shaping import complete, top_with_ties
+from chronarch.operators.travel import as_of, change_keys, corresponding_versions, lookup
 
 SPEC = "predictor string, offset int, window_size int, align string, horizon int, before int, after int, feature string"
 
@@ -82,43 +84,97 @@ def training_table(archive: Archive, targets: DataFrame, features: DataFrame, na
     return targets.join(wide, archive.ekt).where(F.coalesce(*target_features).isNotNull())
 
 
+def testing_table(archive: Archive, entities: DataFrame, found: DataFrame, names: list[str], test_time) -> DataFrame:
+    """A row for each of ``entities`` at the test time, with a column for each feature and an intercept of 1.
+
+    A cell counts only if it has the very version that its template names; a feature
+    that lacks one is null.
+    """
+    rows = entities.select(*archive.keys).distinct().withColumn(archive.time, F.lit(test_time))
+    features = template_features(archive, rows, found, tolerance=0)
+    wide = features.groupBy(*archive.ekt).pivot("feature", names).agg(F.first("value"))
+    return rows.join(wide, archive.ekt, "left").withColumn("intercept", F.lit(1.0))
+
+
+def contributing_values(archive: Archive, predictor: str, feature_time, before: int, after: int, as_of_version) -> DataFrame:
+    """(entity, tv): for every entity of the snapshot, the times about ``feature_time`` with a value and the versions of their last change; an empty list without any."""
+    known = as_of(archive, as_of_version).df
+    t = step(F.col(archive.time), archive.time_type)
+    base = step(F.lit(feature_time), archive.time_type)
+    near = known.where(t.between(base - before, base + after) & F.col(predictor).isNotNull()).select(*archive.ekt)
+    near = corresponding_versions(near, change_keys(archive, [predictor]), archive, as_of_version)
+    nested = near.groupBy(*archive.keys).agg(F.array_sort(F.collect_list(F.struct(F.col(archive.time), "key_version"))).alias("tv"))
+    domain = known.select(*archive.keys).distinct()
+    return complete(nested, domain, {}).withColumn("tv", F.coalesce("tv", F.array()))
+
+
 def ols_by(df: DataFrame, by: list[str], y: str, x: str, least: int = 10) -> DataFrame:
-    """(by, n, slope, intercept) of the line of y on x, null with fewer than ``least`` rows."""
-    fit = df.groupBy(*by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("__s"), F.regr_intercept(y, x).alias("__i"))
+    """(by, n, slope, intercept) of the line of y on x, null with fewer than ``least`` rows.
+
+    A constant x says no more than the intercept: its slope is null, the intercept the mean of y.
+    """
+    constant = F.regr_sxx(y, x) == 0
+    mean = F.avg(F.when(F.col(x).isNotNull(), F.col(y)))
+    fit = df.groupBy(*by).agg(F.regr_count(y, x).alias("n"), F.when(~constant, F.regr_slope(y, x)).alias("__s"), F.when(constant, mean).otherwise(F.regr_intercept(y, x)).alias("__i"))
     return fit.select(*by, "n", F.when(F.col("n") >= least, F.col("__s")).alias("slope"), F.when(F.col("n") >= least, F.col("__i")).alias("intercept"))
 
 
 def median_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(intercept, slope) of least absolute deviations, by reweighted least squares; a constant x gives the median."""
-    if np.ptp(x) == 0:
+    """(intercept, slope) of least absolute deviations; a constant x gives the median.
+
+    For each slope the median is the best intercept, and what is left is convex in
+    the slope.  A best line goes through two of the points, so its slope lies between
+    the least and the greatest slope of neighbours in x.
+    """
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    begin = np.flatnonzero(np.r_[True, np.diff(x) > 0])
+    if len(begin) < 2:
         return float(np.median(y)), 0.0
-    a = np.stack([np.ones_like(x), x], 1)
-    w = np.ones_like(y)
-    beta = np.zeros(2)
-    for _ in range(200):
-        s = a * w[:, None]
-        new = np.linalg.lstsq(s.T @ a, s.T @ y, rcond=None)[0]
-        if np.max(np.abs(new - beta)) < 1e-10:
-            break
-        beta = new
-        w = 1 / np.maximum(np.abs(y - a @ beta), 1e-8)
-    return float(beta[0]), float(beta[1])
-
-
-def score_features(df: DataFrame, features: list[str], target: str, ratio: int = 2) -> DataFrame:
-    """(feature, n, score): mean absolute residual of the median line of target on each feature; null with fewer than min(2 * ratio, 15) rows."""
-    long = df.unpivot([target], features, "feature", "x").where(F.col("x").isNotNull() & F.col(target).isNotNull())
-    long = long.select("feature", F.col("x").cast("double").alias("x"), F.col(target).cast("double").alias("y"))
-    least = min(2 * ratio, 15)
+    low, high, at = y[begin], y[np.r_[begin[1:], len(y)] - 1], x[begin]
+    a, b = np.min((low[1:] - high[:-1]) / np.diff(at)), np.max((high[1:] - low[:-1]) / np.diff(at))
+
+    def left(slope: float) -> float:
+        rest = y - slope * x
+        return float(np.sum(np.abs(rest - np.median(rest))))
+
+    golden = (np.sqrt(5) - 1) / 2
+    c, d = b - golden * (b - a), a + golden * (b - a)
+    at_c, at_d = left(c), left(d)
+    while b - a > 1e-13 * max(1.0, abs(a), abs(b)) and c < d:
+        if at_c <= at_d:
+            b, d, at_d = d, c, at_c
+            at_c = left(c := b - golden * (b - a))
+        else:
+            a, c, at_c = c, d, at_d
+            at_d = left(d := a + golden * (b - a))
+    slope = (a + b) / 2
+    return float(np.median(y - slope * x)), float(slope)
+
+
+def score_features(df: DataFrame, features: list[str], target: str, by: list[str] | None = None, ratio: int = 2, least: int = 15, time: str | None = None, reference=None, nearest: int | None = None) -> DataFrame:
+    """(by, feature, n, score): mean absolute residual of the median line of target on each feature; null with fewer than min(2 * ratio, least) rows.
+
+    With ``nearest``, only so many rows of times nearest to ``reference`` count, and
+    those that tie with the last of them: Spark picks them, so a fit has few rows.
+    """
+    by = by or []
+    long = df.unpivot([*by, *([time] if time else []), target], features, "feature", "x").where(F.col("x").isNotNull() & F.col(target).isNotNull())
+    if nearest is not None:
+        long = top_with_ties(long, [*by, "feature"], F.abs(F.datediff(F.col(time), F.lit(reference))), nearest)
+    long = long.select(*by, "feature", F.col("x").cast("double").alias("x"), F.col(target).cast("double").alias("y"))
+    enough = min(2 * ratio, least)
+    kinds = {x.name: x.dataType.simpleString() for x in df.schema.fields}
 
     def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-        if len(x) < least:
-            return pd.DataFrame([(key[0], len(x), None)], columns=["feature", "n", "score"])
-        a, b = median_line(x, y)
-        return pd.DataFrame([(key[0], len(x), float(np.mean(np.abs(y - a - b * x))))], columns=["feature", "n", "score"])
+        told = None
+        if len(x) >= enough:
+            a, b = median_line(x, y)
+            told = float(np.mean(np.abs(y - a - b * x)))
+        return pd.DataFrame([(*key, len(x), told)], columns=[*by, "feature", "n", "score"])
 
-    return long.groupBy("feature").applyInPandas(score, "feature string, n long, score double")
+    return long.groupBy(*by, "feature").applyInPandas(score, "".join(f"`{c}` {kinds[c]}, " for c in by) + "feature string, n long, score double")
 
 
 def mean_scaled(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
@@ -127,49 +183,58 @@ def mean_scaled(df: DataFrame, by: list[str], column: str, name: str) -> DataFra
     return df.join(mean, by).withColumn(name, F.col(column) / F.col("__m")).drop("__m")
 
 
-def simulate_training_ratios(spark: SparkSession, trials: int = 1000, days: int = 60, delays: int = 5, seed: int = 1, parallel: int = 8) -> DataFrame:
-    """(trial, ratio, intercept, scaled_error) of regressions on lagged reports, by days of training for each coefficient.
+def simulate_training_ratios(spark: SparkSession, trials: int = 1000, times: int = 30, delays: int = 5, seed: int = 1, parallel: int = 8) -> DataFrame:
+    """(trial, prediction, scaled_error) of regressions of final counts on what came with each delay, trained on one series and tested on another.
 
-    Counts follow a Poisson law about a wave, reports come with multinomial delays;
-    errors are over that of taking the last report as it stands.
+    Counts follow a Poisson law about a yearly wave, reports come late by a
+    multinomial law; errors are over the mean step of the tested series.  prediction:
+    first_row (the first row's reports, repeated), intercept and no_intercept (the
+    fits), trend (the law's own mean).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        share = np.arange(delays, 0, -1) / (delays * (delays + 1) / 2)
+        year = np.arange(1, times + 1) / 52 * 2 * np.pi
+
+        def series(rng: np.random.Generator, wave: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            trend = 1 / (1 + np.exp(-(5 * wave - 5)))
+            trend = trend / trend.mean() * 200e3 / 52 * 0.01
+            final = rng.poisson(trend).astype(float)
+            parts = np.array([rng.multinomial(int(n), share) for n in final], float)
+            lagged = np.stack([np.r_[np.zeros(k), parts[: times - k, k]] for k in range(delays)], 1)
+            return trend, final, lagged
+
         for batch in batches:
             out = []
             for trial in batch["id"]:
                 rng = np.random.default_rng([seed, int(trial)])
-                wave = 100 * (1 + 0.5 * np.sin(2 * np.pi * np.arange(days) / 30))
-                final = rng.poisson(wave)
-                share = rng.dirichlet(np.full(delays, 4.0))
-                known = np.cumsum([rng.multinomial(n, share) for n in final], axis=1)
-                x = np.stack([known[delays - 1 - k : days - k, k] for k in range(delays)], 1).astype(float)
-                y = final[delays - 1 :].astype(float)
-                x = x[:, :3]
-                naive = np.mean(np.abs(y[-10:] - x[-10:, 0]))
-                for intercept in (False, True):
-                    a = np.c_[np.ones(len(x)), x] if intercept else x
-                    for ratio in (2, 4, 8):
-                        n = min(ratio * a.shape[1], len(a) - 10)
-                        beta = np.linalg.lstsq(a[-10 - n : -10], y[-10 - n : -10], rcond=None)[0]
-                        out.append((int(trial), ratio, intercept, float(np.mean(np.abs(y[-10:] - a[-10:] @ beta)) / max(naive, 1e-9))))
-            yield pd.DataFrame(out, columns=["trial", "ratio", "intercept", "scaled_error"])
-
-    return spark.range(0, trials, 1, parallel).mapInPandas(run, "trial long, ratio long, intercept boolean, scaled_error double")
-
-
-def simulate_coverage(spark: SparkSession, trials: int = 1000, size: int = 20, level: float = 0.9, seed: int = 1, parallel: int = 8) -> DataFrame:
-    """(trial, centre, covered): whether a normal interval about the sample's mean or median holds the next value."""
+                _, y, x = series(rng, np.sin(year))
+                trend, final, lagged = series(rng, np.cos(year))
+                one = np.ones((times, 1))
+                fits = {"intercept": np.c_[one, lagged] @ np.linalg.lstsq(np.c_[one, x], y, rcond=None)[0], "no_intercept": lagged @ np.linalg.lstsq(x, y, rcond=None)[0]}
+                scale = np.mean(np.abs(np.diff(final)))
+                told = {"first_row": np.resize(lagged[0], times), **fits, "trend": trend}
+                out += [(int(trial), name, float(np.mean(np.abs(guess - final)) / scale)) for name, guess in told.items()]
+            yield pd.DataFrame(out, columns=["trial", "prediction", "scaled_error"])
+
+    return spark.range(0, trials, 1, parallel).mapInPandas(run, "trial long, prediction string, scaled_error double")
+
+
+def simulate_coverage(spark: SparkSession, trials: int = 1000, sizes: tuple[int, ...] = (5, 15), seed: int = 1, parallel: int = 8) -> DataFrame:
+    """(size, fit, probability, value): quantiles, over trials, of the normal law's share below the mean and the median of a standard normal sample."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        normal = NormalDist()
         for batch in batches:
             out = []
             for trial in batch["id"]:
                 rng = np.random.default_rng([seed, int(trial)])
-                x = rng.normal(size=size + 1)
-                low, high = np.quantile(x[:-1] - x[:-1].mean(), [(1 - level) / 2, (1 + level) / 2])
-                for name, centre in (("mean", x[:-1].mean()), ("median", np.median(x[:-1]))):
-                    out.append((int(trial), name, bool(centre + low <= x[-1] <= centre + high)))
-            yield pd.DataFrame(out, columns=["trial", "centre", "covered"])
-
-    return spark.range(0, trials, 1, parallel).mapInPandas(run, "trial long, centre string, covered boolean")
+                for n in sizes:
+                    x = rng.normal(size=n)
+                    out += [(n, "mean", normal.cdf(float(x.mean()))), (n, "median", normal.cdf(float(np.median(x))))]
+            yield pd.DataFrame(out, columns=["size", "fit", "share"])
+
+    at = [0.0, 0.25, 0.5, 0.75, 1.0]
+    drawn = spark.range(0, trials, 1, parallel).mapInPandas(run, "size long, fit string, share double")
+    told = drawn.groupBy("size", "fit").agg(F.percentile("share", F.array(*[F.lit(p) for p in at])).alias("q"))
+    return told.select("size", "fit", F.posexplode("q").alias("k", "value")).select("size", "fit", (F.col("k") / 4).alias("probability"), "value")

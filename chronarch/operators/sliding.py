@@ -6,10 +6,11 @@ results stand only at times of the input.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,63 +74,88 @@ def slide(df: DataFrame, keys: list[str], columns: list[str], f: str = "mean", s
     return rows.select(*df.columns, *[x.alias(n) for n, x in made.items()])
 
 
-def _delta_slide(archive: Archive, column: str, f: str, win: Window, name: str) -> DataFrame:
-    """Changes of a value are spread over the windows that hold it and summed up over versions: no join.
+def slide_apply(df: DataFrame, keys: list[str], column: str, f: Callable[[list[float]], float], size: int, align: str = "right", name: str = "slide_value", time: str = "time_value", time_type: str = "day") -> DataFrame:
+    """``df`` with any function of each whole window's values, in time order; Spark collects the windows, Python batches of rows call ``f``."""
+    win = window(size, align)
+    rows = df.withColumn("__t", step(F.col(time), time_type))
+    frame = W.partitionBy(*keys).orderBy("__t").rangeBetween(-win.before, win.after)
+    rows = rows.withColumn("__w", F.transform(F.array_sort(F.collect_list(F.struct("__t", F.col(column).cast("double").alias("x"))).over(frame)), lambda r: r["x"]))
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
+    full = F.when(F.size(F.filter("__w", lambda x: x.isNotNull())) == win.size, F.col("__w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if w is None else float(f(w)) for w in batch["__w"].to_pylist()]
+            yield batch.drop_columns(["__w"]).append_column(name, pa.array(made, pa.float64()))
+
+    return rows.select(*df.columns, full.alias("__w")).mapInArrow(run, f"{fields}, `{name}` double")
+
+
+def _delta_slide(archive: Archive, columns: list[str], f: str, win: Window, names: list[str]) -> DataFrame:
+    """Changes of values are spread over the windows that hold them and summed up over versions: no join.
 
-    Each change costs as many rows as the window is wide; they are summed up before
-    the shuffle.
+    Each change costs as many rows as the window is wide, for all columns together;
+    they are summed up before the shuffle.
     """
     v, t = archive.version, "__t"
-    x = _operand(archive.df, column, f)
     by = W.partitionBy(*archive.keys, t).orderBy(v)
-    rows = archive.df.select(*archive.keys, archive.time, step(F.col(archive.time), archive.time_type).alias(t), v, x.alias("__x"))
-    here, before = F.col("__x").isNotNull().cast("long"), F.lag("__x").over(by)
-    rows = rows.withColumns({"__dx": F.coalesce("__x", F.lit(0)) - F.coalesce(before, F.lit(0)), "__dn": here - before.isNotNull().cast("long")})
-    spread = rows.select(*archive.keys, v, "__dx", "__dn", F.col(archive.time).alias("__own"), t, F.explode(F.sequence(F.lit(-win.after), F.lit(win.before))).alias("__k"))
+    x = [_operand(archive.df, c, f).alias(f"__x{k}") for k, c in enumerate(columns)]
+    rows = archive.df.select(*archive.keys, archive.time, step(F.col(archive.time), archive.time_type).alias(t), v, *x)
+    changes = {}
+    for k in range(len(columns)):
+        now, before = F.col(f"__x{k}"), F.lag(f"__x{k}").over(by)
+        changes |= {f"__dx{k}": F.coalesce(now, F.lit(0)) - F.coalesce(before, F.lit(0)), f"__dn{k}": now.isNotNull().cast("long") - before.isNotNull().cast("long")}
+    rows = rows.withColumns(changes)
+    spread = rows.select(*archive.keys, v, *changes, F.col(archive.time).alias("__own"), t, F.explode(F.sequence(F.lit(-win.after), F.lit(win.before))).alias("__k"))
     spread = spread.withColumn("__at", F.col(t) + F.col("__k"))
-    summed = spread.groupBy(*archive.keys, "__at", v).agg(F.sum("__dx").alias("__dx"), F.sum("__dn").alias("__dn"), F.max(F.when(F.col("__k") == 0, F.col("__own"))).alias("__own"))
+    summed = spread.groupBy(*archive.keys, "__at", v).agg(*[F.sum(c).alias(c) for c in changes], F.max(F.when(F.col("__k") == 0, F.col("__own"))).alias("__own"))
     run = W.partitionBy(*archive.keys, "__at").orderBy(v).rowsBetween(W.unboundedPreceding, 0)
-    told = summed.select(*archive.keys, v, F.max("__own").over(run).alias(archive.time), F.sum("__dx").over(run).alias("__s"), F.sum("__dn").over(run).alias("__n"))
-    value = F.when(F.col("__n") == win.size, F.col("__s") / win.size if f == "mean" else F.col("__s"))
-    return told.where(F.col(archive.time).isNotNull()).select(*archive.ekt, v, value.alias(name))
+    told = summed.select(*archive.keys, v, F.max("__own").over(run).alias(archive.time), *[F.sum(c).over(run).alias(c) for c in changes])
+    values = [F.when(F.col(f"__dn{k}") == win.size, F.col(f"__dx{k}") / win.size if f == "mean" else F.col(f"__dx{k}")).alias(n) for k, n in enumerate(names)]
+    return told.where(F.col(archive.time).isNotNull()).select(*archive.ekt, v, *values)
 
 
-def _as_of_slide(archive: Archive, column: str, f: str, win: Window, name: str) -> DataFrame:
-    """Each window that an update touches is computed from the rows valid at that version.
+def _as_of_slide(archive: Archive, columns: list[str], f: str, win: Window, names: list[str]) -> DataFrame:
+    """Each window that an update touches is computed from the rows valid at that version, for all columns at once.
 
     Windows are exploded to times, so the join is on entity and time, with the
     version's interval as a condition on top.
     """
     how, v, t = slide_function(f), archive.version, "__t"
-    rows = archive.df.select(*archive.keys, archive.time, step(F.col(archive.time), archive.time_type).alias(t), F.col(v), _operand(archive.df, column, f).alias("__x"))
+    x = {f"__x{k}": _operand(archive.df, c, f) for k, c in enumerate(columns)}
+    rows = archive.df.select(*archive.keys, archive.time, step(F.col(archive.time), archive.time_type).alias(t), F.col(v), *[c.alias(n) for n, c in x.items()])
     by = W.partitionBy(*archive.keys, t).orderBy(v)
     valid = rows.withColumn("__until", F.lead(v).over(by))
     first = rows.groupBy(*archive.keys, t).agg(F.min(v).alias("__first"), F.first(archive.time).alias(archive.time))
     touched = rows.select(*archive.keys, v, F.explode(F.sequence(F.col(t) - win.after, F.col(t) + win.before)).alias(t)).distinct()
     touched = touched.join(first, [*archive.keys, t]).where(F.col("__first") <= F.col(v)).drop("__first")
     cells = touched.select(*archive.keys, archive.time, F.col(v).alias("__v"), F.explode(F.sequence(F.col(t) - win.before, F.col(t) + win.after)).alias(t))
-    cells = cells.join(valid.select(*archive.keys, t, v, "__until", "__x"), [*archive.keys, t])
+    cells = cells.join(valid.select(*archive.keys, t, v, "__until", *x), [*archive.keys, t])
     cells = cells.where((F.col(v) <= F.col("__v")) & (F.col("__until").isNull() | (F.col("__until") > F.col("__v"))))
-    out = cells.groupBy(*archive.ekt, "__v").agg(F.when(F.count("__x") == win.size, how.make(F.col("__x"))).alias(name))
-    return out.select(*archive.ekt, F.col("__v").alias(v), name)
+    out = cells.groupBy(*archive.ekt, "__v").agg(*[F.when(F.count(c) == win.size, how.make(F.col(c))).alias(n) for c, n in zip(x, names)])
+    return out.select(*archive.ekt, F.col("__v").alias(v), *names)
 
 
-def archive_slide(archive: Archive, column: str, f: str = "mean", size: float = 7, align: str = "right", form: str | None = None, tol: float = 0, **naming) -> Archive:
-    """The archive of a sliding ``f`` at every version, without computing every snapshot.
+def archive_slide(archive: Archive, columns: str | list[str], f: str = "mean", size: float = 7, align: str = "right", form: str | None = None, tol: float = 0, groups: list[str] | None = None, **naming) -> Archive:
+    """The archive of a sliding ``f`` of each column at every version, without computing every snapshot.
 
     form "delta" sums changes (sum and mean), form "asof" recomputes touched windows
     (all functions).  By default whole numbers take delta and others asof, as sums
-    of rounded changes would seem to change.
+    of rounded changes would seem to change.  ``groups``, if given, must be all keys:
+    windows never cross entities.
     """
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    if groups is not None and set(groups) != set(archive.keys):
+        raise ValueError(f"an archive slides within its entities: group by all of {list(archive.keys)}")
     how, win = slide_function(f), window(size, align)
-    (name,) = _names(archive.df, [column], how, size, align, archive.time_type, **naming)
-    whole = isinstance(archive.df.schema[column].dataType, (T.IntegralType, T.DecimalType, T.BooleanType))
+    names = _names(archive.df, columns, how, size, align, archive.time_type, **naming)
+    whole = all(isinstance(archive.df.schema[c].dataType, (T.IntegralType, T.DecimalType, T.BooleanType)) for c in columns)
     form = form or ("delta" if how.additive and whole and win.size else "asof")
     if win.size is None:
         raise ValueError("a window without end does not slide over versions")
     if form == "delta" and not how.additive:
         raise ValueError(f"{f} has no delta form")
-    made = (_delta_slide if form == "delta" else _as_of_slide)(archive, column, f, win, name)
+    made = (_delta_slide if form == "delta" else _as_of_slide)(archive, columns, f, win, names)
     return archive.of(compactify(made, archive.ekt, archive.version, tol))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronarch.archive import Archive, Snapshot
-from chronarch.functions.steps import containing_time, shifted
+from chronarch.functions.steps import containing_time, shifted, zero_lag_version
 from chronarch.operators.compaction import compactify
 
 
@@ -21,10 +22,11 @@ def as_of(archive: Archive, version) -> Snapshot:
 
 
 def as_of_latest(archive: Archive) -> Snapshot:
-    last = archive.versions_end
-    if last is None:
-        last = archive.df.agg(F.max(archive.version)).first()[0]
-    return as_of(archive, last)
+    """The snapshot at the last version; without a filter, where the archive doesn't tell its end."""
+    if archive.versions_end is not None:
+        return as_of(archive, archive.versions_end)
+    newest = archive.df.groupBy(*archive.ekt).agg(F.max_by(F.struct(*archive.values), archive.version).alias("v"))
+    return Snapshot(newest.select(*archive.ekt, "v.*"), archive.df.agg(F.max(archive.version)).first()[0], archive.keys, archive.time)
 
 
 def truncate(archive: Archive, version) -> Archive:
@@ -36,31 +38,60 @@ def _valid_until(archive: Archive) -> Column:
     return F.lead(archive.version).over(Window.partitionBy(*archive.ekt).orderBy(archive.version))
 
 
+def _places(archive: Archive, versions: list | None) -> tuple[DataFrame, DataFrame]:
+    """((version, before, most), (place, at)): how many of the wanted versions come before each, and in all; and the wanted ones by place from 1.
+
+    Both have a row for each distinct version, however many rows the archive has.
+    """
+    name, kind = archive.version, archive.df.schema[archive.version].dataType
+    wanted = archive.df.select(F.col(name).alias("v"))
+    if versions is not None:
+        wanted = archive.df.sparkSession.createDataFrame([(v,) for v in versions], T.StructType([T.StructField("v", kind)]))
+    every = wanted.withColumn("is", F.lit(1)).union(archive.df.select(name, F.lit(0))).groupBy("v").agg(F.max("is").alias("is"))
+    order = Window.orderBy("v")  # of distinct versions: a few thousand
+    every = every.withColumns({"place": F.sum("is").over(order), "most": F.sum("is").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    return every.select("v", (F.col("place") - F.col("is")).alias("before"), "most"), every.where(F.col("is") == 1).select("place", F.col("v").alias("__at"))
+
+
 def as_of_each(archive: Archive, versions: list | None = None) -> DataFrame:
     """The rows known at each of ``versions`` (all of the archive, if None), with a column version.
 
-    A row goes to the versions within its time of validity: no join.
+    Every row knows the places of the first and last wanted version within its time
+    of validity, so work grows with the result, not with rows times versions.
     """
     name = archive.version
-    if versions is None:
-        versions = [r[0] for r in archive.df.select(name).distinct().orderBy(name).collect()]  # distinct versions only
-    every = F.array(*[F.lit(v).cast(archive.df.schema[name].dataType) for v in versions])
+    before, places = _places(archive, versions)
     rows = archive.df.withColumn("__until", _valid_until(archive))
-    at = F.explode(F.filter(every, lambda v: (v >= F.col(name)) & (F.col("__until").isNull() | (v < F.col("__until")))))
-    return rows.withColumn("__at", at).select(*archive.ekt, F.col("__at").alias(name), *archive.values)
+    rows = rows.join(before.select(F.col("v").alias(name), F.col("before").alias("__from"), F.col("most").alias("__most")), name)
+    rows = rows.join(before.select(F.col("v").alias("__until"), F.col("before").alias("__to")), "__until", "left")
+    rows = rows.withColumn("__last", F.coalesce("__to", "__most")).where(F.col("__from") < F.col("__last"))
+    rows = rows.withColumn("place", F.explode(F.sequence(F.col("__from") + 1, F.col("__last"))))
+    return rows.join(places, "place").select(*archive.ekt, F.col("__at").alias(name), *archive.values)
 
 
-def slide_versions(archive: Archive, f: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, versions: list | None = None, before: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """``f(version, snapshot)`` at each version, for times of the last ``before`` steps, and for each group of ``by``."""
-    rows = as_of_each(archive, versions)
-    if before is not None:
-        rows = rows.where(F.col(archive.time) >= shifted(F.col(archive.version), -before, archive.time_type))
+def history_at_each(archive: Archive, versions: list | None = None) -> DataFrame:
+    """All rows published up to each of ``versions``, with a column as_of_version: the truncated archive at each of them."""
+    before, places = _places(archive, versions)
+    rows = archive.df.join(before.select(F.col("v").alias(archive.version), F.col("before").alias("__from"), F.col("most").alias("__most")), archive.version)
+    rows = rows.where(F.col("__from") < F.col("__most")).withColumn("place", F.explode(F.sequence(F.col("__from") + 1, F.col("__most"))))
+    return rows.join(places, "place").select(*archive.df.columns, F.col("__at").alias("as_of_version"))
+
+
+def slide_versions(archive: Archive, f: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, versions: list | None = None, before: int | None = None, by: list[str] | None = None, all_versions: bool = False) -> DataFrame:
+    """``f(version, snapshot)`` at each version, for times of the last ``before`` steps, and for each group of ``by``.
+
+    With ``all_versions``, f gets the archive as it was at that version, not the snapshot.
+    """
     name = archive.version
+    rows = history_at_each(archive, versions) if all_versions else as_of_each(archive, versions)
+    at = "as_of_version" if all_versions else name
+    if before is not None:
+        rows = rows.where(F.col(archive.time) >= shifted(F.col(at), -before, archive.time_type))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return f(key[0], part).assign(**{name: key[0]} | dict(zip(by or [], key[1:])))
 
-    return rows.groupBy(name, *(by or [])).applyInPandas(run, schema)
+    return rows.groupBy(at, *(by or [])).applyInPandas(run, schema)
 
 
 def merge_locf(x: Archive, y: Archive) -> Archive:
@@ -116,7 +147,7 @@ def lookup(archive: Archive, rows: DataFrame, column: str, time: Column, version
 def lookup_offset(archive: Archive, rows: DataFrame, column: str, offset: int, lag: int = 0, name: str | None = None, tolerance: int | None = None) -> DataFrame:
     """The value ``offset`` steps from a row's time, as known ``lag`` steps after the row's own time."""
     t = F.col(archive.time)
-    return lookup(archive, rows, column, shifted(t, offset, archive.time_type), shifted(t, lag, archive.time_type), name or f"{column}_{offset}_{lag}", tolerance)
+    return lookup(archive, rows, column, shifted(t, offset, archive.time_type), shifted(zero_lag_version(t, archive.time_type), lag, archive.time_type), name or f"{column}_{offset}_{lag}", tolerance)
 
 
 def lookup_version_lag(archive: Archive, rows: DataFrame, column: str, lag: int, name: str | None = None) -> DataFrame:

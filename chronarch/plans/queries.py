@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
@@ -11,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chronarch.archive import duplicate_keys
+from chronarch.archive import Archive, duplicate_keys
+from chronarch.functions.steps import week_end
 from chronarch.operators import changes, grouping, joining, nowcast, shaping, sliding, travel
 from chronarch.operators.compaction import compactify
 from chronarch.plans.fixtures import KEYS, TABLES, other_reports, reports
 from chronarch.plans.registry import QUERIES, SQL, query
-from chronarch.sources.tables import recent_versions, table
-from chronarch.streaming.updates import compact_stream
+from chronarch.sources.tables import recent_versions, shared_folder, table
+from chronarch.streaming.updates import compact_stream, windowed_counts
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -71,6 +71,11 @@ def truncate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return travel.truncate(reports(spark, sf_dir, True), LATE).df
 
 
+@query(TABLES + "SELECT * FROM del WHERE geo_value = 'click' AND grp <> 3 AND version <= DATE '2024-01-15'")
+def archive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports(spark, sf_dir, True).where("geo_value = 'click' AND grp <> 3").where(F.col("version") <= LATE).df
+
+
 @query(TABLES + "SELECT * FROM del WHERE version <= time_value + 2")
 def version_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent_versions(reports(spark, sf_dir, True), 2)
@@ -101,6 +106,15 @@ def epix_slide_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return travel.slide_versions(reports(spark, sf_dir, True), _snapshot_total, "version date, geo_value string, rows long, total long", before=6, by=["geo_value"])
 
 
+def _history_total(version: date, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"rows": [len(rows)], "updates": [rows["version"].nunique()]})
+
+
+@query(TABLES + "SELECT v AS version, geo_value, count(*) AS rows, count(DISTINCT version) AS updates FROM del JOIN versions ON version <= v WHERE time_value >= v - 6 GROUP BY ALL")
+def epix_slide_all_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return travel.slide_versions(reports(spark, sf_dir, True), _history_total, "version date, geo_value string, rows long, updates long", before=6, by=["geo_value"], all_versions=True)
+
+
 @query(TABLES + _compact_sql("del", "value IS DISTINCT FROM pv", "", "lag(value) OVER w AS pv").replace("version,  FROM", "version FROM"))
 def diff_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return travel.change_keys(reports(spark, sf_dir, True), ["value"])
@@ -213,6 +227,14 @@ def map_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.map_accumulate(reports(spark, sf_dir).df, f, 0, schema, list(KEYS), EKT, result="update")
 
 
+@query(TABLES + "SELECT geo_value, grp, CAST(sum(n) AS BIGINT) AS accumulator FROM arch GROUP BY ALL")
+def map_accumulate_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def f(total: int, version: date, rows: pd.DataFrame) -> tuple[int, pd.DataFrame]:
+        return total + int(rows["n"].sum()), rows
+
+    return changes.last_accumulator(reports(spark, sf_dir).df, f, 0, list(KEYS), "long")
+
+
 @query(TABLES + "SELECT geo_value, grp, CAST(count(*) AS BIGINT) AS n FROM rep GROUP BY ALL HAVING count(*) > 1")
 def dup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -266,6 +288,30 @@ def slide_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slid(spark, sf_dir, ["value"], "sum", float("inf"))
 
 
+@query(TABLES + f"SELECT * EXCLUDE t FROM ({_slide_sql('CAST(max(value) OVER w - min(value) OVER w AS DOUBLE)', 'spread', 4, 0)})")
+def slide_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding.slide_apply(_latest(spark, sf_dir), list(KEYS), "value", lambda x: max(x) - min(x), 5, name="spread")
+
+
+_WEEKS = """, weekly AS (SELECT geo_value, grp, CAST(time_value + CAST((6 - dayofweek(time_value)) % 7 AS INTEGER) AS DATE) AS time_value, CAST(sum(n) AS BIGINT) AS n FROM latest GROUP BY ALL)"""
+
+
+@query(TABLES + _WEEKS + " SELECT *, CASE WHEN count(n) OVER w = 2 THEN CAST(sum(n) OVER w AS BIGINT) END AS n_2wsum FROM weekly WINDOW w AS (PARTITION BY geo_value, grp ORDER BY time_value RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)")
+def weekly_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by week, told by its last day, and their sums over two weeks."""
+    weeks = _latest(spark, sf_dir).groupBy(*KEYS, week_end(F.col("time_value")).alias("time_value")).agg(F.sum("n").alias("n"))
+    return sliding.slide(weeks, list(KEYS), ["n"], "sum", 2, time_type="week")
+
+
+@query(TABLES + _WEEKS + " SELECT geo_value, grp, v AS anchor_version, w.time_value AS target_time, n AS target FROM versions JOIN weekly w ON w.time_value = v + CAST((6 - dayofweek(v)) % 7 AS INTEGER) - 7")
+def weekly_evaluation_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each version, the count of the week before the one that holds it."""
+    a = reports(spark, sf_dir, True)
+    weeks = _latest(spark, sf_dir).groupBy(*KEYS, week_end(F.col("time_value")).alias("time_value")).agg(F.sum("n").alias("n"))
+    weekly = Archive(weeks.withColumn("version", F.col("time_value")), KEYS, "week")
+    return travel.evaluation_data(weekly, "n", -1, a.df.select("version"))
+
+
 _EVEN = ", flags AS (SELECT geo_value, grp, time_value, value % 2 = 0 AS even FROM latest)"
 
 
@@ -309,6 +355,19 @@ def archive_slide_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding.archive_slide(reports(spark, sf_dir, True), "value", "max", 7, "left").df
 
 
+_BOTH = "CASE WHEN count(value) OVER w = 7 THEN CAST(sum(value) OVER w AS BIGINT) END AS value_7dsum, CASE WHEN count(n) OVER w = 7 THEN CAST(sum(n) OVER w AS BIGINT) END AS n_7dsum"
+
+
+@query(
+    TABLES
+    + f", slid AS MATERIALIZED (SELECT geo_value, grp, time_value, version, {_BOTH} FROM (SELECT *, date_diff('day', DATE '1970-01-01', time_value) AS t FROM each) WINDOW w AS (PARTITION BY geo_value, grp, version ORDER BY t RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))"
+    + _compact_sql("slid", "value_7dsum IS DISTINCT FROM pv OR n_7dsum IS DISTINCT FROM pn", "value_7dsum, n_7dsum", "lag(value_7dsum) OVER w AS pv, lag(n_7dsum) OVER w AS pn")
+)
+def archive_slide_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several columns in one pass, grouped by all keys."""
+    return sliding.archive_slide(reports(spark, sf_dir, True), ["value", "n"], "sum", 7, groups=list(KEYS)).df
+
+
 @query(_archive_slide_sql("CAST(max(value) OVER w - min(value) OVER w AS DOUBLE)", "spread", 4, 0))
 def archive_slide_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding.archive_slide_apply(reports(spark, sf_dir, True), "value", lambda x: max(x) - min(x), 5, name="spread").df
@@ -427,15 +486,53 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _training(spark, sf_dir)
 
 
-@query(TABLES + _SPECS + _FEATURES + _WIDE + " SELECT geo_value, grp, n, round(CASE WHEN n >= 10 THEN s END, 6) AS slope, round(CASE WHEN n >= 10 THEN i END, 2) AS intercept FROM (SELECT geo_value, grp, CAST(regr_count(target, value_p0_w1) AS BIGINT) AS n, regr_slope(target, value_p0_w1) AS s, regr_intercept(target, value_p0_w1) AS i FROM training GROUP BY ALL)")
+_TESTING = _FEATURES.replace("SELECT DISTINCT geo_value, grp, time_value FROM arch WHERE time_value >= DATE '2024-01-12'", "SELECT DISTINCT geo_value, grp, DATE '2024-01-20' AS time_value FROM arch").replace("arg_max(a.value, a.version) AS x", "CASE WHEN max(a.version) = any_value(r.time_value + c.lag::INTEGER) THEN arg_max(a.value, a.version) END AS x")
+
+
+@query(
+    TABLES + _SPECS + _TESTING
+    + " SELECT r.geo_value, r.grp, r.time_value, " + ", ".join(f"max(f.value) FILTER (f.feature = '{n}') AS {n}" for n in _NAMES)
+    + ", 1.0::DOUBLE AS intercept FROM rows r LEFT JOIN feats f USING (geo_value, grp, time_value) GROUP BY ALL"
+)
+def testing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, found = _templates(spark, sf_dir)
+    return nowcast.testing_table(a, a.df, found, _NAMES, TEST_TIME)
+
+
+@query(
+    TABLES
+    + f""", snap AS ({_as_of_sql("2024-01-15")}), keyed AS ({_compact_sql("del", "value IS DISTINCT FROM pv", "1 AS one", "lag(value) OVER w AS pv")}),
+newest AS (SELECT geo_value, grp, time_value, max(version) AS v FROM keyed WHERE version <= DATE '2024-01-15' GROUP BY ALL),
+near AS (SELECT geo_value, grp, string_agg(s.time_value || ':' || v, ' ' ORDER BY s.time_value) AS tv FROM snap s JOIN newest USING (geo_value, grp, time_value) WHERE value IS NOT NULL AND s.time_value BETWEEN DATE '2024-01-14' AND DATE '2024-01-15' GROUP BY ALL)
+SELECT geo_value, grp, coalesce(tv, '') AS tv FROM (SELECT DISTINCT geo_value, grp FROM snap) LEFT JOIN near USING (geo_value, grp)"""
+)
+def contributing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nowcast.contributing_values(reports(spark, sf_dir, True), "value", date(2024, 1, 14), 0, 1, LATE)
+    return out.withColumn("tv", F.array_join(F.transform("tv", lambda x: F.concat_ws(":", x["time_value"].cast("string"), x["key_version"].cast("string"))), " "))
+
+
+@query(TABLES + _SPECS + _FEATURES + _WIDE + """ SELECT geo_value, grp, n, round(CASE WHEN n >= 10 THEN s END, 6) AS slope, round(CASE WHEN n >= 10 THEN i END, 2) AS intercept FROM (
+SELECT geo_value, grp, CAST(regr_count(target, value_p0_w1) AS BIGINT) AS n, CASE WHEN regr_sxx(target, value_p0_w1) <> 0 THEN regr_slope(target, value_p0_w1) END AS s,
+CASE WHEN regr_sxx(target, value_p0_w1) = 0 THEN avg(target) FILTER (value_p0_w1 IS NOT NULL) ELSE regr_intercept(target, value_p0_w1) END AS i FROM training GROUP BY ALL)""")
 def normalization_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nowcast.ols_by(_training(spark, sf_dir), list(KEYS), "target", "value_p0_w1")
     return out.select(*KEYS, "n", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
-@query()
+# The best line of least absolute deviations goes through two points, or has slope 0 where x is constant: SQL tries all.
+@query(
+    TABLES + _SPECS + _FEATURES + _WIDE
+    + ", long AS (" + " UNION ALL ".join(f"SELECT geo_value, grp, time_value, '{n}' AS feature, {n}::DOUBLE AS x, target::DOUBLE AS y FROM training WHERE {n} IS NOT NULL AND target IS NOT NULL" for n in _NAMES)
+    + """), near AS MATERIALIZED (SELECT * FROM long QUALIFY rank() OVER (PARTITION BY geo_value, grp, feature ORDER BY abs(date_diff('day', DATE '2024-01-20', time_value))) <= 8),
+lines AS (
+  SELECT a.geo_value, a.grp, a.feature, (b.y - a.y) / (b.x - a.x) AS s, a.y - a.x * (b.y - a.y) / (b.x - a.x) AS i FROM near a JOIN near b ON a.geo_value = b.geo_value AND a.grp = b.grp AND a.feature = b.feature AND a.x < b.x
+  UNION ALL SELECT geo_value, grp, feature, 0, y FROM near),
+tried AS (SELECT l.geo_value, l.grp, l.feature, s, i, avg(abs(y - s * x - i)) AS left_over, count(*) AS n FROM lines l JOIN near p ON p.geo_value = l.geo_value AND p.grp = l.grp AND p.feature = l.feature GROUP BY ALL)
+SELECT geo_value, grp, feature, CAST(any_value(n) AS BIGINT) AS n, round(CASE WHEN any_value(n) >= 4 THEN min(left_over) END, 4) AS score FROM tried GROUP BY ALL"""
+)
 def feature_score_lad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nowcast.score_features(_training(spark, sf_dir), _NAMES, "target")
+    out = nowcast.score_features(_training(spark, sf_dir), _NAMES, "target", list(KEYS), time="time_value", reference=TEST_TIME, nearest=8)
+    return out.withColumn("score", F.round("score", 4))
 
 
 @query(TABLES + "SELECT geo_value, grp, time_value, value, value / avg(value) OVER (PARTITION BY geo_value, grp) AS scaled FROM latest")
@@ -445,12 +542,12 @@ def mean_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simulate_training_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nowcast.simulate_training_ratios(spark, 200)
+    return nowcast.simulate_training_ratios(spark)
 
 
 @query()
 def simulate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nowcast.simulate_coverage(spark, 200)
+    return nowcast.simulate_coverage(spark)
 
 
 # Groups
@@ -600,8 +697,7 @@ def summarise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TABLES + _compact_sql("arch", "value IS DISTINCT FROM pv", "value, false AS late", "lag(value) OVER w AS pv"))
 def stream_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive, read as a stream of files and kept compact by state."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronarch-stream-")
-    at = f"{folder}/{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     batch = reports(spark, sf_dir).df.drop("n")
     batch.write.parquet(f"{at}/updates")
     stream = spark.readStream.schema(batch.schema).parquet(f"{at}/updates")
@@ -610,6 +706,20 @@ def stream_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(made.schema).parquet(f"{at}/archive")
 
 
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted by day of event time, read as a stream; a last event far in the future lets the watermark close every window."""
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.write.parquet(f"{at}/events/part=1")
+    last = events.agg(F.max("ts").alias("ts"))
+    last.select((F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit("end").alias("event_type")).write.parquet(f"{at}/events/part=2")
+    stream = spark.readStream.schema(events.schema).parquet(f"{at}/events/part=*")
+    made = windowed_counts(stream, "ts", ["event_type"], "1 day", "30 days")
+    made.writeStream.format("parquet").option("path", f"{at}/counts").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{at}/counts").where("event_type <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query(TABLES + f"SELECT geo_value, grp, time_value, value_7dsum AS value, value_7dsum - before AS revision FROM (SELECT * EXCLUDE t FROM ({_slide_sql('CAST(sum(value) OVER w AS BIGINT)', 'value_7dsum', 6, 0, src='(' + _as_of_sql('2024-01-20', 'arch') + ')')})) LEFT JOIN (SELECT geo_value, grp, time_value, value_7dsum AS before FROM ({_slide_sql('CAST(sum(value) OVER w AS BIGINT)', 'value_7dsum', 6, 0, src='(' + _as_of_sql('2024-01-13', 'arch') + ')')})) USING (geo_value, grp, time_value)")
 def revision_of_weekly_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly sums as known on a day, and how they were revised within a week."""

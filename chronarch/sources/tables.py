@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,13 @@ def write_archive(archive: Archive, path: str, partition_by: list[str] | None =
 def recent_versions(archive: Archive, steps: int) -> DataFrame:
     """Rows whose version is at most ``steps`` after their time."""
     return archive.df.where(F.col(archive.version) <= shifted(F.col(archive.time), steps, archive.time_type))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which a cluster must name; a local session without it, as in tests, gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="chronarch-")
+    return folder.rstrip("/")

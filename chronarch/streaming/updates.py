@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,28 +20,28 @@ def compact_stream(updates: DataFrame, keys: list[str], value: str, time: str =
     """
     ekt = [*keys, time]
     kinds = {f.name: f.dataType.simpleString() for f in updates.schema.fields}
-    columns = ", ".join(f"`{c}` {kinds[c]}" for c in (*ekt, version, value))
+    columns = ", ".join(f"`{c}` {kinds[c]}" for c in (*ekt, version))
+    # Values travel as text, so that whole numbers and decimals of any length stay exact.
+    told = updates.withColumn(value, F.col(value).cast("string"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, known, present = state.get if state.exists else (None, None, False)
         rows = pd.concat(list(batches)).sort_values(version, kind="stable")
         out = []
         for v, x in zip(rows[version], rows[value]):
-            stamp, x = pd.Timestamp(v).isoformat() if not isinstance(v, (int, float)) else f"{int(v):020d}", None if pd.isna(x) else float(x)
+            stamp, x = pd.Timestamp(v).isoformat() if not isinstance(v, (int, float)) else f"{int(v):020d}", None if pd.isna(x) or x == "NaN" else x
             if last is not None and stamp <= last:
                 out.append((*key, v, x, True))
                 continue
-            same = present and (x is None and known is None or x is not None and known is not None and abs(x - known) <= tol)
+            same = present and (x is None and known is None or x is not None and known is not None and (x == known or abs(Decimal(x) - Decimal(known)) <= Decimal(str(tol))))
             last, known, present = stamp, x, True
             if not same:
                 out.append((*key, v, x, False))
         state.update((last, known, present))
-        made = pd.DataFrame(out, columns=[*ekt, version, value, "late"])
-        if "int" in kinds[value]:
-            made[value] = made[value].astype("Int64")
-        yield made
+        yield pd.DataFrame(out, columns=[*ekt, version, value, "late"])
 
-    return updates.groupBy(*ekt).applyInPandasWithState(run, f"{columns}, late boolean", "last string, known double, present boolean", "append", GroupStateTimeout.NoTimeout)
+    made = told.groupBy(*ekt).applyInPandasWithState(run, f"{columns}, `{value}` string, late boolean", "last string, known string, present boolean", "append", GroupStateTimeout.NoTimeout)
+    return made.withColumn(value, F.col(value).cast(kinds[value]))
 
 
 def windowed_counts(events: DataFrame, time: str, by: list[str], length: str, late: str) -> DataFrame:

@@ -93,6 +93,17 @@ def test_duplicates_are_refused(spark):
         Archive(spark.createDataFrame([(1, 1, 9, 1.0)], ARCH)).where("value > 0")
 
 
+def test_archives_are_filtered_by_keys_times_and_versions(spark):
+    df = spark.createDataFrame([("a", 1, 1, 1.0, 2), ("b", 1, 4, 2.0, 3)], "geo_value string, time_value long, version long, value double, n long")
+    a = Archive(df, time_type="integer")
+    assert [r["version"] for r in a.where("geo_value = 'a'").df.collect()] == [1]
+    assert [r["version"] for r in a.where("version <= 3").df.collect()] == [1]
+    assert [r["version"] for r in a.where((df["geo_value"] == "b") & (df["version"] > 1)).df.collect()] == [4]
+    for bad in ("value > 0", "n = 2", df["n"] > 2, "geo_value = 'a' AND coalesce(n, 0) = 2"):
+        with pytest.raises(ValueError):
+            a.where(bad)
+
+
 def test_fold_equals_python(spark):
     rng = random.Random(3)
     now, snaps, want = {}, [], []

@@ -59,8 +59,51 @@ def test_median_line():
     y = 3 + 2 * x
     y[5] += 100
     a, b = nowcast.median_line(x, y)
-    assert abs(a - 3) < 1e-3 and abs(b - 2) < 1e-4
+    assert abs(a - 3) < 1e-6 and abs(b - 2) < 1e-6
     assert nowcast.median_line(np.ones(3), np.array([1.0, 5.0, 2.0])) == (2.0, 0.0)
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 4, 9, 20):
+        for _ in range(20):
+            x, y = rng.integers(0, 6, n).astype(float), rng.integers(-9, 9, n).astype(float)
+            lines = [((y[j] - y[i]) / (x[j] - x[i]), i) for i in range(n) for j in range(n) if x[i] != x[j]] + [(0.0, i) for i in range(n)]
+            best = min(np.sum(np.abs(y - y[i] - s * (x - x[i]))) for s, i in lines)
+            a, b = nowcast.median_line(x, y)
+            assert np.sum(np.abs(y - a - b * x)) <= best + 1e-6
+
+
+def test_constant_features_leave_the_mean(spark):
+    df = spark.createDataFrame([("a", 1.0, float(k)) for k in range(4)] + [("b", float(k), 2.0 * k) for k in range(4)], "g string, x double, y double")
+    got = {r["g"]: (r["slope"], r["intercept"]) for r in nowcast.ols_by(df, ["g"], "y", "x", 2).collect()}
+    assert got["a"] == (None, 1.5) and abs(got["b"][0] - 2) < 1e-9 and abs(got["b"][1]) < 1e-9
+
+
+def test_simulations(spark):
+    got = {r["prediction"]: r["e"] for r in nowcast.simulate_training_ratios(spark, 50).groupBy("prediction").agg({"scaled_error": "mean"}).withColumnRenamed("avg(scaled_error)", "e").collect()}
+    assert set(got) == {"first_row", "intercept", "no_intercept", "trend"} and got["trend"] < got["first_row"]
+    q = {(r["size"], r["fit"], r["probability"]): r["value"] for r in nowcast.simulate_coverage(spark, 400).collect()}
+    assert len(q) == 20 and abs(q[15, "mean", 0.5] - 0.5) < 0.05 and q[5, "mean", 0.75] > q[15, "mean", 0.75]
+
+
+def test_groups_of_a_slide_are_all_keys(spark):
+    from chronarch.operators import sliding
+
+    a = toy(spark)
+    with pytest.raises(ValueError):
+        sliding.archive_slide(a, a.values[0], "sum", 2, groups=[])
+
+
+def test_streams_of_long_numbers_file_by_file(spark, tmp_path):
+    from chronarch.streaming.updates import compact_stream
+
+    big = 2**60
+    kind = "geo_value string, time_value long, version long, value long"
+    for k, rows in enumerate([[("a", 1, 1, big)], [("a", 1, 2, big + 1)], [("a", 1, 3, big + 1), ("a", 2, 3, None)], [("a", 1, 2, 5)]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    made = compact_stream(stream, ["geo_value"], "value")
+    made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema(made.schema).parquet(f"{tmp_path}/out").collect() if r["value"] is not None)
+    assert got == [("a", 1, 1, big, False), ("a", 1, 2, 5, True), ("a", 1, 2, big + 1, False)]
 
 
 def test_archives_in_files(spark, tmp_path):
