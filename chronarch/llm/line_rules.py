@@ -1,10 +1,10 @@
 """Quality rules of a document, and of its lines across the documents of a host.
 
-A line that stands in many different documents of a host is no part of their text:
-menus, notices, licences.  Such lines are removed, and a document of which too
-little is left is rejected.  Lines are compared by a hash of their words, A-Z as
-a-z and every digit as 0.  Equal texts of a host count as one document, so the
-copies of a document don't make boilerplate of its lines.
+A line that stands in many documents of a host is no part of their text: menus,
+notices, licences, or a page that is there again and again.  Such lines are removed,
+and a document of which too little is left is rejected.  Lines are compared by a hash
+of their words, A-Z as a-z and every digit as 0.  Equal texts of a host are looked at
+once and counted as many times as they are there.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronarch.llm import textarrays as ta
-from chronarch.llm.tables import text_key, with_results, written
+from chronarch.llm.tables import Scratch, prepare, text_key, with_results
 
 _U = np.uint64
 #: Characters that count as symbols (fixed values).
@@ -54,29 +54,33 @@ def _line_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield w.first + i, hashes[s], a[s] - w.offsets[i], b[s] - w.offsets[i]
 
 
-def common_lines(docs: DataFrame, text_col: str, host_col: str, limit: int) -> DataFrame:
-    """(owner, n_common): for each host and text, the number of words in lines that more than ``limit`` of the host's texts have."""
+def common_lines(docs: DataFrame, text_col: str, host_col: str, limit: int, clean: bool, scratch: Scratch) -> DataFrame:
+    """(owner, n_common, lines): for each host and text, the lines that more than ``limit`` of the host's documents have, and their words."""
     rows = _owned(docs, text_col, host_col)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, host = batch["owner"].to_numpy(), batch["host"].to_numpy().view(_U)
-            _, first = np.unique(owner, return_index=True)  # equal texts of a host are one
-            first = set(first.tolist())
-            owners, lines, words = [], [], []
+            _, first, copies = np.unique(owner, return_index=True, return_counts=True)  # equal texts of a host are read once
+            first = dict(zip(first.tolist(), copies.tolist()))
+            owners, lines, words, documents = [], [], [], []
             for k, hashes, a, b in _line_rows(batch):
                 if k in first and len(hashes):
                     value, inverse = np.unique(hashes, return_inverse=True)
                     lines.append(ta.mix(value ^ ta.mix(host[k : k + 1] + _U(1))))
                     words.append(np.bincount(inverse, weights=b - a).astype(np.int32))
                     owners.append(np.full(len(value), owner[k]))
+                    documents.append(np.full(len(value), first[k], np.int64))
             if owners:
-                yield pa.RecordBatch.from_pydict({"owner": pa.array(np.concatenate(owners), pa.int64()), "line": pa.array(np.concatenate(lines).view(np.int64), pa.int64()), "words": pa.array(np.concatenate(words), pa.int32())})
+                yield pa.RecordBatch.from_pydict({"owner": pa.array(np.concatenate(owners), pa.int64()), "line": pa.array(np.concatenate(lines).view(np.int64), pa.int64()), "words": pa.array(np.concatenate(words), pa.int32()), "documents": pa.array(np.concatenate(documents), pa.int64())})
 
-    lines = rows.mapInArrow(emit, "owner long, line long, words int").groupBy("line", "owner").agg(F.max("words").alias("words"))
-    lines = written(lines, "lines")
-    many = lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > limit).select("line")
-    return lines.join(many, "line").groupBy("owner").agg(F.sum("words").alias("n_common"), F.collect_set("line").alias("lines"))
+    lines = rows.mapInArrow(emit, "owner long, line long, words int, documents long").groupBy("line", "owner").agg(F.max("words").alias("words"), F.sum("documents").alias("documents"))
+    lines = scratch.written(lines, "lines")
+    many = lines.groupBy("line").agg(F.sum("documents").alias("documents")).where(F.col("documents") > limit).select("line")
+    which = F.collect_set("line") if clean else F.lit(None).cast("array<long>")
+    common = scratch.written(lines.join(many, "line").groupBy("owner").agg(F.sum("words").alias("n_common"), which.alias("lines")), "common")
+    scratch.drop(lines)
+    return common
 
 
 def _owned(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
@@ -138,16 +142,17 @@ def line_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source"
     equal to an earlier line; n_repeat_words: words in windows of five words found
     twice or more in the text.  base_failed: fewer than ``least_words`` words, or
     more than a fifth of them in such windows.  n_common: words in lines that more
-    than ``limit`` different texts of the same host have.  kept: not base_failed, and
+    than ``limit`` documents of the same host have, copies included.  kept: not base_failed, and
     without those lines at least ``least_words`` words and ``least_share`` of all are
     left.  With ``clean``, text_col is left without common lines; the lines that stay are
     joined by line breaks.  Without, the text column is left out.
 
     Null and empty texts have no words: base_failed.  Rows with a null host are of
-    one host.  Repeated rows are copies.  Input columns named like a result are
+    one host.  Repeated rows are documents each.  Input columns named like a result are
     replaced.
     """
-    common = written(common_lines(docs, text_col, host_col, limit), "common")
+    prepare(docs.sparkSession)
+    common = common_lines(docs, text_col, host_col, limit, clean, Scratch(docs.sparkSession))
     host = F.xxhash64(F.col(f"`{host_col}`").cast("string"))
     rows = docs.withColumns({"__host": host, "__owner": F.xxhash64(host, text_key(F.col(f"`{text_col}`")))})
     others = [c for c in docs.columns if c != text_col]

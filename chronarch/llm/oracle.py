@@ -34,12 +34,12 @@ FROM classed c LEFT JOIN least l ON l.a = c.class_id
 
 URL_REDIRECTS = rf"""
 WITH RECURSIVE forms(p) AS (VALUES
-  ('(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)'),
-  ('(?is)<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*?\brel\s*=\s*["'']?canonical\b'),
-  ('(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)'),
-  ('(?is)<meta\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b')),
+  ('(?is)<link\b[^>]*?[\s\"'']rel\s*=\s*["'']?canonical\b[^>]*?[\s\"'']href\s*=\s*["'']?([^"''\s>]+)'),
+  ('(?is)<link\b[^>]*?[\s\"'']href\s*=\s*["'']?([^"''\s>]+)[^>]*?[\s\"'']rel\s*=\s*["'']?canonical\b'),
+  ('(?is)<meta\b[^>]*?[\s\"'']http-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)'),
+  ('(?is)<meta\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)[^>]*?[\s\"'']http-equiv\s*=\s*["'']?refresh\b')),
 rules(host, path, rule, verdict) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
-found AS (SELECT DISTINCT url, replace(unnest(regexp_extract_all(html, p, 1)), '&amp;', '&') AS t FROM pages, forms WHERE url IS NOT NULL),
+found AS (SELECT DISTINCT url, replace(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'), p, 1)), '&amp;', '&') AS t FROM pages, forms WHERE contains(url, '://')),
 linked AS (
   SELECT url AS s, CASE WHEN contains(t, '://') THEN t WHEN t LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
     WHEN t LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS t FROM found),
@@ -86,7 +86,7 @@ worded AS MATERIALIZED (
   SELECT *, {_words(_WORDS, "line")} AS w, translate({_LOWER.format("array_to_string(" + _words(_WORDS, "line") + ", ' ')")}, '123456789', '000000000') AS plain
   FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 again AS (SELECT doc_id, sum(n - 1) AS n_dup FROM (SELECT doc_id, line, count(*) AS n FROM worded GROUP BY ALL) GROUP BY doc_id),
-common AS (SELECT host, no_host, plain FROM worded GROUP BY ALL HAVING count(DISTINCT text) > 50),
+common AS (SELECT host, no_host, plain FROM worded GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
 lost AS (SELECT doc_id, sum(len(w)) AS n FROM worded SEMI JOIN common USING (host, no_host, plain) GROUP BY doc_id),
 windows AS MATERIALIZED (SELECT doc_id, i, w[i:i + 4] AS p FROM docs, unnest(range(1, len(w) - 3)) AS u(i)),
 twice AS (SELECT doc_id, p FROM windows GROUP BY ALL HAVING count(*) > 1),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronarch.llm.tables import buckets, with_results, written
+from chronarch.llm.tables import Scratch, buckets, prepare, with_results, written
 
 
 def assign_shards(df: DataFrame, size_col: str, order_by: str, n_shards: int, ties: list[str] | None = None) -> DataFrame:
@@ -24,12 +24,14 @@ def assign_shards(df: DataFrame, size_col: str, order_by: str, n_shards: int, ti
     in all columns are interchangeable.  If all sizes are 0, all rows go to shard 0.
     Input columns named shard or slot are replaced.  No rows: no rows.
     """
+    prepare(df.sparkSession)
+    scratch = Scratch(df.sparkSession)
     others = [c for c in df.columns if c not in (order_by, *(ties or [])) and not any(x in dict(df.dtypes)[c] for x in ("map", "variant"))]
     order = [F.col(f"`{c}`").asc_nulls_first() for c in (order_by, *(ties or []), *others)]
     sized = df.withColumn("__size", F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)))
     # The number of a row's range is kept with the row, so both passes below see the same ranges.
     sized = sized.repartitionByRange(buckets(df.sparkSession), *order).withColumn("__range", F.spark_partition_id())
-    sized = written(sized, "sized")
+    sized = scratch.written(sized, "sized")
     totals = sized.groupBy("__range").agg(F.sum("__size").alias("bytes"), F.count("*").alias("rows"))
     before, before_rows, at, starts = 0, 0, {}, []
     for row in sorted(totals.collect()):  # a row for each range
@@ -44,6 +46,7 @@ def assign_shards(df: DataFrame, size_col: str, order_by: str, n_shards: int, ti
     middle = F.col("__end").cast("decimal(38,0)") * 2 - F.col("__size")
     rows = rows.withColumn("__shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, 2 * before)).cast("decimal(38,0)"))).cast("int"))
     rows = written(rows.drop("__bytes", "__rows", "__end", "__size", "__range"), "sharded")
+    scratch.close()
     first = rows.groupBy("__shard").agg(F.min("__row").alias("__first"))  # a row for each shard
     rows = rows.join(F.broadcast(first), "__shard")
     return with_results(rows, {"shard": F.col("__shard"), "slot": F.col("__row") - F.col("__first")}).drop("__shard", "__row", "__first")

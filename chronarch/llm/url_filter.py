@@ -12,17 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronarch.llm.components import connected_components
-from chronarch.llm.tables import with_results, written
+from chronarch.llm.tables import prepare, with_results, written
 
 #: A list of link types with canonical in it: quoted, or one word.
 REL = r"(?:\"(?:[^\">]*\s)?canonical(?=[\s\"])|'(?:[^'>]*\s)?canonical(?=[\s'])|canonical\b)"
+#: The beginning of an attribute, not of the rest of one such as data-href.
+AT = r"(?<![\w-])"
 #: Links to the canonical page, and redirects by a page itself.  The place of the address differs, so there are two forms of each.
 LINKS = (
-    rf"(?is)<link\b[^>]*?\brel\s*=\s*{REL}[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
-    rf"(?is)<link\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\brel\s*=\s*{REL}",
-    r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)",
-    r"(?is)<meta\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b",
+    rf"(?is)<link\b[^>]*?{AT}rel\s*=\s*{REL}[^>]*?{AT}href\s*=\s*[\"']?([^\"'\s>]+)",
+    rf"(?is)<link\b[^>]*?{AT}href\s*=\s*[\"']?([^\"'\s>]+)[^>]*?{AT}rel\s*=\s*{REL}",
+    rf"(?is)<meta\b[^>]*?{AT}http-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)",
+    rf"(?is)<meta\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?{AT}http-equiv\s*=\s*[\"']?refresh\b",
 )
+#: What a browser does not read.
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 #: Where A-Z stand in a host, they are taken as a-z (fixed values).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,9 +92,10 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(source, target) addresses of canonical links and redirects to absolute addresses and to those relative to the page."""
     source = F.col(f"`{url_col}`")
     html = F.col(f"`{html_col}`")
-    targets = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in LINKS])
+    seen = F.regexp_replace(html, COMMENT, "")
+    targets = F.concat(*[F.regexp_extract_all(seen, F.lit(p), F.lit(1)) for p in LINKS])
     # The cheap test comes first: most pages have neither.
-    some = pages.where(source.isNotNull() & html.rlike("(?i)canonical|http-equiv"))
+    some = pages.where(source.contains("://") & html.rlike("(?i)canonical|http-equiv"))
     links = some.select(source.alias("source"), F.explode(targets).alias("target"))
     target = F.regexp_replace("target", "&amp;", "&")
     target = resolved(target, F.col("source"))
@@ -107,13 +112,14 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
     verdict: that of the page's rule; without a rule, block if an alias has a rule
     that blocks it (whether or not the alias is among the pages), else allow.  A null
     url or one without :// has an empty host and path, no aliases and no rule.  Null
-    html has no links.  Pages with the same url are judged alike.  Input columns
+    html and HTML comments have no links, and addresses without :// link nothing.  Pages with the same url are judged alike.  Input columns
     named like a result are replaced.
     """
+    prepare(pages.sparkSession)
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
         more = redirects.select(url_node(F.col("source")).alias("source"), url_node(F.col("target")).alias("target"))
-        edges = edges.union(more.where("source <> target")).distinct()
+        edges = edges.union(more.where("source <> target AND source LIKE '%://%' AND target LIKE '%://%'")).distinct()
     edges = written(edges, "edges")
     ends = edges.select(F.col("source").alias("url")).union(edges.select("target")).distinct()
     component = connected_components(edges.select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b")))
