@@ -106,42 +106,45 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     longer = F.greatest(F.lit(0), attempt - ROUNDS // 2)
     stays = F.when(kind == "token", F.regexp_extract(canon, f"^{TOKEN_PREFIX}", 0)).when(kind == "iban", F.substring(canon, 1, 2)).otherwise("")
     hexadecimal = (kind == "ipv6") | (kind == "token") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-
-    def same_class(c: Column, i: Column) -> Column:
-        out = F.when(hexadecimal & c.rlike("[0-9a-f]"), _pick(digest, i, "0123456789abcdef")).when(hexadecimal & c.rlike("[A-F]"), _pick(digest, i, "0123456789ABCDEF"))
-        out = out.when(c.rlike("[0-9]"), _pick(digest, i, "0123456789")).when(c.rlike("[a-z]"), _pick(digest, i, "abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), _pick(digest, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        for script, (some, others) in SCRIPTS.items():
-            out = out.when(c.rlike(rf"\p{{Is{script}}}"), _pick(digest, i, "àáâäçèéêëíîïñóôöùúûü" if script == "Latin" else "".join(dict.fromkeys(some + others))))
-        return out.otherwise(c)
-
-    def sound(i: Column) -> Column:
-        out = F.when(F.lit(False), "")
-        for script, (some, others) in SCRIPTS.items():
-            out = out.when(canon.rlike(rf"^.?\p{{Is{script}}}"), F.when(i % 2 == 0, _pick(digest, i, some)).otherwise(_pick(digest, i, others)))
-        return out.otherwise(_pick(digest, i, SCRIPTS["Latin"][0]))
-
-    alike = lambda text: F.array_join(F.transform(F.split(text, ""), same_class), "")
-    whole = F.concat(stays, alike(F.substring(canon, F.length(stays) + 1, F.length(canon))))
-    host = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(107)), lambda i: _pick(digest, i, "abcdefghijklmnopqrstuvwxyz")), "")
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
+    head = F.substring(canon, 1, 2)
+    script = F.coalesce(*[F.when(head.rlike(rf"^.?\p{{Is{x}}}"), x) for x in SCRIPTS], F.lit("Latin"))
     # Names sound: an even number of letters ends in a vowel, an odd one in a consonant.
-    least = F.when(canon.rlike(rf"[{_UNCASED}]"), 1).otherwise(5)
-    name_length = F.greatest(least, F.length(canon)) + 2 * longer
-    spoken = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), sound), "")
+    name_length = F.greatest(F.when(script.isin(*ENDINGS, "Armenian"), 5).otherwise(1), F.length(canon)) + 2 * longer
     odd, even = name_length - (name_length % 2) + 1, name_length + (name_length % 2)
-    ending = F.when(F.lit(False), "")
-    for script, letter in ENDINGS.items():
-        ending = ending.when(canon.rlike(rf"^.?\p{{Is{script}}}"), letter)
+    ending = F.coalesce(*[F.when(script == x, letter) for x, letter in ENDINGS.items()], F.lit(""))
     more = F.when(longer > 0, attempt.cast("string")).otherwise("")
-    return (
-        F.when(kind == "email", F.concat(alike(F.regexp_extract(canon, "^(.*)@", 1)), more, F.lit("@"), host, F.lit(".example")))
-        .when(kind == "ip", octets)
-        .when(kind == "surname", spoken(even))
-        .when(kind.isin("given_m", "given"), spoken(odd))
-        .when(kind == "given_f", F.concat(spoken(odd), ending.otherwise("")))
-        .when(kind == "token", F.concat(whole, more))
-        .otherwise(_check_digits(kind, whole))
-    )
+
+    def draw(told: Column) -> Column:
+        """The surrogate; what holds for the whole entity is in ``told``, worked out once and not for each letter."""
+        pick = lambda i, letters: _pick(told["digest"], i, letters)
+
+        def same_class(c: Column, i: Column) -> Column:
+            out = F.when(told["hexadecimal"] & c.rlike("[0-9a-f]"), pick(i, "0123456789abcdef")).when(told["hexadecimal"] & c.rlike("[A-F]"), pick(i, "0123456789ABCDEF"))
+            out = out.when(c.rlike("[0-9]"), pick(i, "0123456789")).when(c.rlike("[a-z]"), pick(i, "abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick(i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            for x, (some, others) in SCRIPTS.items():
+                out = out.when(c.rlike(rf"\p{{Is{x}}}"), pick(i, "àáâäçèéêëíîïñóôöùúûü" if x == "Latin" else "".join(dict.fromkeys(some + others))))
+            return out.otherwise(c)
+
+        def sound(i: Column) -> Column:
+            return F.coalesce(*[F.when(told["script"] == x, F.when(i % 2 == 0, pick(i, some)).otherwise(pick(i, others))) for x, (some, others) in SCRIPTS.items()])
+
+        alike = lambda text: F.array_join(F.transform(F.split(text, ""), same_class), "")
+        spoken = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), sound), "")
+        host = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(107)), lambda i: pick(i, "abcdefghijklmnopqrstuvwxyz")), "")
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(told["digest"], i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
+        whole = F.concat(stays, alike(F.substring(canon, F.length(stays) + 1, F.length(canon))))
+        return (
+            F.when(kind == "email", F.concat(alike(F.regexp_extract(canon, "^(.*)@", 1)), more, F.lit("@"), host, F.lit(".example")))
+            .when(kind == "ip", octets)
+            .when(kind == "surname", spoken(even))
+            .when(kind.isin("given_m", "given"), spoken(odd))
+            .when(kind == "given_f", F.concat(spoken(odd), ending))
+            .when(kind == "token", F.concat(whole, more))
+            .otherwise(whole)
+        )
+
+    told = F.struct(digest.alias("digest"), hexadecimal.alias("hexadecimal"), script.alias("script"))
+    return _check_digits(kind, F.transform(F.array(told), draw)[0])
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:

@@ -84,6 +84,7 @@ class Index:
     ends: np.ndarray
     example: np.ndarray  #: postings
     count: np.ndarray
+    k: int = NEAREST  #: how many vote
     slope: float = 1.0
     shift: float = 0.0
 
@@ -118,12 +119,12 @@ class Index:
         w = w / (np.sqrt(np.sum(w * w)) or 1.0)
         return at[own], w[own].astype(np.float32)
 
-    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None, k: int = NEAREST) -> tuple[np.ndarray, int]:
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> tuple[np.ndarray, int]:
         """(cosines of texts (rows) with all examples that can be among the k nearest, others -1; number of blocks scored).
 
         ``without``: an example for each text that is left out.
         """
-        n, e = len(vectors), len(self.names)
+        n, e, k = len(vectors), len(self.names), self.k
         common, out = np.zeros((n, len(self.rows)), np.float32), np.zeros((n, e), np.float32)
         for i, (at, w) in enumerate(vectors):
             row = self.row[at]
@@ -157,22 +158,22 @@ class Index:
             out[np.arange(n), without] = -1
         return out, int(done.sum())
 
-    def best(self, score: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, with all that tie with the last of them, and the cosines."""
-        least = np.partition(score, -k)[-k] - TIE if len(score) > k else 0.0
+        least = np.partition(score, -self.k)[-self.k] - TIE if len(score) > self.k else 0.0
         who = np.flatnonzero((score > TIE) & (score >= least))
         top = np.lexsort((self.names[who], -score[who]))
         return who[top], score[who][top]
 
-    def nearest(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], themselves: bool = False, k: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], themselves: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The nearest of each text; with ``themselves``, texts are the examples and each is left out for itself."""
         vectors, at = iter(vectors), 0
         while some := list(islice(vectors, AT_ONCE)):
             if not len(self.names):
                 yield from [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(some)
                 continue
-            for score in self.scores(some, np.arange(at, at + len(some)) if themselves else None, k)[0]:
-                yield self.best(score, k)
+            for score in self.scores(some, np.arange(at, at + len(some)) if themselves else None)[0]:
+                yield self.best(score)
             at += len(some)
 
     def share(self, who: np.ndarray, what: np.ndarray) -> float:
@@ -191,7 +192,7 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], frequency, n_documents: int) -> Index:
+def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], frequency, n_documents: int, nearest: int = NEAREST) -> Index:
     """Invert the examples (id, label, terms, counts) and calibrate.  ``frequency`` gives the document frequencies of terms.  Without examples the prior is 0."""
     examples = sorted(examples, key=lambda e: e[0])
     labels = np.array([e[1] for e in examples], np.int64)
@@ -207,7 +208,7 @@ def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], frequency, n_do
         place = np.zeros(n, np.int64)
         place[order] = np.arange(n)
         sort = np.lexsort((place[of], inverse))
-        return Index(terms, found, n_documents, np.array([examples[k][0] for k in order], np.int64), labels[order], ones / n if n else 0.0, np.r_[0, np.cumsum(seen)], place[of][sort].astype(np.uint16 if n < 1 << 16 else np.int32), tf[sort].astype(np.int32))
+        return Index(terms, found, n_documents, np.array([examples[k][0] for k in order], np.int64), labels[order], ones / n if n else 0.0, np.r_[0, np.cumsum(seen)], place[of][sort].astype(np.uint16 if n < 1 << 16 else np.int32), tf[sort].astype(np.int32), nearest)
 
     rows = index(np.arange(n)).rows
     order = np.concatenate(list(_halves(np.arange(n), rows))) if n else np.arange(0)
@@ -246,12 +247,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     return one.join(F.broadcast(fit_in), "doc_id")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", nearest: int = NEAREST) -> DataFrame:
     """All columns of ``docs`` but the text, with score, predicted and evidence.
 
     Learns from labels (id_col, label 0 or 1) where ``learnable`` holds; the sample
     has at most ``MOST_EXAMPLES`` documents of ``MOST_BYTES`` in all.  score:
-    likelihood of label 1, by the cosine-weighted votes of the ``NEAREST`` examples
+    likelihood of label 1, by the cosine-weighted votes of the ``nearest`` examples
     and all that tie with the last of them; predicted: 1 if it is 0.5 or more;
     evidence: ids, labels and cosines of all that voted, nearest first.  A term of no
     example counts in a text's norm as one of a single document.
@@ -291,7 +292,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col
 
         return counts(texts.select("text"), len(terms), places)
 
-    index = spark.sparkContext.broadcast(fit(examples, frequency, texts.count()))
+    index = spark.sparkContext.broadcast(fit(examples, frequency, texts.count(), nearest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = index.value
