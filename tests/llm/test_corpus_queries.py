@@ -6,6 +6,7 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from chronarch.llm.queries import ORACLE_SQL, QUERIES
 
@@ -88,6 +89,77 @@ def test_empty_tables(spark, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+CLASHES = ("score", "predicted", "evidence", "n_shingles", "component_id", "shard", "slot", "host", "path", "rule", "verdict", "n_words", "n_hit", "kept", "kept_sha256", "ids", "n_tokens", "surrogates", "n_entities", "__key", "row", "key", "n", "group", "salt")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_clashing_columns_change_nothing(spark, edges, tmp_path, name):
+    for table in ("documents", "pages", "benchmark", "labels"):
+        df = spark.read.parquet(f"{edges}/{table}.parquet")
+        df.withColumns({c: F.lit("clash") for c in CLASHES if c not in df.columns}).write.parquet(f"{tmp_path}/{table}.parquet")
+    plain, more = ([str(r) for r in QUERIES[name](spark, at).collect()] for at in (edges, str(tmp_path)))
+    if name not in ("op4_toxicity_neighbours", "op5_quality_attention"):
+        assert sorted(plain) == sorted(more)
+    else:
+        assert len(plain) == len(more)
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Rows for the pipeline: nulls, no words, repeated ids, copies and near copies of different ids, extra columns."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    t, u = prose(60), prose(70)
+    near = " ".join([*t.split()[:-1], "other"])
+    rows = [(1, t), (2, t), (2, u), (3, near), (None, t), (None, u), (4, None), (4, ""), (4, " \n"), (5, "two words"), (6, "Two words"), (7, prose(40)), (7, prose(40)), (8, u), (8, u)]
+    return spark.createDataFrame([(k, x, "en", "s", 1, "extra") for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+
+
+def test_near_duplicates_equal_brute_force(spark, odd_docs):
+    import corpus_pipeline as p
+
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    sets = [grams(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        if sets[k]:
+            groups.setdefault(find(k), []).append((i is None, i or 0))
+    got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, odd_docs, DATA).collect()]
+    assert sum(not grams(t) for _, t in got) == 3
+    kept = [(i is None, i or 0) for i, t in got if grams(t)]
+    assert sorted(kept) == sorted(min(g) for g in groups.values())
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_docs):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        out = stage(spark, odd_docs, DATA)
+        assert stage(spark, odd_docs.limit(0), DATA).count() == 0
+        rows = out.collect()
+        if name != "tokens":
+            assert out.columns == odd_docs.columns
+            assert {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
+        if name in ("decontaminate", "personal_data", "tokens"):
+            assert len(rows) == odd_docs.count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
