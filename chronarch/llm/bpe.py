@@ -28,6 +28,8 @@ from chronarch.llm.tables import prepare, with_results
 
 #: Words in the lexicon, and counters of a task's summary.
 LEXICON_WORDS, COUNTERS = 1 << 14, 1 << 15
+#: Rank of a pair that is not merged.  Up to so many letters looking through all pairs is faster than a heap; the ids are the same.
+NO_RANK, SHORT = 1 << 30, 40
 #: Words that a worker keeps decided, so that it does not walk the automaton for each.
 KEPT_WORDS = 1 << 17
 #: All but ASCII letters and characters outside ASCII.
@@ -68,6 +70,25 @@ class WordBpe:
         """Ids of one piece: the leftmost pair of least rank is merged until none is left."""
         parts: list[str | None] = [self.characters[b] for b in word]
         parts[-1] += self.suffix
+        rank = self.ranks.get
+        if len(parts) > SHORT:
+            return self._merge_long(parts)
+        open_ = [rank(p, NO_RANK) for p in zip(parts, parts[1:])]  # rank of each pair of neighbours
+        while open_:
+            least = min(open_)
+            if least == NO_RANK:
+                break
+            k = open_.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del open_[k]
+            if k:
+                open_[k - 1] = rank((parts[k - 1], parts[k]), NO_RANK)
+            if k < len(open_):
+                open_[k] = rank((parts[k], parts[k + 1]), NO_RANK)
+        return [self.ids[p] for p in parts if p in self.ids]
+
+    def _merge_long(self, parts: list[str | None]) -> list[int]:
+        """The same with a heap of pairs by rank and place: n letters take n log n steps."""
         n, rank = len(parts), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n))
         waiting = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank(p)) is not None]
