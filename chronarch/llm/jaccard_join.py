@@ -21,6 +21,7 @@ thousands of near copies does not cost all the pairs within it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,10 +102,11 @@ def _signatures(docs: DataFrame, size: int, percent: int, frequencies: np.ndarra
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, grams) of the classes ``wanted`` (text_key), and of some others.
+    """(node, packed) of the classes ``wanted`` (text_key), and of some others: a text of each class, compressed.
 
     A table of hashed keys, sized by their number up to a bound, lets tasks pass over
-    most other texts, so sets are made and shuffled for few but those wanted.
+    most other texts, so few but those wanted are shuffled.  A compressed text has a
+    third of the bytes of its n-gram hashes, which are made again where they are used.
     """
     prepare(texts.sparkSession)
     cells = min(MOST_FLAGS, 1 << max(15, int(16 * wanted.count()).bit_length()))
@@ -120,26 +122,32 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             cell = key % cells
             some &= flags[cell >> 3] >> (cell & 7) & 1 > 0
             batch = batch.filter(pa.array(some, pa.bool_()))
-            node, grams = [], []
-            for u in gram_sets(batch["text"], size):
-                node.append(_node(u)), grams.append(u.tobytes())
-            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "grams": pa.array(grams, pa.binary())})
+            node = [_node(u) for u in gram_sets(batch["text"], size)]
+            packed = [zlib.compress(t.as_buffer() if t.is_valid else b"") for t in batch["text"]]
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    return texts.mapInArrow(pick, "node long, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
+
 
-    return texts.mapInArrow(pick, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+def _unpacked(packed: pa.BinaryScalar, size: int) -> np.ndarray:
+    """The n-gram set of a compressed text."""
+    return next(gram_sets(pa.array([zlib.decompress(packed.as_buffer())], pa.binary()).cast(pa.string()), size))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose sets are similar enough.  Sets are made for classes in pairs only."""
+    """Of pairs (a, b) of classes, those whose sets are similar enough.  Texts are sent for classes in pairs only."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(texts, cut(classes.join(nodes, "node", "left_semi").select("text_key")), size)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):  # one pair after the other: sets are long
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+            keep, held, of_b = [], None, None
+            for x, b, y in zip(batch["x"], batch["b"].to_pylist(), batch["y"]):  # one pair after the other: sets are long
+                if b != held:  # rows of one b come together
+                    held, of_b = b, _unpacked(y, size)
+                x, y = _unpacked(x, size), of_b
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
