@@ -11,6 +11,27 @@ def _words(pattern: str, text: str = "coalesce(text, '')", lower: bool = False)
     return pattern.format(_LOWER.format(text) if lower else text)
 
 
+def _crc32(text: str) -> str:
+    """crc32 of a text's bytes, unsigned: DuckDB has none, so its bytes are folded over the checksum's table."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(str(c))
+    each = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    fold = f"lambda c, b: xor(c >> 8, [{', '.join(table)}][(xor(c, b) & 255) + 1]::BIGINT)"
+    return f"xor(list_reduce({each}, {fold}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+BYTE_SHARDS = f"""
+WITH docs AS (SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+placed AS (
+  SELECT *, row_number() OVER ordered AS place, sum(size) OVER (ordered ROWS UNBOUNDED PRECEDING)::HUGEINT AS until, sum(size) OVER ()::HUGEINT AS total
+  FROM docs WINDOW ordered AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+cuts AS (SELECT *, least(39, (2 * until - size) * 40 // (2 * total))::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM cuts
+"""
+
 NGRAM_JACCARD = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, {_words(_WORDS, lower=True)} AS w FROM documents),
 sets AS (
@@ -110,6 +131,7 @@ FROM docs LEFT JOIN kept USING (doc_id)
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": NGRAM_JACCARD,
+    "op2_byte_shards": BYTE_SHARDS,
     "op3_url_redirects": URL_REDIRECTS,
     "op8_decontamination": DECONTAMINATION,
     "op9_line_frequency": LINE_FREQUENCY,
