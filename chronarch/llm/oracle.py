@@ -129,6 +129,39 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+FILL_IN_MIDDLE = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+drawn AS (SELECT *, len(t) AS n, [('0x' || s[8 * k + 1:8 * k + 8])::BIGINT FOR k IN range(4)] AS h FROM docs),
+placed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:], '') AS suffix FROM placed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+COLLOCATIONS = rf"""
+WITH split AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS sizes(k)) GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM grams WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, n, j, ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts c JOIN totals USING (lang)
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (
+    SELECT 1 FROM grams g WHERE g.lang = c.lang AND g.k > c.k AND g.f >= c.a AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": NGRAM_JACCARD,
     "op2_byte_shards": BYTE_SHARDS,
@@ -136,4 +169,6 @@ ORACLE_SQL = {
     "op8_decontamination": DECONTAMINATION,
     "op9_line_frequency": LINE_FREQUENCY,
     "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_collocations": COLLOCATIONS,
 }

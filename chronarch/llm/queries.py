@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronarch.llm.bpe import encode
+from chronarch.llm.collocations import collocations
+from chronarch.llm.crossparse import identify_language
 from chronarch.llm.decontamination import contamination
+from chronarch.llm.fill_middle import fill_in_middle, restored
 from chronarch.llm.jaccard_join import similar_components
 from chronarch.llm.line_rules import line_rules
 from chronarch.llm.oracle import ORACLE_SQL
@@ -92,11 +95,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, rate=50, spm=80)
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, top=2000)
+
+
+def op13_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = identify_language(docs, remainder(4) != 2)
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_byte_shards, op3_url_redirects, op4_toxicity_neighbours, op5_quality_attention,
         op6_bpe_transducer, op7_surrogates, op8_decontamination, op9_line_frequency, op10_substring_dedup,
+        op11_fill_in_middle, op12_collocations, op13_cross_parsing,
     )
 }
 
