@@ -1,9 +1,9 @@
 """Phrase collocations: phrases that stand together more often than their parts would by chance.
 
 Equal pieces of text become one with a multiplicity.  Their n-grams are dealt by hash
-into buckets, and DuckDB counts each bucket's weighted rows out of core, in two rounds:
-hashes of one and two words tell which n-grams can be frequent at all, then those are
-counted by their words.  Candidates ask for their parts' counts by a shuffled join.
+into buckets, and DuckDB counts each bucket's weighted rows out of core, in three rounds:
+hashes of one and two words, then those of longer n-grams all of whose pairs may be
+frequent; what may be frequent by its hash is counted by its words.  Candidates ask for their parts' counts by a shuffled join.
 """
 
 from __future__ import annotations
@@ -96,9 +96,45 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, sql: str) ->
         yield from db.sql(sql).to_arrow_reader(1 << 16)
 
 
-def frequent_hashes(pieces: DataFrame, least: int) -> DataFrame:
-    """(h) of the words and pairs of words whose hash counts ``least`` or more: all frequent ones, and such as share their hash."""
-    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _known(flags: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    table = np.frombuffer(flags, np.uint8)
+    at = hashes.view(np.int64) % (8 * len(table))
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _grams(w: ta.Words, h: np.ndarray, pairs: bytes | None, all_: bytes | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places, hashes) of n-grams: without ``pairs`` those of one and two words; with it, the longer ones whose pairs are all flagged; with ``all_``, all sizes that are flagged there too."""
+    pair, inside = w.grams(h, 2)
+    if pairs is None:
+        yield 1, np.arange(len(h)), h
+        yield 2, (at := np.flatnonzero(inside)), pair[at]
+        return
+    joined = inside & _known(pairs, pair)
+    if all_ is not None:
+        yield 1, (at := np.flatnonzero(_known(pairs, h))), h[at]
+        yield 2, (at := np.flatnonzero(joined)), pair[at]
+    ok = joined
+    for size in range(3, LONGEST + 1):
+        ok = ok[:-1] & joined[size - 2 :]
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return
+        gram = w.grams(h, size)[0][at]
+        if all_ is not None:
+            at, gram = (x[_known(all_, gram)] for x in (at, gram))
+        yield size, at, gram
+
+
+def frequent_hashes(pieces: DataFrame, least: int, pairs: bytes | None = None) -> DataFrame:
+    """(h) of the n-grams whose hash counts ``least`` or more: all frequent ones, and such as share their hash.
+
+    First of words and pairs of words; then, with the flags of these, of longer n-grams all of
+    whose pairs may be frequent.
+    """
+    spark = pieces.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(pairs)
 
     def dealt(keys: list[np.ndarray], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, weight = _summed(np.concatenate(keys), np.concatenate(weights))
@@ -115,10 +151,9 @@ def frequent_hashes(pieces: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             many = batch["many"].to_numpy()
             for w, row, h in _hashes(batch):
-                pair, inside = w.grams(h, 2)
-                keys += [h, pair[inside]]
-                weights += [many[row], many[row][inside]]
-                held += len(h) + int(inside.sum())
+                for _, at, gram in _grams(w, h, shared.value):
+                    keys.append(gram), weights.append(many[row[at]])
+                    held += len(at)
                 if held > PAIRS:
                     yield from dealt(keys, weights)
                     keys, weights, held = [], [], 0
@@ -126,13 +161,19 @@ def frequent_hashes(pieces: DataFrame, least: int) -> DataFrame:
             yield from dealt(keys, weights)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = pa.schema([("h", pa.int64()), ("w", pa.int64())])
-        given = (pa.RecordBatch.from_pydict({"h": np.frombuffer(h.as_py(), np.int64), "w": np.frombuffer(w.as_py(), np.int64)}, pairs) for b in batches for h, w in zip(b["hashes"], b["weights"]))
-        yield from _counted(given, pairs, f"SELECT h FROM given GROUP BY h HAVING sum(w) >= {least}")
+        kind = pa.schema([("h", pa.int64()), ("w", pa.int64())])
+        given = (pa.RecordBatch.from_pydict({"h": np.frombuffer(h.as_py(), np.int64), "w": np.frombuffer(w.as_py(), np.int64)}, kind) for b in batches for h, w in zip(b["hashes"], b["weights"]))
+        yield from _counted(given, kind, f"SELECT h FROM given GROUP BY h HAVING sum(w) >= {least}")
 
     return pieces.mapInArrow(pack, "bucket int, hashes binary, weights binary").repartition(n, "bucket").mapInArrow(count, "h long")
 
 
+def flagged(hashes: DataFrame) -> bytes:
+    """A table of bits of the hashes, 64 bits for each as far as ``MOST_FLAGS`` allow."""
+    room = min(MOST_FLAGS, 1 << max(16, (64 * hashes.count()).bit_length()))
+    return bits(hashes, "h", room)[: room // 8]
+
+
 def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The strings of bytes between ``starts`` and ``ends``."""
     size = ends - starts
@@ -141,44 +182,30 @@ def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes()))
 
 
-def frequent_phrases(pieces: DataFrame, flags: bytes, least: int) -> DataFrame:
-    """(lang, size, phrase, f) of all phrases of up to ``LONGEST`` words with f >= ``least``, exact counts.
+def frequent_phrases(pieces: DataFrame, pairs: bytes, longer: bytes, least: int) -> DataFrame:
+    """(lang, size, phrase, f) of all phrases of up to ``LONGEST`` words with f >= ``least``, counted by their words.
 
-    ``flags`` has a bit for each hash of ``frequent_hashes``: a phrase can be frequent only if
-    all its pairs of words are.
+    ``pairs`` and ``longer`` have the bits of ``frequent_hashes`` of up to two, and of more words.
     """
-    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = pieces.sparkSession.sparkContext.broadcast(flags)
-    most = 1 << (len(flags) * 8).bit_length() - 1
+    spark = pieces.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast((pairs, longer))
 
     def together(tables: list[pa.Table]) -> pa.Table:
         summed = pa.concat_tables(tables).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("many", "sum")])
         return summed.select(["lang", "size", "phrase", "many_sum"]).rename_columns(GRAMS.names)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
-        known = lambda h: (table[(at := h.view(np.int64) % most) >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         held: list[pa.Table] = []
         rows = 0
         for batch in batches:
             many = batch["many"].to_numpy()
             for w, row, h in _hashes(batch):
-                if not len(h):
-                    continue
-                pair, inside = w.grams(h, 2)
-                joined = inside & known(pair)
-                ok = known(h)
-                for size in range(1, LONGEST + 1):
-                    if size == 2:
-                        ok = joined
-                    elif size > 2:
-                        ok = ok[:-1] & joined[size - 2 :]
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        break
-                    phrase = _slices(w.data, w.starts[at], w.ends[at + size - 1])
-                    held.append(together([pa.table({"lang": batch["lang"].take(pa.array(row[at])), "size": pa.array(np.full(len(at), size, np.int32)), "phrase": phrase.cast(pa.string()), "many": pa.array(many[row[at]])})]))
-                    rows += held[-1].num_rows
+                for size, at, _ in _grams(w, h, *shared.value):
+                    if len(at):
+                        phrase = _slices(w.data, w.starts[at], w.ends[at + size - 1])
+                        held.append(together([pa.table({"lang": batch["lang"].take(pa.array(row[at])), "size": pa.array(np.full(len(at), size, np.int32)), "phrase": phrase.cast(pa.string()), "many": pa.array(many[row[at]])})]))
+                        rows += held[-1].num_rows
                 if rows > 2 * PHRASES:
                     held = [together(held)]
                     rows = held[0].num_rows
@@ -219,11 +246,11 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: s
     own = texts.mapInArrow(_pieces, "lang string, piece string, many long")
     pieces = scratch.written(own.groupBy("lang", "piece").agg(F.sum("many").alias("many")), "pieces")
     totals = scratch.written(pieces.groupBy("lang").agg(F.sum(F.col("many") * F.size(F.split("piece", " "))).alias("n")), "totals")
-    hashes = scratch.written(frequent_hashes(pieces, least), "hashes")
-    room = min(MOST_FLAGS, 1 << max(16, (64 * hashes.count()).bit_length()))
-    flags = bits(hashes, "h", room)[: room // 8]
-    counts = scratch.written(frequent_phrases(pieces, flags, least), "phrases")
-    scratch.drop(pieces, hashes)
+    short = scratch.written(frequent_hashes(pieces, least), "short")
+    pairs = flagged(short)
+    long = scratch.written(frequent_hashes(pieces, least, pairs), "long")
+    counts = scratch.written(frequent_phrases(pieces, pairs, flagged(long), least), "phrases")
+    scratch.drop(pieces, short, long)
 
     candidates = counts.where("size > 1")
     cut = candidates.select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
