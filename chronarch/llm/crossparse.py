@@ -10,6 +10,7 @@ language of least entropy wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,35 +82,48 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 def model(texts: dict[str, bytes]) -> dict[str, np.ndarray]:
-    """One table for the automata of all languages.
-
-    ``table`` has a cell for each state and class of bytes: the place of the next
-    state's cells, times 2, and 1 more if the byte begins a phrase.  Where nothing
-    matches, the next state is the one that the byte leads to from the start.
-    """
+    """The automata of all languages as lists of steps: state, class of bytes and next state, numbered through, with the states and weight of each language."""
     used = sorted(set(b"".join(texts.values())))
-    width = len(used) + 1  # the last class is that of bytes which no language has
-    classes = np.full(256, width - 1, np.uint8 if width <= 256 else np.uint16)
-    classes[used] = np.arange(width - 1)
-    tables, starts, at = [], [], 0
+    classes = np.full(256, len(used), np.uint8)  # the last class is that of bytes which no language has
+    classes[used] = np.arange(len(used))
+    source, kind, target, states = [], [], [], []
     for text in texts.values():
-        step = suffix_automaton(text)
-        root = np.full(width, at * width, np.int64)
-        for c, s in step[0].items():
-            root[classes[c]] = (at + s) * width
-        cells = np.tile((2 * root + 1).astype(np.int32), (len(step), 1))
-        for s in range(1, len(step)):
-            for c, t in step[s].items():
-                cells[s, classes[c]] = 2 * (at + t) * width
-        tables.append(cells.ravel()), starts.append(at * width)
-        at += len(step)
+        at, step = sum(states), suffix_automaton(text)
+        many = [len(s) for s in step]
+        source.append(at + np.repeat(np.arange(len(step)), many))
+        kind.append(classes[np.fromiter((c for s in step for c in s), np.int64, sum(many))])
+        target.append(at + np.fromiter((t for s in step for t in s.values()), np.int64, sum(many)))
+        states.append(len(step))
+    join = lambda x, d: np.concatenate(x).astype(d) if x else np.zeros(0, d)
     weight = np.array([np.log2(max(len(t), 2)) for t in texts.values()])
-    return {"classes": classes, "table": np.concatenate(tables) if tables else np.zeros(0, np.int32), "starts": np.array(starts, np.int64), "weight": weight}
+    return {"classes": classes, "width": np.array([len(used) + 1]), "states": np.array(states, np.int64), "source": join(source, np.int32), "kind": join(kind, np.uint8), "target": join(target, np.int32), "weight": weight}
+
+
+def spread(m: Mapped | dict) -> dict[str, np.ndarray]:
+    """The automata as one table with a cell for each state and class: the place of the next state's cells, times 2, and 1 more if the byte begins a phrase.
+
+    Where nothing matches, the next state is the one that the byte leads to from the start.
+    """
+    width, states = int(m["width"][0]), np.asarray(m["states"])
+    first = np.cumsum(states) - states
+    source, kind, target = (np.asarray(m[k]).astype(np.int64) for k in ("source", "kind", "target"))
+    roots = np.repeat((first * width)[:, None], width, 1)
+    begins = np.isin(source, first)
+    roots[np.searchsorted(first, source[begins], "right") - 1, kind[begins]] = target[begins] * width
+    table = np.repeat((2 * roots + 1).astype(np.int32), states, axis=0)
+    table[source[~begins], kind[~begins]] = 2 * target[~begins] * width
+    return {"classes": np.asarray(m["classes"]), "table": table.ravel(), "starts": (first * width).astype(np.int32), "weight": np.asarray(m["weight"])}
+
+
+@lru_cache(maxsize=2)
+def _spread(file: str) -> dict[str, np.ndarray]:
+    """Made once by each worker process, from the file that all of a machine's workers map."""
+    return spread(shipped(file))
 
 
-def parse(m: Mapped | dict, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def parse(m: dict, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Phrases of each folded text (rows) in each language (columns), all segments of all texts read in step."""
-    table, starts = m["table"], np.asarray(m["starts"])
+    table, starts = m["table"], m["starts"]
     coded = m["classes"][data].astype(np.int32)
     sizes = np.diff(bounds)
     parts = -(-sizes // SEGMENT)
@@ -121,7 +135,7 @@ def parse(m: Mapped | dict, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     for k in range(0, len(order), AT_ONCE):
         own = order[k : k + AT_ONCE]
         b, n = begin[own], length[own]
-        place = np.repeat(starts.astype(np.int32)[:, None], len(own), 1)
+        place = np.repeat(starts[:, None], len(own), 1)
         phrases = np.zeros(place.shape, np.int32)
         active = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # segments with a byte at each step
         for i, many in enumerate(active):
@@ -180,13 +194,13 @@ def identify_language(docs: DataFrame, learnable: Column, lang_col: str = "lang"
     others = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped(file)
+        m = _spread(file)
         for batch in batches:
             lettered = np.array(batch["lettered"].to_pylist(), bool)
             rows = [np.zeros((0, len(names)))]
             for w in ta.chunks(batch["text"]):
                 data, bounds = fold(w.data, w.bounds)
-                rows.append(parse(m, data, bounds) * np.asarray(m["weight"]) / np.maximum(np.diff(bounds), 1)[:, None])
+                rows.append(parse(m, data, bounds) * m["weight"] / np.maximum(np.diff(bounds), 1)[:, None])
             bits = np.concatenate(rows)
             best = bits.argmin(1)
             ranked = np.sort(bits, 1)
