@@ -29,7 +29,7 @@ UNKNOWN = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(ENDS))
 #: Bytes of pieces, pairs of hash and weight, and rows of phrases that a task holds before it sends them on.
-PIECE_BYTES, PAIRS, PHRASES = 16 << 20, 1 << 21, 1 << 17
+PIECE_BYTES, PAIRS, PHRASES = 16 << 20, 1 << 21, 1 << 19
 #: Memory of one bucket's count; beyond it DuckDB spills.
 COUNT_MEMORY = "192MB"
 #: Most bits of the table of frequent n-grams, 32 MB; more of them than a part of that let others pass, which the exact count drops.
