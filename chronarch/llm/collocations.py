@@ -192,8 +192,17 @@ def frequent_phrases(pieces: DataFrame, pairs: bytes, longer: bytes, least: int)
     shared = spark.sparkContext.broadcast((pairs, longer))
 
     def together(tables: list[pa.Table]) -> pa.Table:
-        summed = pa.concat_tables(tables).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("many", "sum")])
-        return summed.select(["lang", "size", "phrase", "many_sum"]).rename_columns(GRAMS.names)
+        summed = pa.concat_tables(tables).group_by(GRAMS.names[:3], use_threads=False).aggregate([("many", "sum"), ("h", "min")])
+        return summed.select([*GRAMS.names[:3], "many_sum", "h_min"]).rename_columns([*GRAMS.names, "h"])
+
+    def dealt(table: pa.Table) -> pa.RecordBatch:
+        """A row for each bucket, with lists of the phrases that fall into it."""
+        bucket = (ta.mix(table["h"].to_numpy().view(_U)) % _U(n)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        full, first = np.unique(bucket[order], return_index=True)
+        ends = pa.array(np.r_[first, len(order)].astype(np.int32))
+        own = table.take(pa.array(order))
+        return pa.RecordBatch.from_pydict({"bucket": full} | {c: pa.ListArray.from_arrays(ends, own[c].combine_chunks()) for c in GRAMS.names})
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -201,24 +210,27 @@ def frequent_phrases(pieces: DataFrame, pairs: bytes, longer: bytes, least: int)
         for batch in batches:
             many = batch["many"].to_numpy()
             for w, row, h in _hashes(batch):
-                for size, at, _ in _grams(w, h, *shared.value):
+                for size, at, gram in _grams(w, h, *shared.value):
                     if len(at):
-                        phrase = _slices(w.data, w.starts[at], w.ends[at + size - 1])
-                        held.append(together([pa.table({"lang": batch["lang"].take(pa.array(row[at])), "size": pa.array(np.full(len(at), size, np.int32)), "phrase": phrase.cast(pa.string()), "many": pa.array(many[row[at]])})]))
+                        phrase = _slices(w.data, w.starts[at], w.ends[at + size - 1]).cast(pa.string())
+                        columns = {"lang": batch["lang"].take(pa.array(row[at])), "size": pa.array(np.full(len(at), size, np.int32)), "phrase": phrase, "many": pa.array(many[row[at]]), "h": pa.array(gram.view(np.int64))}
+                        held.append(together([pa.table(columns)]))
                         rows += held[-1].num_rows
                 if rows > 2 * PHRASES:
                     held = [together(held)]
                     rows = held[0].num_rows
                     if rows > PHRASES:
-                        yield from held[0].to_batches(1 << 14)
+                        yield dealt(held[0])
                         held, rows = [], 0
         if held:
-            yield from together(held).to_batches(1 << 14)
+            yield dealt(together(held))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(batches, GRAMS, f"SELECT lang, size, phrase, sum(many)::BIGINT AS f FROM given GROUP BY ALL HAVING sum(many) >= {least}")
+        given = (pa.RecordBatch.from_arrays([b[c].flatten() for c in GRAMS.names], schema=GRAMS) for b in batches)
+        yield from _counted(given, GRAMS, f"SELECT lang, size, phrase, sum(many)::BIGINT AS f FROM given GROUP BY ALL HAVING sum(many) >= {least}")
 
-    return pieces.mapInArrow(grams, "lang string, size int, phrase string, many long").repartition(n, "lang", "phrase").mapInArrow(count, "lang string, size int, phrase string, f long")
+    packed = pieces.mapInArrow(grams, "bucket int, lang array<string>, size array<int>, phrase array<string>, many array<long>")
+    return packed.repartition(n, "bucket").mapInArrow(count, "lang string, size int, phrase string, f long")
 
 
 def _words(phrase: str | Column, first: Column | int, many: Column | int) -> Column:
@@ -226,6 +238,11 @@ def _words(phrase: str | Column, first: Column | int, many: Column | int) -> Col
     return F.array_join(F.slice(F.split(phrase, " "), lit(first), lit(many)), " ")
 
 
+def score(a: str, n: str, l: str, r: str) -> Column:  # noqa: E741
+    """floor(1000 * a * n / (l * r)) of four columns of whole numbers, exact up to 38 digits."""
+    return F.expr(f"cast({a} as decimal(17,0)) * cast({n} as decimal(17,0)) * 1000BD div (cast({l} as decimal(19,0)) * cast({r} as decimal(19,0)))")
+
+
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two to five words of each language.
 
@@ -264,8 +281,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: s
     covered = shorter.groupBy("lang", "phrase").agg(F.max("within").alias("within"))
     whole = parts.join(covered, ["lang", "phrase"], "left").where(F.col("within").isNull() | (F.col("within") < F.col("a"))).join(totals, "lang")
 
-    score = lambda k: F.expr(f"cast(a as decimal(17,0)) * cast(n as decimal(17,0)) * 1000BD div (cast(f{k}_0 as decimal(19,0)) * cast(f{k}_1 as decimal(19,0)))")
-    ways = [F.when(F.col(f"f{k}_0").isNotNull(), F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"f{k}_0").alias("l"), F.col(f"f{k}_1").alias("r"))) for k in range(1, LONGEST)]
+    ways = [F.when(F.col(f"f{k}_0").isNotNull(), F.struct(score("a", "n", f"f{k}_0", f"f{k}_1").alias("score"), F.lit(k).alias("k"), F.col(f"f{k}_0").alias("l"), F.col(f"f{k}_1").alias("r"))) for k in range(1, LONGEST)]
     scored = whole.select("lang", "phrase", "a", "n", F.least(*ways).alias("way")).select("lang", "phrase", "a", "way.l", "way.r", "n", "way.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))

@@ -75,7 +75,7 @@ def test_edge_cases_equal_sql(spark, edges, name):
     assert_same(spark, c, QUERIES[name], ORACLE_SQL[name], at)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op12_collocations"}))  # its rows are phrases
 def test_edge_cases_keep_all_rows(spark, edges, name):
     table = "pages" if name == "op3_url_redirects" else "documents"
     out = QUERIES[name](spark, edges)
@@ -89,7 +89,7 @@ def test_empty_tables(spark, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
-CLASHES = ("score", "predicted", "evidence", "n_shingles", "component_id", "shard", "slot", "host", "path", "rule", "verdict", "n_words", "n_hit", "kept", "kept_sha256", "ids", "n_tokens", "surrogates", "n_entities", "__key", "row", "key", "n", "group", "salt")
+CLASHES = ("score", "predicted", "evidence", "n_shingles", "component_id", "shard", "slot", "host", "path", "rule", "verdict", "n_words", "n_hit", "kept", "kept_sha256", "ids", "n_tokens", "surrogates", "n_entities", "__key", "row", "key", "n", "group", "salt", "form", "output", "phrase", "rank", "lang_pred", "piece", "many")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
