@@ -7,6 +7,7 @@ values are all null is a deletion.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from datetime import date
 
@@ -18,6 +19,10 @@ from chronarch.functions.equality import nan_to_null
 from chronarch.functions.steps import UNITS
 
 
+#: A version before all others, by type.
+LEAST = {"date": "DATE'0001-01-01'", "timestamp": "TIMESTAMP'0001-01-01 00:00:00'", "timestamp_ntz": "TIMESTAMP_NTZ'0001-01-01 00:00:00'", "integer": "-2147483648", "long": "-9223372036854775808L"}
+
+
 class DuplicateKeys(ValueError):
     """An entity, time and version stands in more than one row."""
 
@@ -51,14 +56,41 @@ class Archive:
         return replace(self, df=df, **changes)
 
     def where(self, condition) -> Archive:
-        """Rows by their keys, times or versions; a filter of values would break what holds until when."""
+        """Rows by their keys, times, or versions up to one; a filter of values would break what holds until when.
+
+        A lower bound of versions would lose rows that still hold: where a row passes
+        that wouldn't at the least version, reading the result is an error.  ``since`` has such rows.
+        """
         kept = self.df.where(condition)  # tells of names that there are not
+        told = F.expr(condition) if isinstance(condition, str) else condition
         try:
-            _ = self.df.drop(*self.values).select(F.expr(condition) if isinstance(condition, str) else condition).schema
+            _ = self.df.drop(*self.values).select(told).schema
         except AnalysisException as e:
             raise ValueError("archives are filtered by keys, times and versions only") from e
+        if re.search(rf"\b{re.escape(self.version)}\b", str(told)):  # it looks at versions, or seems to
+            kind = self.df.schema[self.version].dataType
+            least = F.expr(LEAST[kind.typeName()]).cast(kind) if kind.typeName() in LEAST else F.col(self.version)
+            held = kept.withColumns({"__own": F.col(self.version), self.version: least})
+            upto = F.when(told, True).otherwise(F.raise_error(F.lit("an archive's filter can't have a lower bound of versions: rows that still hold would be lost")).cast("boolean"))
+            kept = held.where(upto).withColumn(self.version, F.col("__own")).select(self.df.columns)
         return self.of(kept)
 
+    def since(self, version) -> Archive:
+        """What is known from ``version`` on: its later rows, and the newest before, which hold then, as if published at ``version``."""
+        v = F.col(self.version)
+        old = self.df.where(v <= F.lit(version)).groupBy(*self.ekt).agg(F.max_by(F.struct(*self.values), v).alias("__s"))
+        kind = self.df.schema[self.version].dataType
+        held = old.select(*self.ekt, F.lit(version).cast(kind).alias(self.version), "__s.*")
+        return self.of(self.df.where(v > F.lit(version)).unionByName(held))
+
+    def final(self) -> DataFrame:
+        """Rows of versions that will not be rewritten."""
+        return self.df if self.clobberable_versions_start is None else self.df.where(F.col(self.version) < F.lit(self.clobberable_versions_start))
+
+    def open(self) -> DataFrame:
+        """Rows of versions that may yet be rewritten."""
+        return self.df.where(F.lit(False) if self.clobberable_versions_start is None else F.col(self.version) >= F.lit(self.clobberable_versions_start))
+
 
 @dataclass(frozen=True)
 class Snapshot:

@@ -69,14 +69,25 @@ def window(size: float, align: str = "right") -> Window:
     return Window(before, int(size) - before - 1)
 
 
-def slide_names(columns: list[str], existing: list[str], short: str, size: float, align: str, time_type: str, prefix: str | None = None, suffix: str | None = None, new_names: list[str] | None = None) -> list[str]:
-    """Names of the results, such as x_7dav; refuses clashes and contradictions."""
+def slide_names(columns: list[str], existing: list[str], shorts: str | list[str], size: float, align: str, time_type: str, prefix: str | None = None, suffix: str | None = None, new_names: list[str] | None = None) -> list[str]:
+    """Names of the results, such as x_7dav; refuses clashes and contradictions.
+
+    ``shorts`` names the function, for all columns or for each.  In a prefix and a suffix, {n}
+    stands for the window's size (running without an end), {unit} for the time type, {align}
+    for the alignment and {f} for the function, each in its short form.
+    """
     if new_names is not None and (prefix is not None or suffix is not None):
         raise ValueError("give new names, or a prefix and suffix, not both")
     if new_names is None:
-        head = "running_" if size == float("inf") else f"{int(size)}{UNITS[time_type]}{ALIGNS[align]}"
-        tail = f"_{head}{short}" if suffix is None and prefix is None else suffix or ""
-        new_names = [f"{prefix or ''}{c}{tail}" for c in columns]
+        running = size == float("inf")
+        shorts = [shorts] * len(columns) if isinstance(shorts, str) else shorts
+        if prefix is None and suffix is None:
+            suffix = "_running_{f}" if running else "_{n}{unit}{align}{f}"
+        parts = {"n": "running" if running else str(int(size)), "unit": UNITS[time_type], "align": ALIGNS[align]}
+        try:
+            new_names = [f"{(prefix or '').format(**parts, f=f)}{c}{(suffix or '').format(**parts, f=f)}" for c, f in zip(columns, shorts)]
+        except (KeyError, IndexError) as e:
+            raise ValueError(f"a prefix and a suffix know {{n}}, {{unit}}, {{align}} and {{f}}, not {e}") from e
     if len(new_names) != len(columns):
         raise ValueError("one new name for each column")
     if clash := sorted(set(new_names) & set(existing)):

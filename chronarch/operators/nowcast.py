@@ -8,9 +8,6 @@ model sees in training only what it will see when used.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from statistics import NormalDist
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -181,60 +178,3 @@ def mean_scaled(df: DataFrame, by: list[str], column: str, name: str) -> DataFra
     """``df`` with a column over its group's mean."""
     mean = df.groupBy(*by).agg(F.avg(column).alias("__m"))
     return df.join(mean, by).withColumn(name, F.col(column) / F.col("__m")).drop("__m")
-
-
-def simulate_training_ratios(spark: SparkSession, trials: int = 1000, times: int = 30, delays: int = 5, seed: int = 1, parallel: int = 8) -> DataFrame:
-    """(trial, prediction, scaled_error) of regressions of final counts on what came with each delay, trained on one series and tested on another.
-
-    Counts follow a Poisson law about a yearly wave, reports come late by a
-    multinomial law; errors are over the mean step of the tested series.  prediction:
-    first_row (the first row's reports, repeated), intercept and no_intercept (the
-    fits), trend (the law's own mean).
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        share = np.arange(delays, 0, -1) / (delays * (delays + 1) / 2)
-        year = np.arange(1, times + 1) / 52 * 2 * np.pi
-
-        def series(rng: np.random.Generator, wave: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            trend = 1 / (1 + np.exp(-(5 * wave - 5)))
-            trend = trend / trend.mean() * 200e3 / 52 * 0.01
-            final = rng.poisson(trend).astype(float)
-            parts = np.array([rng.multinomial(int(n), share) for n in final], float)
-            lagged = np.stack([np.r_[np.zeros(k), parts[: times - k, k]] for k in range(delays)], 1)
-            return trend, final, lagged
-
-        for batch in batches:
-            out = []
-            for trial in batch["id"]:
-                rng = np.random.default_rng([seed, int(trial)])
-                _, y, x = series(rng, np.sin(year))
-                trend, final, lagged = series(rng, np.cos(year))
-                one = np.ones((times, 1))
-                fits = {"intercept": np.c_[one, lagged] @ np.linalg.lstsq(np.c_[one, x], y, rcond=None)[0], "no_intercept": lagged @ np.linalg.lstsq(x, y, rcond=None)[0]}
-                scale = np.mean(np.abs(np.diff(final)))
-                told = {"first_row": np.resize(lagged[0], times), **fits, "trend": trend}
-                out += [(int(trial), name, float(np.mean(np.abs(guess - final)) / scale)) for name, guess in told.items()]
-            yield pd.DataFrame(out, columns=["trial", "prediction", "scaled_error"])
-
-    return spark.range(0, trials, 1, parallel).mapInPandas(run, "trial long, prediction string, scaled_error double")
-
-
-def simulate_coverage(spark: SparkSession, trials: int = 1000, sizes: tuple[int, ...] = (5, 15), seed: int = 1, parallel: int = 8) -> DataFrame:
-    """(size, fit, probability, value): quantiles, over trials, of the normal law's share below the mean and the median of a standard normal sample."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        normal = NormalDist()
-        for batch in batches:
-            out = []
-            for trial in batch["id"]:
-                rng = np.random.default_rng([seed, int(trial)])
-                for n in sizes:
-                    x = rng.normal(size=n)
-                    out += [(n, "mean", normal.cdf(float(x.mean()))), (n, "median", normal.cdf(float(np.median(x))))]
-            yield pd.DataFrame(out, columns=["size", "fit", "share"])
-
-    at = [0.0, 0.25, 0.5, 0.75, 1.0]
-    drawn = spark.range(0, trials, 1, parallel).mapInPandas(run, "size long, fit string, share double")
-    told = drawn.groupBy("size", "fit").agg(F.percentile("share", F.array(*[F.lit(p) for p in at])).alias("q"))
-    return told.select("size", "fit", F.posexplode("q").alias("k", "value")).select("size", "fit", (F.col("k") / 4).alias("probability"), "value")

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chronarch.archive import Archive, duplicate_keys
+from chronarch.archive import Archive, as_archive, duplicate_keys
 from chronarch.functions.steps import week_end
 from chronarch.operators import changes, grouping, joining, nowcast, shaping, sliding, travel
 from chronarch.operators.compaction import compactify
 from chronarch.plans.fixtures import KEYS, TABLES, other_reports, reports
 from chronarch.plans.registry import QUERIES, SQL, query
-from chronarch.sources.tables import recent_versions, shared_folder, table
+from chronarch.sources import tables
+from chronarch.sources.tables import read_archive, recent_versions, shared_folder, table, write_archive
 from chronarch.streaming.updates import compact_stream, windowed_counts
 
 __all__ = ["QUERIES", "SQL"]
@@ -335,7 +336,7 @@ def slide_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _even(spark, sf_dir, "mean")
 
 
-def _archive_slide_sql(expr: str, name: str, before: int, after: int) -> str:
+def _archive_slide_sql(expr: str, name: str, before: int | None, after: int) -> str:
     every = f", slid AS MATERIALIZED ({_slide_sql(expr, name, before, after, src='each', by=', version')})"
     return TABLES + every + _compact_sql("slid", f"{name} IS DISTINCT FROM pv", name, f"lag({name}) OVER w AS pv")
 
@@ -355,6 +356,21 @@ def archive_slide_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding.archive_slide(reports(spark, sf_dir, True), "value", "max", 7, "left").df
 
 
+@query(_archive_slide_sql("max(value) OVER w", "value_20dmax", 19, 0))
+def archive_slide_wide_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding.archive_slide(reports(spark, sf_dir, True), "value", "max", 20).df
+
+
+@query(_archive_slide_sql("CAST(sum(value) OVER w AS BIGINT)", "value_running_sum", None, 0))
+def archive_slide_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding.archive_slide(reports(spark, sf_dir, True), "value", "sum", float("inf")).df
+
+
+@query(_archive_slide_sql("CAST(sum(value) OVER w AS BIGINT) / count(value) OVER w", "value_running_av", None, 0))
+def archive_slide_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding.archive_slide(reports(spark, sf_dir, True), "value", "mean", float("inf")).df
+
+
 _BOTH = "CASE WHEN count(value) OVER w = 7 THEN CAST(sum(value) OVER w AS BIGINT) END AS value_7dsum, CASE WHEN count(n) OVER w = 7 THEN CAST(sum(n) OVER w AS BIGINT) END AS n_7dsum"
 
 
@@ -526,9 +542,11 @@ def normalization_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """), near AS MATERIALIZED (SELECT * FROM long QUALIFY rank() OVER (PARTITION BY geo_value, grp, feature ORDER BY abs(date_diff('day', DATE '2024-01-20', time_value))) <= 8),
 lines AS (
   SELECT a.geo_value, a.grp, a.feature, (b.y - a.y) / (b.x - a.x) AS s, a.y - a.x * (b.y - a.y) / (b.x - a.x) AS i FROM near a JOIN near b ON a.geo_value = b.geo_value AND a.grp = b.grp AND a.feature = b.feature AND a.x < b.x
-  UNION ALL SELECT geo_value, grp, feature, 0, y FROM near),
-tried AS (SELECT l.geo_value, l.grp, l.feature, s, i, avg(abs(y - s * x - i)) AS left_over, count(*) AS n FROM lines l JOIN near p ON p.geo_value = l.geo_value AND p.grp = l.grp AND p.feature = l.feature GROUP BY ALL)
-SELECT geo_value, grp, feature, CAST(any_value(n) AS BIGINT) AS n, round(CASE WHEN any_value(n) >= 4 THEN min(left_over) END, 4) AS score FROM tried GROUP BY ALL"""
+  UNION SELECT geo_value, grp, feature, 0, y FROM near),
+tried AS (SELECT l.geo_value, l.grp, l.feature, s, i, avg(abs(y - s * x - i)) AS left_over FROM lines l JOIN near p ON p.geo_value = l.geo_value AND p.grp = l.grp AND p.feature = l.feature GROUP BY ALL),
+best AS (SELECT geo_value, grp, feature, min(left_over) AS score FROM tried GROUP BY ALL),
+sizes AS (SELECT geo_value, grp, feature, count(*) AS n FROM near GROUP BY ALL)
+SELECT geo_value, grp, feature, n, round(CASE WHEN n >= 4 THEN score END, 4) AS score FROM sizes JOIN best USING (geo_value, grp, feature)"""
 )
 def feature_score_lad(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nowcast.score_features(_training(spark, sf_dir), _NAMES, "target", list(KEYS), time="time_value", reference=TEST_TIME, nearest=8)
@@ -540,16 +558,6 @@ def mean_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nowcast.mean_scaled(_latest(spark, sf_dir).drop("n"), list(KEYS), "value", "scaled")
 
 
-@query()
-def simulate_training_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nowcast.simulate_training_ratios(spark)
-
-
-@query()
-def simulate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nowcast.simulate_coverage(spark)
-
-
 # Groups
 
 
@@ -691,6 +699,29 @@ def summarise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Files
+
+
+@query(TABLES + _compact_sql("del"))
+def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive with its keys checked, made compact, written by version, and read again."""
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    made = as_archive(reports(spark, sf_dir, True).df, KEYS, versions_end=date(2024, 3, 1))
+    write_archive(made, at)
+    return as_archive(read_archive(spark, at).df, KEYS).df
+
+
+@query(TABLES + _compact_sql("del"))
+def rewrite_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive whose last versions were published in a draft and then rewritten equals one made of the final rows."""
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    final = reports(spark, sf_dir, True)
+    old = F.col("version") < LATE
+    draft = final.df.withColumns({"value": F.when(old, F.col("value")).otherwise(F.col("value") + 1), "version": F.when(old, F.col("version")).otherwise(F.date_add("version", 1))})
+    write_archive(as_archive(draft, KEYS, clobberable_versions_start=LATE), at)
+    return tables.rewrite_tail(spark, at, final.df.where(~old), LATE).df
+
+
 # Streams
 
 

@@ -77,13 +77,6 @@ def test_constant_features_leave_the_mean(spark):
     assert got["a"] == (None, 1.5) and abs(got["b"][0] - 2) < 1e-9 and abs(got["b"][1]) < 1e-9
 
 
-def test_simulations(spark):
-    got = {r["prediction"]: r["e"] for r in nowcast.simulate_training_ratios(spark, 50).groupBy("prediction").agg({"scaled_error": "mean"}).withColumnRenamed("avg(scaled_error)", "e").collect()}
-    assert set(got) == {"first_row", "intercept", "no_intercept", "trend"} and got["trend"] < got["first_row"]
-    q = {(r["size"], r["fit"], r["probability"]): r["value"] for r in nowcast.simulate_coverage(spark, 400).collect()}
-    assert len(q) == 20 and abs(q[15, "mean", 0.5] - 0.5) < 0.05 and q[5, "mean", 0.75] > q[15, "mean", 0.75]
-
-
 def test_groups_of_a_slide_are_all_keys(spark):
     from chronarch.operators import sliding
 
