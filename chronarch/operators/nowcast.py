@@ -8,8 +8,12 @@ model sees in training only what it will see when used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from chronarch.archive import Archive
 from chronarch.functions.steps import shifted, step, window
 from chronarch.operators.shaping import complete, top_with_ties
 from chronarch.operators.travel import as_of, change_keys, corresponding_versions, lookup
+from chronarch.sources.tables import cut
 
 SPEC = "predictor string, offset int, window_size int, align string, horizon int, before int, after int, feature string"
 
@@ -116,6 +121,69 @@ def ols_by(df: DataFrame, by: list[str], y: str, x: str, least: int = 10) -> Dat
     return fit.select(*by, "n", F.when(F.col("n") >= least, F.col("__s")).alias("slope"), F.when(F.col("n") >= least, F.col("__i")).alias("intercept"))
 
 
+#: A regressor of which less than this part of its sum of squares is left beside those before it is a combination of them.
+DEPENDENT = 1e-9
+
+
+def least_squares(gram: np.ndarray, size: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, sums of squared residuals) of many fits at once, each with an intercept first.
+
+    ``gram`` has the centred sums of products of regressors and, last, of the target (fits, k + 1, k + 1).
+    Regressors are swept in turn; one that depends on those before it is left out, its coefficient NaN.
+    """
+    a, k = gram.copy(), gram.shape[1] - 1
+    whole = np.einsum("fii->fi", gram)[:, :k].copy()
+    used = np.zeros((len(a), k), bool)
+    for j in range(k):
+        pivot = a[:, j, j].copy()
+        some = used[:, j] = (pivot > DEPENDENT * whole[:, j]) & (whole[:, j] > 0)
+        row = a[:, j, :].copy()
+        factor = np.where(some[:, None], a[:, :, j] / np.where(some, pivot, 1)[:, None], 0)
+        a -= factor[:, :, None] * row[:, None, :] * some[:, None, None]
+        a[:, :, j] = np.where(some[:, None], -factor, a[:, :, j])
+        a[:, j, :] = np.where(some[:, None], row / np.where(some, pivot, 1)[:, None], a[:, j, :])
+        a[:, j, j] = np.where(some, 1 / np.where(some, pivot, 1), a[:, j, j])
+    slopes = np.where(used, a[:, :k, k], np.nan)
+    intercept = mean[:, k] - np.nansum(slopes * mean[:, :k], 1)
+    return np.concatenate([intercept[:, None], slopes], 1), np.maximum(a[:, k, k], 0)
+
+
+def ols_many(df: DataFrame, by: list[str], y: str, xs: list[str], least: int = 10) -> DataFrame:
+    """(by, n, intercept, one column for each regressor, r2) of the least squares of y on all of ``xs``; ``by`` may be empty.
+
+    Rows with a null or NaN in any of them are left out.  Spark sums up products of each pair, in one
+    shuffle, so a group of any size is a few numbers; those are solved in batches of groups.
+    A constant regressor, or one that depends on those before it, is null and plays no part.
+    With fewer than ``least`` rows all is null; r2 is null for a constant y.
+    """
+    names = [*xs, y]
+    whole = df.select(*by, *[F.col(c).cast("double").alias(f"__v{k}") for k, c in enumerate(names)])
+    whole = whole.where(F.lit(True) if not names else reduce(lambda p, q: p & q, [F.col(f"__v{k}").isNotNull() & ~F.isnan(f"__v{k}") for k in range(len(names))]))
+    m = len(names)
+    pairs = [(i, j) for i in range(m) for j in range(i + 1)]
+    sums = whole.groupBy(*by).agg(F.count("*").alias("__n"), F.array(*[F.avg(f"__v{k}") for k in range(m)]).alias("__mean"), F.array(*[F.covar_pop(f"__v{i}", f"__v{j}") for i, j in pairs]).alias("__cov"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["__n"].to_numpy()
+            mean = np.array(batch["__mean"].to_pylist(), float).reshape(len(n), m)
+            cov = np.array([[np.nan if c is None else c for c in r] for r in batch["__cov"].to_pylist()], float).reshape(len(n), len(pairs))
+            gram = np.zeros((len(n), m, m))
+            for k, (i, j) in enumerate(pairs):
+                gram[:, i, j] = gram[:, j, i] = cov[:, k] * n
+            fit, rest = least_squares(gram, n, mean)
+            fit[n < least] = np.nan
+            total = gram[:, m - 1, m - 1]
+            r2 = np.where((n >= least) & (total > 0), 1 - rest / np.where(total > 0, total, 1), np.nan)
+            out = {c: batch[c] for c in by} | {"__n": batch["__n"]}
+            out |= {f"__c{k}": pa.array(fit[:, k], pa.float64(), mask=np.isnan(fit[:, k])) for k in range(m)}
+            yield pa.RecordBatch.from_pydict(out | {"__r2": pa.array(r2, pa.float64(), mask=np.isnan(r2))})
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    fits = sums.mapInArrow(solve, f"{kinds}__n long, " + ", ".join(f"__c{k} double" for k in range(m)) + ", __r2 double")
+    return fits.select(*by, F.col("__n").alias("n"), F.col("__c0").alias("intercept"), *[F.col(f"__c{k + 1}").alias(x) for k, x in enumerate(xs)], F.col("__r2").alias("r2"))
+
+
 def median_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(intercept, slope) of least absolute deviations; a constant x gives the median.
 
@@ -149,11 +217,55 @@ def median_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(np.median(y - slope * x)), float(slope)
 
 
-def score_features(df: DataFrame, features: list[str], target: str, by: list[str] | None = None, ratio: int = 2, least: int = 15, time: str | None = None, reference=None, nearest: int | None = None) -> DataFrame:
+#: Slopes tried in a round, rounds at most, and the part of a slope that is left open.
+SLOPES, ROUNDS, OPEN = 40, 30, 1e-12
+
+
+def median_lines(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, slope, intercept, score) of the lines of least absolute deviations of y on x, and what they leave on average.
+
+    What is left is convex in the slope, with the median of the rest as the intercept.  Each round
+    works out ``SLOPES`` slopes of every group between two bounds, medians first, then
+    sums, and takes those next to the best as bounds; where the best is a bound, it goes
+    further out.  Rows stay where they are and only sums are shuffled, so a group may be of any
+    size.  Medians are exact for groups of up to 10,000 rows; beyond, their ranks are off by one in
+    20,000 at most, and what is left by far less.
+    """
+    rows = cut(rows.select(*by, "x", "y"))
+    start = rows.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("__s"), F.stddev_pop("x").alias("__dx"), F.stddev_pop("y").alias("__dy"))
+    wide = F.when(F.col("__dx") > 0, F.col("__dy") / F.col("__dx") + 1e-12 * (1 + F.abs("__s"))).otherwise(0.0)
+    state = start.select(*by, "n", (F.col("__s") - wide).alias("__a"), (F.col("__s") + wide).alias("__b"), *[F.lit(None).cast("double").alias(c) for c in ("slope", "intercept", "__left")])
+    slope = lambda k: F.col("__a") + (F.col("__b") - F.col("__a")) * (k / (SLOPES - 1))
+    for _ in range(ROUNDS):
+        state = cut(state)
+        open_ = state.where("__b > __a OR __left IS NULL")
+        if open_.isEmpty():
+            break
+        known = rows.join(open_.select(*by, "__a", "__b"), by)
+        middle = known.groupBy(*by).agg(F.array(*[F.percentile_approx(F.col("y") - slope(k) * F.col("x"), 0.5, 10000) for k in range(SLOPES)]).alias("__m"))
+        middle = cut(open_.join(middle, by))
+        left = rows.join(middle.select(*by, "__a", "__b", "__m"), by).groupBy(*by).agg(F.array(*[F.sum(F.abs(F.col("y") - slope(k) * F.col("x") - F.col("__m")[k])) for k in range(SLOPES)]).alias("__f"))
+        told = middle.join(left, by).withColumn("__k", F.array_position("__f", F.array_min("__f")).cast("int") - 1)
+        at = lambda k: F.col("__a") + (F.col("__b") - F.col("__a")) * k / (SLOPES - 1)
+        k, width = F.col("__k"), F.col("__b") - F.col("__a")
+        better = F.col("__left").isNull() | (F.array_min("__f") < F.col("__left"))
+        low = F.when(k == 0, F.col("__a") - 8 * width).otherwise(at(k - 1))
+        high = F.when(k == SLOPES - 1, F.col("__b") + 8 * width).otherwise(at(k + 1))
+        done = (high - low) <= OPEN * F.greatest(F.abs(low), F.abs(high))
+        moved = told.select(
+            *by, "n", F.when(width == 0, F.col("__a")).otherwise(low).alias("__a"), F.when(width == 0, F.col("__a")).when(done, low).otherwise(high).alias("__b"),
+            F.when(better, at(k)).otherwise(F.col("slope")).alias("slope"), F.when(better, F.col("__m")[k]).otherwise(F.col("intercept")).alias("intercept"), F.least("__left", F.array_min("__f")).alias("__left"),
+        )
+        state = moved.union(state.where("NOT (__b > __a OR __left IS NULL)").select(moved.columns))
+    return state.select(*by, "n", "slope", "intercept", (F.col("__left") / F.col("n")).alias("score"))
+
+
+def score_features(df: DataFrame, features: list[str], target: str, by: list[str] | None = None, ratio: int = 2, least: int = 15, time: str | None = None, reference=None, nearest: int | None = None, most: int = 100_000) -> DataFrame:
     """(by, feature, n, score): mean absolute residual of the median line of target on each feature; null with fewer than min(2 * ratio, least) rows.
 
     With ``nearest``, only so many rows of times nearest to ``reference`` count, and
     those that tie with the last of them: Spark picks them, so a fit has few rows.
+    Groups of up to ``most`` rows are fitted in one task each, larger ones by ``median_lines``.
     """
     by = by or []
     long = df.unpivot([*by, *([time] if time else []), target], features, "feature", "x").where(F.col("x").isNotNull() & F.col(target).isNotNull())
@@ -171,7 +283,17 @@ def score_features(df: DataFrame, features: list[str], target: str, by: list[str
             told = float(np.mean(np.abs(y - a - b * x)))
         return pd.DataFrame([(*key, len(x), told)], columns=[*by, "feature", "n", "score"])
 
-    return long.groupBy(*by, "feature").applyInPandas(score, "".join(f"`{c}` {kinds[c]}, " for c in by) + "feature string, n long, score double")
+    in_tasks = lambda rows: rows.groupBy(*by, "feature").applyInPandas(score, "".join(f"`{c}` {kinds[c]}, " for c in by) + "feature string, n long, score double")
+    if nearest is not None:  # few rows by the ranking, but for ties
+        return in_tasks(long)
+    long = cut(long)
+    large = long.groupBy(*by, "feature").agg(F.count("*").alias("n")).where(F.col("n") > most).select(*by, "feature")
+    large = cut(large)
+    if large.isEmpty():
+        return in_tasks(long)
+    lines = median_lines(long.join(large, [*by, "feature"], "left_semi"), [*by, "feature"])
+    whole = lines.select(*by, "feature", "n", F.when(F.col("n") >= enough, F.col("score")).alias("score"))
+    return whole.union(in_tasks(long.join(large, [*by, "feature"], "left_anti")))
 
 
 def mean_scaled(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:

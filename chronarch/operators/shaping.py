@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronarch.functions.steps import shifted, step
 
@@ -74,6 +76,41 @@ def distinct_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
+def _comparable(kind: T.DataType) -> bool:
+    """Whether values of the type can be told apart: maps can't, at any depth."""
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    return _comparable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _digest(columns: list[Column]) -> Column:
+    return F.xxhash64(*columns)
+
+
+def first_ids(df: DataFrame, id_col: str, columns: list[str] | None = None, name: str = "first_id", digest: Callable[[list[Column]], Column] = _digest) -> DataFrame:
+    """``df`` with the least ``id_col`` of the rows that equal it in ``columns`` (all others, if None); a row like no other has its own.
+
+    Nulls equal nulls and NaN equals NaN, also within lists and structs; maps are refused.
+    Only digests are counted over all rows; rows whose digest stands more than once are then
+    compared as they are, so a clash of digests joins nothing.  ``id_col`` must be unique.
+    """
+    columns = columns or [c for c in df.columns if c != id_col]
+    if bad := [c for c in columns if not _comparable(df.schema[c].dataType)]:
+        raise TypeError(f"columns of maps cannot be compared: {bad}")
+    told = df.withColumn("__d", digest([F.col(f"`{c}`") for c in columns]))
+    again = told.groupBy("__d").agg(F.count("*").alias("__n")).where("__n > 1").select("__d")
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).alias("__all")
+    suspects = told.join(again, "__d", "left_semi").select("__d", whole, id_col)
+    groups = suspects.groupBy("__d", "__all").agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    members = suspects.alias("s").join(groups.alias("g"), (F.col("s.__d") == F.col("g.__d")) & F.col("s.__all").eqNullSafe(F.col("g.__all"))).select(F.col(f"s.`{id_col}`"), F.col("g.__first"))
+    return df.join(members, id_col, "left").select(*[f"`{c}`" for c in df.columns], F.coalesce("__first", id_col).alias(name))
+
+
+def any_duplicates(df: DataFrame, id_col: str, columns: list[str] | None = None) -> bool:
+    """Whether two rows are equal in ``columns``."""
+    return not first_ids(df, id_col, columns, "__first_id").where(F.col("__first_id") != F.col(id_col)).isEmpty()
+
+
 def top_with_ties(df: DataFrame, by: list[str], value: Column, n: int) -> DataFrame:
     """The ``n`` rows of least value in each group, with all that tie with the last."""
     return df.withColumn("__r", F.rank().over(Window.partitionBy(*by).orderBy(value))).where(F.col("__r") <= n).drop("__r")

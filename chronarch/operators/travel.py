@@ -132,16 +132,21 @@ def lookup(archive: Archive, rows: DataFrame, column: str, time: Column, version
     """``rows`` with the value of ``column`` at another time as known at a version: an as-of join.
 
     ``time`` and ``version`` are expressions over ``rows``.  With ``tolerance``, a
-    value found must have a version at most so many steps older.
+    value found must have a version at most so many steps older.  Facts and the cells that are
+    asked for, each once, are sorted by version together; a cell takes the last fact before it,
+    so facts are shuffled once and no row meets all versions.
     """
+    keys, spot = list(archive.keys), [*archive.keys, "__t"]
     wanted = rows.withColumns({"__t": time, "__v": version})
-    needed = wanted.select(*archive.keys, "__t", "__v").distinct()
-    facts = archive.df.select(*archive.keys, F.col(archive.time).alias("__t"), F.col(archive.version).alias("__f"), F.col(column).alias("__x"))
-    newest = needed.join(facts, [*archive.keys, "__t"]).where("__f <= __v").groupBy(*archive.keys, "__t", "__v").agg(F.max_by(F.struct("__f", "__x"), "__f").alias("__s"))
+    needed = wanted.select(*spot, "__v").where(F.col("__v").isNotNull()).dropna(subset=spot).distinct()
+    facts = archive.df.select(*keys, F.col(archive.time).alias("__t"), F.col(archive.version).alias("__v"), F.struct(F.col(archive.version).alias("__f"), F.col(column).alias("__x")).alias("__s"))
+    both = facts.withColumn("__asked", F.lit(False)).union(needed.select(*spot, "__v", F.lit(None).cast(facts.schema["__s"].dataType).alias("__s"), F.lit(True).alias("__asked")))
+    upto = Window.partitionBy(*spot).orderBy("__v", "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    newest = both.withColumn("__s", F.last("__s", ignorenulls=True).over(upto)).where(F.col("__asked") & F.col("__s").isNotNull())
     if tolerance is not None:
         newest = newest.where(shifted(F.col("__s.__f"), tolerance, archive.time_type) >= F.col("__v"))
-    found = newest.select(*archive.keys, "__t", "__v", F.col("__s.__x").alias(name))
-    return wanted.join(found, [*archive.keys, "__t", "__v"], "left").select(*rows.columns, name)
+    found = newest.select(*spot, "__v", F.col("__s.__x").alias(name))
+    return wanted.join(found, [*spot, "__v"], "left").select(*rows.columns, name)
 
 
 def lookup_offset(archive: Archive, rows: DataFrame, column: str, offset: int, lag: int = 0, name: str | None = None, tolerance: int | None = None) -> DataFrame:

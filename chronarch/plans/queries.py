@@ -16,8 +16,9 @@ from chronarch.operators import changes, grouping, joining, nowcast, shaping, sl
 from chronarch.operators.compaction import compactify
 from chronarch.plans.fixtures import KEYS, TABLES, other_reports, reports
 from chronarch.plans.registry import QUERIES, SQL, query
-from chronarch.sources import tables
+from chronarch.sources import snapshots, tables
 from chronarch.sources.tables import read_archive, recent_versions, shared_folder, table, write_archive
+from chronarch.streaming.slides import slide_stream, state_store
 from chronarch.streaming.updates import compact_stream, windowed_counts
 
 __all__ = ["QUERIES", "SQL"]
@@ -413,6 +414,25 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joining.interval_join(travel.update_extent(a), weeks, ["geo_value"], "first_time", "last_time", "w_start", "w_end")
 
 
+@query(TABLES + ", spans AS (SELECT geo_value, grp, version, min(time_value) AS first_time, max(time_value) AS last_time FROM del GROUP BY ALL), weeks AS (SELECT DISTINCT date_trunc('week', time_value)::DATE AS w_start, date_trunc('week', time_value)::DATE + 6 AS w_end FROM del) SELECT s.*, w_start, w_end FROM spans s JOIN weeks w ON first_time >= w_start AND last_time <= w_end")
+def interval_join_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals within intervals, without a key."""
+    a = reports(spark, sf_dir, True)
+    monday = F.date_trunc("week", F.col("time_value")).cast("date")
+    weeks = a.df.select(monday.alias("w_start"), F.date_add(monday, 6).alias("w_end")).distinct()
+    return joining.interval_join(travel.update_extent(a), weeks, [], "first_time", "last_time", "w_start", "w_end")
+
+
+@query(TABLES + """, spans AS (SELECT geo_value, grp, version, min(time_value) - 2 AS first_time, max(time_value) AS last_time FROM del GROUP BY ALL)
+SELECT s.*, coalesce(string_agg(l.time_value::VARCHAR || ':' || l.n::VARCHAR, ' ' ORDER BY l.time_value), '') AS known FROM spans s
+LEFT JOIN latest l ON l.geo_value = s.geo_value AND l.grp = s.grp AND l.time_value BETWEEN first_time AND last_time GROUP BY ALL""")
+def nest_join_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each update's reach, with what is known of its times in the end."""
+    spans = travel.update_extent(reports(spark, sf_dir, True)).withColumn("first_time", F.date_sub("first_time", 2))
+    out = joining.nest_join_between(spans, _latest(spark, sf_dir).drop("value"), list(KEYS), "first_time", "last_time", "time_value", "known", ["time_value"])
+    return out.withColumn("known", F.array_join(F.transform("known", lambda r: F.concat_ws(":", r["time_value"].cast("string"), r["n"].cast("string"))), " "))
+
+
 @query("SELECT n_nationkey, n_name, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def nest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -535,8 +555,49 @@ def normalization_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, "n", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
-# The best line of least absolute deviations goes through two points, or has slope 0 where x is constant: SQL tries all.
+def _swept(columns: list[str], gram: str) -> str:
+    """SQL that sweeps the centred sums of products of ``columns`` (s_i_j, the last the target) one column after the other."""
+    m, at, steps = len(columns), gram, []
+    name = lambda i, j: f"s_{max(i, j)}_{min(i, j)}"
+    for p in range(m - 1):
+        rest = [(i, j) for i in range(m) for j in range(i + 1) if i > p and j > p]
+        own = f"CASE WHEN {name(p, p)} > 1e-9 * d_{p} AND d_{p} > 0 THEN {name(p, p)} END"
+        told = [f"coalesce({name(i, j)} - {name(i, p)} * {name(j, p)} / ({own}), {name(i, j)}) AS {name(i, j)}" for i, j in rest]
+        row = [f"{name(i, p)} / ({own}) AS r_{p}_{i}" for i in range(p + 1, m)]
+        steps.append(f"swept{p} AS (SELECT * EXCLUDE ({', '.join(name(i, j) for i, j in rest)}), {', '.join(told + row)} FROM {at})")
+        at = f"swept{p}"
+    return ", ".join(steps)
+
+
+def _solved(m: int, least: int) -> str:
+    """Back substitution: each coefficient from the row of its pivot and the later ones."""
+    out, ctes = [], []
+    at = f"swept{m - 2}"
+    for p in range(m - 2, -1, -1):
+        told = f"r_{p}_{m - 1}" + "".join(f" - r_{p}_{q} * coalesce(b_{q}, 0)" for q in range(p + 1, m - 1))
+        ctes.append(f"back{p} AS (SELECT *, {told} AS b_{p} FROM {at})")
+        at = f"back{p}"
+        out.append(f"b_{p}")
+    return ", ".join(ctes)
+
+
+_FOUR = [*_NAMES, "target"]
+_GRAM = ", gram AS (SELECT geo_value, grp, count(*) AS n, " + ", ".join(f"avg({c}::DOUBLE) AS m_{k}" for k, c in enumerate(_FOUR)) + ", " + ", ".join(f"covar_pop({_FOUR[i]}::DOUBLE, {_FOUR[j]}::DOUBLE) * count(*) AS s_{i}_{j}" for i in range(5) for j in range(i + 1)) + ", " + ", ".join(f"var_pop({c}::DOUBLE) * count(*) AS d_{k}" for k, c in enumerate(_FOUR)) + " FROM training WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _FOUR) + " GROUP BY ALL)"
+
+
 @query(
+    TABLES + _SPECS + _FEATURES + _WIDE + f"{_GRAM}, {_swept(_FOUR, 'gram')}, {_solved(5, 6)} SELECT geo_value, grp, n, round(CASE WHEN n >= 6 THEN m_4 - "
+    + " - ".join(f"coalesce(b_{k}, 0) * m_{k}" for k in range(4)) + " END, 1) AS intercept, " + ", ".join(f"round(CASE WHEN n >= 6 THEN b_{k} END, 4) AS {c}" for k, c in enumerate(_NAMES))
+    + ", round(CASE WHEN n >= 6 AND d_4 > 0 THEN 1 - greatest(s_4_4, 0) / d_4 END, 6) AS r2 FROM back0"
+)
+def ols_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target on all four features at once; SQL sweeps the normal equations."""
+    out = nowcast.ols_many(_training(spark, sf_dir), list(KEYS), "target", _NAMES, least=6)
+    return out.select(*KEYS, "n", F.round("intercept", 1).alias("intercept"), *[F.round(c, 4).alias(c) for c in _NAMES], F.round("r2", 6).alias("r2"))
+
+
+# The best line of least absolute deviations goes through two points, or has slope 0 where x is constant: SQL tries all.
+_LINES = (
     TABLES + _SPECS + _FEATURES + _WIDE
     + ", long AS (" + " UNION ALL ".join(f"SELECT geo_value, grp, time_value, '{n}' AS feature, {n}::DOUBLE AS x, target::DOUBLE AS y FROM training WHERE {n} IS NOT NULL AND target IS NOT NULL" for n in _NAMES)
     + """), near AS MATERIALIZED (SELECT * FROM long QUALIFY rank() OVER (PARTITION BY geo_value, grp, feature ORDER BY abs(date_diff('day', DATE '2024-01-20', time_value))) <= 8),
@@ -547,12 +608,22 @@ tried AS (SELECT l.geo_value, l.grp, l.feature, s, i, avg(abs(y - s * x - i)) AS
 best AS (SELECT geo_value, grp, feature, min(left_over) AS score FROM tried GROUP BY ALL),
 sizes AS (SELECT geo_value, grp, feature, count(*) AS n FROM near GROUP BY ALL)
 SELECT geo_value, grp, feature, n, round(CASE WHEN n >= 4 THEN score END, 4) AS score FROM sizes JOIN best USING (geo_value, grp, feature)"""
-)
+)
+
+
+@query(_LINES)
 def feature_score_lad(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nowcast.score_features(_training(spark, sf_dir), _NAMES, "target", list(KEYS), time="time_value", reference=TEST_TIME, nearest=8)
     return out.withColumn("score", F.round("score", 4))
 
 
+@query(_LINES.replace(" QUALIFY rank() OVER (PARTITION BY geo_value, grp, feature ORDER BY abs(date_diff('day', DATE '2024-01-20', time_value))) <= 8", "").replace("END, 4)", "END, 2)"))
+def feature_score_lad_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of each feature, fitted by rounds of sums over Spark's partitions."""
+    out = nowcast.score_features(_training(spark, sf_dir), _NAMES, "target", list(KEYS), most=0)
+    return out.withColumn("score", F.round("score", 2))
+
+
 @query(TABLES + "SELECT geo_value, grp, time_value, value, value / avg(value) OVER (PARTITION BY geo_value, grp) AS scaled FROM latest")
 def mean_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nowcast.mean_scaled(_latest(spark, sf_dir).drop("n"), list(KEYS), "value", "scaled")
@@ -722,6 +793,38 @@ def rewrite_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.rewrite_tail(spark, at, final.df.where(~old), LATE).df
 
 
+@query(TABLES + _SNAPSHOTS)
+def load_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of snapshots that lie in a folder each, loaded by Spark's tasks one version at a time."""
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    a = reports(spark, sf_dir, True)
+    travel.as_of_each(a).where("value IS NOT NULL").repartition("version").write.partitionBy("version").parquet(at)
+    versions = [r["version"] for r in a.df.select("version").distinct().collect()]  # the snapshots' names
+    folder = at.removeprefix("file:")
+
+    def load(version: date) -> list[tuple]:
+        import pyarrow.dataset as ds
+
+        try:
+            found = ds.dataset(f"{folder}/version={version}", format="parquet")
+        except FileNotFoundError:  # an empty snapshot
+            return []
+        return [tuple(r.values()) for r in found.to_table(["geo_value", "grp", "time_value", "value", "n"]).to_pylist()]
+
+    return snapshots.load_archive(spark, versions, load, "geo_value string, grp long, time_value date, value long, n long", EKT).select(*EKT, "version", "value", "n")
+
+
+# Rows
+
+
+@query("SELECT event_id, user_id % 7 AS u, event_type, min(event_id) OVER (PARTITION BY user_id % 7, event_type, CASE WHEN value < 20 THEN NULL ELSE floor(value / 50) END, date_part('hour', ts)) AS first_id FROM events")
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event that equals each in all columns, nested ones and nulls among them."""
+    part = F.when(F.col("value") >= 20, F.floor(F.col("value") / 50)).otherwise(F.lit(None))
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).alias("u"), "event_type", F.struct(part.alias("part"), F.array(F.hour("ts"), F.lit(None)).alias("hours")).alias("nested"))
+    return shaping.first_ids(events, "event_id").drop("nested")
+
+
 # Streams
 
 
@@ -737,6 +840,22 @@ def stream_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(made.schema).parquet(f"{at}/archive")
 
 
+_SLIDE_STREAM = _archive_slide_sql("CAST(sum(value) OVER w AS BIGINT)", "value_7dsum", 6, 0)
+
+
+@query(_SLIDE_STREAM.replace("time_value, version, value_7dsum FROM (SELECT *, row_number()", "time_value, version, value_7dsum, false AS late FROM (SELECT *, row_number()"))
+def stream_archive_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly sums at every version, from updates that arrive in three lots of files; the state forgets what is over ten days older than the newest."""
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    batch = reports(spark, sf_dir, True).df.drop("n")
+    with state_store(spark):
+        for first, last in ((date(2023, 1, 1), EARLY), (EARLY, LATE), (LATE, date(2099, 1, 1))):
+            batch.where((F.col("version") >= first) & (F.col("version") < last)).write.mode("append").parquet(f"{at}/updates")
+            made = slide_stream(spark.readStream.schema(batch.schema).parquet(f"{at}/updates"), list(KEYS), ["value"], "sum", 7, lag=10)
+            made.writeStream.format("parquet").option("path", f"{at}/archive").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{at}/archive")
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events counted by day of event time, read as a stream; a last event far in the future lets the watermark close every window."""

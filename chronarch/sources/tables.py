@@ -147,3 +147,11 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="chronarch-")
     return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder: for tables of an iteration, which then survive lost executors."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()

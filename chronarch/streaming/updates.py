@@ -8,6 +8,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -15,13 +16,14 @@ def compact_stream(updates: DataFrame, keys: list[str], value: str, time: str =
     """The compact archive of a stream of updates, with a column late.
 
     The state of an entity and time is its last value and version.  Rows that repeat
-    the value are dropped.  Rows at a version not after the last are not applied;
+    the value are dropped; ``tol`` is for numbers, all else is compared as it stands.  Rows at a version not after the last are not applied;
     they come out with late true, as in batch they would be refused.
     """
     ekt = [*keys, time]
     kinds = {f.name: f.dataType.simpleString() for f in updates.schema.fields}
     columns = ", ".join(f"`{c}` {kinds[c]}" for c in (*ekt, version))
     # Values travel as text, so that whole numbers and decimals of any length stay exact.
+    numeric = isinstance(updates.schema[value].dataType, T.NumericType)
     told = updates.withColumn(value, F.col(value).cast("string"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,7 +35,7 @@ def compact_stream(updates: DataFrame, keys: list[str], value: str, time: str =
             if last is not None and stamp <= last:
                 out.append((*key, v, x, True))
                 continue
-            same = present and (x is None and known is None or x is not None and known is not None and (x == known or abs(Decimal(x) - Decimal(known)) <= Decimal(str(tol))))
+            same = present and (x == known or numeric and x is not None and known is not None and abs(Decimal(x) - Decimal(known)) <= Decimal(str(tol)))
             last, known, present = stamp, x, True
             if not same:
                 out.append((*key, v, x, False))
