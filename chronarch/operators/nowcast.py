@@ -234,7 +234,7 @@ def median_lines(rows: DataFrame, by: list[str]) -> DataFrame:
     rows = cut(rows.select(*by, "x", "y"))
     start = rows.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("__s"), F.stddev_pop("x").alias("__dx"), F.stddev_pop("y").alias("__dy"))
     wide = F.when(F.col("__dx") > 0, F.col("__dy") / F.col("__dx") + 1e-12 * (1 + F.abs("__s"))).otherwise(0.0)
-    state = start.select(*by, "n", (F.col("__s") - wide).alias("__a"), (F.col("__s") + wide).alias("__b"), *[F.lit(None).cast("double").alias(c) for c in ("slope", "intercept", "__left")])
+    state = start.select(*by, "n", wide.alias("__scale"), (F.col("__s") - wide).alias("__a"), (F.col("__s") + wide).alias("__b"), *[F.lit(None).cast("double").alias(c) for c in ("slope", "intercept", "__left")])
     slope = lambda k: F.col("__a") + (F.col("__b") - F.col("__a")) * (k / (SLOPES - 1))
     for _ in range(ROUNDS):
         state = cut(state)
@@ -251,9 +251,9 @@ def median_lines(rows: DataFrame, by: list[str]) -> DataFrame:
         better = F.col("__left").isNull() | (F.array_min("__f") < F.col("__left"))
         low = F.when(k == 0, F.col("__a") - 8 * width).otherwise(at(k - 1))
         high = F.when(k == SLOPES - 1, F.col("__b") + 8 * width).otherwise(at(k + 1))
-        done = (high - low) <= OPEN * F.greatest(F.abs(low), F.abs(high))
+        done = (high - low) <= OPEN * F.greatest("__scale", F.abs(low), F.abs(high))
         moved = told.select(
-            *by, "n", F.when(width == 0, F.col("__a")).otherwise(low).alias("__a"), F.when(width == 0, F.col("__a")).when(done, low).otherwise(high).alias("__b"),
+            *by, "n", "__scale", F.when(width == 0, F.col("__a")).otherwise(low).alias("__a"), F.when(width == 0, F.col("__a")).when(done, low).otherwise(high).alias("__b"),
             F.when(better, at(k)).otherwise(F.col("slope")).alias("slope"), F.when(better, F.col("__m")[k]).otherwise(F.col("intercept")).alias("intercept"), F.least("__left", F.array_min("__f")).alias("__left"),
         )
         state = moved.union(state.where("NOT (__b > __a OR __left IS NULL)").select(moved.columns))
