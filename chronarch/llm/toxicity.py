@@ -20,7 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronarch.llm import textarrays as ta
@@ -32,6 +32,8 @@ _U = np.uint64
 MOST_EXAMPLES, MOST_BYTES = 4000, 64 << 20
 #: Nearest examples that vote (with all that tie with the last of them), and weight of the prior among them.
 NEAREST, PRIOR_WEIGHT = 47, 0.5
+#: Fewer that vote where the examples' own votes are told better by them.
+FEWER = (11, 23)
 #: Cosines that differ by less are ties.
 TIE = 1e-6
 #: Examples in a block; a term is common if one example in so many has it, for so many terms at most; texts scored at once.
@@ -213,37 +215,64 @@ def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], frequency, n_do
     rows = index(np.arange(n)).rows
     order = np.concatenate(list(_halves(np.arange(n), rows))) if n else np.arange(0)
     made = index(order)
-    # Each example's vote without itself tells how far votes can be trusted.
-    votes = made.nearest((made.vector(examples[k][2], examples[k][3]) for k in order), themselves=True)
-    x, y = _logit(np.array([made.share(*v) for v in votes])) if n else np.zeros(0), made.labels
-    slope, shift = 1.0, 0.0
-    if 0 < ones < n:
-        for _ in range(50):  # Newton's steps, with a little shrinkage towards slope 1
-            p = 1 / (1 + np.exp(-(slope * x + shift)))
-            g = np.array([np.sum((p - y) * x) + (slope - 1), np.sum(p - y) + 0.1 * shift])
-            v = p * (1 - p)
-            h = np.array([[np.sum(v * x * x) + 1, np.sum(v * x)], [np.sum(v * x), np.sum(v) + 0.1]])
-            step = np.linalg.solve(h, g)
-            slope, shift = slope - step[0], shift - step[1]
-            if np.abs(step).max() < 1e-9:
-                break
-    made.slope, made.shift = float(slope), float(shift)
+    # Each example's vote without itself tells how many neighbours should vote and how far votes can be trusted.
+    votes = list(made.nearest((made.vector(examples[k][2], examples[k][3]) for k in order), themselves=True))
+    tried = []
+    for k in sorted({min(k, nearest) for k in (*FEWER, nearest)}, reverse=True):
+        x = _logit(np.array([made.share(*_first(k, *v)) for v in votes])) if n else np.zeros(0)
+        slope, shift, loss = _curve(x, made.labels)
+        tried.append((loss, -k, slope, shift))
+    _, k, made.slope, made.shift = min(tried)
+    made.k = -k
     return made
 
 
+def _first(k: int, who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` voters and those that tie with the last of them."""
+    some = what >= what[k - 1] - TIE if len(what) > k else slice(None)
+    return who[some], what[some]
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(slope, shift, mean loss) of the logistic curve that tells labels from votes, with a little shrinkage towards slope 1."""
+    slope, shift = 1.0, 0.0
+    if not 0 < y.sum() < len(y):
+        return slope, shift, 0.0
+    for _ in range(50):  # Newton's steps
+        p = 1 / (1 + np.exp(-(slope * x + shift)))
+        g = np.array([np.sum((p - y) * x) + (slope - 1), np.sum(p - y) + 0.1 * shift])
+        v = p * (1 - p)
+        h = np.array([[np.sum(v * x * x) + 1, np.sum(v * x)], [np.sum(v * x), np.sum(v) + 0.1]])
+        step = np.linalg.solve(h, g)
+        slope, shift = slope - step[0], shift - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    p = np.clip(1 / (1 + np.exp(-(slope * x + shift))), 1e-9, 1 - 1e-9)
+    return float(slope), float(shift), float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, most: int, most_bytes: int) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` labelled documents of ``docs`` (doc_id, text) and at most ``most_bytes`` bytes of text.
 
     Documents come by least hash of the id, so the choice is even and the same every
-    time.  An id that stands in several rows is one document, with the greatest of
-    its texts and labels; the one that would pass ``most_bytes`` and all after it stay out.
+    Documents come by least hash of the id, so the choice is even and the same every
+    time; one that would pass ``most_bytes`` is left out and the next is tried.  An id that
+    stands in several rows is one document, with the greatest of its texts and labels.  If there
+    are labelled documents and each is longer than ``most_bytes``, that is an error.
     """
     chance = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = ids.orderBy(*chance).limit(most)
     one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))  # at most ``most`` ids
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*chance).rowsBetween(Window.unboundedPreceding, 0))
-    fit_in = one.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most_bytes).select("doc_id")  # sizes of at most ``most`` documents
+    sizes = one.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy(*chance).collect()  # of at most ``most`` documents
+    held, room = [], most_bytes
+    for r in sizes:
+        if r["bytes"] <= room:
+            held.append((r["doc_id"],))
+            room -= r["bytes"]
+    if sizes and not held:
+        raise ValueError(f"none of {len(sizes)} labelled documents is within {most_bytes} bytes")
+    fit_in = docs.sparkSession.createDataFrame(held, "doc_id long")
     return one.join(F.broadcast(fit_in), "doc_id")
 
 
@@ -252,8 +281,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, id_col
 
     Learns from labels (id_col, label 0 or 1) where ``learnable`` holds; the sample
     has at most ``MOST_EXAMPLES`` documents of ``MOST_BYTES`` in all.  score:
-    likelihood of label 1, by the cosine-weighted votes of the ``nearest`` examples
-    and all that tie with the last of them; predicted: 1 if it is 0.5 or more;
+    likelihood of label 1, by the cosine-weighted votes of the ``nearest`` examples, or fewer
+    if the examples' own votes are told better so, and all that tie with the last of them; predicted: 1 if it is 0.5 or more;
     evidence: ids, labels and cosines of all that voted, nearest first.  A term of no
     example counts in a text's norm as one of a single document.
 

@@ -572,3 +572,47 @@ def test_contract_columns(spark):
     for r in out:
         data = texts[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+
+
+def test_a_long_labelled_text_shuts_out_no_other(spark):
+    from chronarch.llm.toxicity import labelled_sample
+
+    docs = spark.createDataFrame([(k, "x" * (5000 if k in (3, 7, 11) else 100)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for bound, n in ((4000, 37), (3700, 37), (1000, 10), (20_000, 40)):
+        got = labelled_sample(docs, labels, "toxic", F.lit(True), 4000, bound).collect()
+        assert len(got) == n and sum(len(r["text"]) for r in got) <= bound
+    assert labelled_sample(docs, labels.limit(0), "toxic", F.lit(True), 4000, 4000).count() == 0
+    with pytest.raises(ValueError, match="none of 40"):
+        labelled_sample(docs, labels, "toxic", F.lit(True), 4000, 50)
+
+
+def test_attention_equals_a_plain_loop():
+    """Passages, embeddings, gates and weights of the quality model, one text and one passage at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from chronarch.llm import quality as q
+
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(30)]
+    batch = [" ".join(rng.choice(words, n)) for n in (1, 47, 48, 49, 200, 0, 3)]
+    x, features, counts, sizes = q.passages(pa.array(batch))
+    assert sizes.tolist() == [max(1, -(-len(t.split()) // q.PASSAGE)) for t in batch] and counts.sum() == sum(len(t.split()) for t in batch)
+    m = q.fit(x.astype(float), features, counts, sizes, np.array([0, 1, 0, 1, 1, 0, 1.0]))
+    m["w"], m["V"], m["U"] = rng.normal(size=q.HIDDEN), rng.normal(size=(q.HIDDEN, q.HIDDEN)), rng.normal(size=(q.HIDDEN, q.HIDDEN))
+    got, p, word = q.forward(m, x, features, counts, sizes)["p"], 0, 0
+    for text, n in enumerate(sizes):
+        encoded, gates = [], []
+        for _ in range(n):
+            own = features[word : word + counts[p]]
+            mean = sum((m["W"][a] + m["W"][b] + m["W"][c] for a, b, c in own), np.zeros(q.HIDDEN)) / max(1, len(own))
+            clipped = np.clip((x[p] - m["mean"]) / m["deviation"], -6, 6)
+            h = np.tanh(mean + clipped @ m["E"] + m["e"])
+            encoded.append(h)
+            gates.append(sum(np.tanh(h @ m["V"])[d] / (1 + np.exp(-(h @ m["U"])[d])) * m["w"][d] for d in range(q.HIDDEN)))
+            word += counts[p]
+            p += 1
+        share = np.exp(np.array(gates)) / np.exp(np.array(gates)).sum()
+        z = sum(a * h for a, h in zip(share, encoded))
+        assert np.isclose(got[text], 1 / (1 + np.exp(-(z @ m["c"] + m["b"]))), atol=1e-6)
