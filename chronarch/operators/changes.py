@@ -8,10 +8,12 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronarch.archive import Snapshot
 from chronarch.functions.equality import all_equal
 from chronarch.operators.compaction import compactify
+from chronarch.sources.tables import cut
 
 
 def _same_key(a: str, b: str, keys: list[str]) -> Column:
@@ -140,6 +142,32 @@ def map_accumulate(df: DataFrame, f: Callable[[object, object, pd.DataFrame], tu
     return snapshots_to_archive(mapped, ekt, version, tol) if result == "snapshot" else updates_to_archive(mapped, ekt, version, tol)
 
 
+def fold_versions(df: DataFrame, f: Callable[[object, object, pd.DataFrame], tuple[object, pd.DataFrame]], init: object, schema: str, by: list[str], ekt: list[str], kind: str, version: str = "version", tol: float = 0, result: str = "snapshot", name: str = "accumulator") -> tuple[DataFrame, DataFrame]:
+    """``map_accumulate``'s archive and ``last_accumulator``'s table from one pass: f runs once for each version of a group.
+
+    Both read what the pass left in the shared folder.
+    """
+    kinds = {x.name: x.dataType.simpleString() for x in df.schema.fields}
+    made = T.StructType.fromDDL(schema)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = init, []
+        for v, part in rows.groupby(version, sort=True):
+            told = f(state, v, part)
+            if not isinstance(told, tuple) or len(told) != 2:
+                raise ValueError("f must return the accumulator and the rows")
+            state, own = told
+            out.append(own.assign(**{version: v} | dict(zip(by, key))))
+        last = pd.DataFrame([(*key, state, True)], columns=[*by, "__state", "__end"])
+        whole = pd.concat([*[o.assign(__end=False) for o in out], last], ignore_index=True)
+        return whole.astype({c: object for c in made.names}).where(whole.notna(), None).reindex(columns=[*made.names, "__state", "__end"])
+
+    whole = cut(df.groupBy(*by).applyInPandas(run, f"{schema}, `__state` {kind}, `__end` boolean"))
+    rows = whole.where("NOT __end").select(*made.names)
+    archive = snapshots_to_archive(rows, ekt, version, tol) if result == "snapshot" else updates_to_archive(rows, ekt, version, tol)
+    return archive, whole.where("__end").select(*[F.col(c).cast(kinds[c]) for c in by], F.col("__state").alias(name))
+
+
 def last_accumulator(df: DataFrame, f: Callable[[object, object, pd.DataFrame], tuple[object, pd.DataFrame]], init: object, by: list[str], kind: str, version: str = "version", name: str = "accumulator") -> DataFrame:
     """(by, accumulator of the type ``kind``): what the fold of ``map_accumulate`` holds after the last version of each group."""
     kinds = {x.name: x.dataType.simpleString() for x in df.schema.fields}

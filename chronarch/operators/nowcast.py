@@ -62,15 +62,17 @@ def tasks(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy("predictor", "feature", "template").agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("entities"))
 
 
-def template_features(archive: Archive, rows: DataFrame, found: DataFrame, tolerance: int | None = None) -> DataFrame:
+def template_features(archive: Archive, rows: DataFrame, found: DataFrame, tolerance: int | None = None, predictors: list[str] | None = None) -> DataFrame:
     """(entity, time, feature, value): for each row (entity, time) its entity's features; null if a cell is missing.
 
-    All cells of a predictor are looked up in one as-of join.
+    All cells of a predictor are looked up in one as-of join.  ``predictors`` names those of the
+    templates; without it, the templates are worked out once to learn the names.
     """
     cells = found.select(*archive.keys, "predictor", "feature", F.size("template").alias("__n"), F.explode("template").alias("__cell"))
     wanted = rows.select(*archive.ekt).distinct().join(cells, list(archive.keys))
     out = []
-    for p in [r[0] for r in found.select("predictor").distinct().orderBy("predictor").collect()]:  # names of predictors only
+    predictors = predictors or [r[0] for r in found.select("predictor").distinct().orderBy("predictor").collect()]  # names only
+    for p in predictors:
         t = F.col(archive.time)
         own = lookup(archive, wanted.where(F.col("predictor") == p), p, shifted(t, F.col("__cell.horizon"), archive.time_type), shifted(t, F.col("__cell.lag"), archive.time_type), "__x", tolerance)
         out.append(own.groupBy(*archive.ekt, "feature").agg(F.when(F.count("__x") == F.max("__n"), F.sum("__x")).alias("value")))
@@ -86,14 +88,14 @@ def training_table(archive: Archive, targets: DataFrame, features: DataFrame, na
     return targets.join(wide, archive.ekt).where(F.coalesce(*target_features).isNotNull())
 
 
-def testing_table(archive: Archive, entities: DataFrame, found: DataFrame, names: list[str], test_time) -> DataFrame:
+def testing_table(archive: Archive, entities: DataFrame, found: DataFrame, names: list[str], test_time, predictors: list[str] | None = None) -> DataFrame:
     """A row for each of ``entities`` at the test time, with a column for each feature and an intercept of 1.
 
     A cell counts only if it has the very version that its template names; a feature
     that lacks one is null.
     """
     rows = entities.select(*archive.keys).distinct().withColumn(archive.time, F.lit(test_time))
-    features = template_features(archive, rows, found, tolerance=0)
+    features = template_features(archive, rows, found, 0, predictors)
     wide = features.groupBy(*archive.ekt).pivot("feature", names).agg(F.first("value"))
     return rows.join(wide, archive.ekt, "left").withColumn("intercept", F.lit(1.0))
 

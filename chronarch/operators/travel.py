@@ -34,20 +34,18 @@ def truncate(archive: Archive, version) -> Archive:
     return archive.of(archive.df.where(F.col(archive.version) <= F.lit(version)), versions_end=version)
 
 
-def _valid_until(archive: Archive) -> Column:
-    return F.lead(archive.version).over(Window.partitionBy(*archive.ekt).orderBy(archive.version))
-
-
 def _places(archive: Archive, versions: list | None) -> tuple[DataFrame, DataFrame]:
     """((version, before, most), (place, at)): how many of the wanted versions come before each, and in all; and the wanted ones by place from 1.
 
     Both have a row for each distinct version, however many rows the archive has.
     """
     name, kind = archive.version, archive.df.schema[archive.version].dataType
-    wanted = archive.df.select(F.col(name).alias("v"))
-    if versions is not None:
+    own = archive.df.select(F.col(name).alias("v"))
+    if versions is None:
+        every = own.distinct().withColumn("is", F.lit(1))
+    else:
         wanted = archive.df.sparkSession.createDataFrame([(v,) for v in versions], T.StructType([T.StructField("v", kind)]))
-    every = wanted.withColumn("is", F.lit(1)).union(archive.df.select(name, F.lit(0))).groupBy("v").agg(F.max("is").alias("is"))
+        every = wanted.withColumn("is", F.lit(1)).union(own.withColumn("is", F.lit(0))).groupBy("v").agg(F.max("is").alias("is"))
     order = Window.orderBy("v")  # of distinct versions: a few thousand
     every = every.withColumns({"place": F.sum("is").over(order), "most": F.sum("is").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     return every.select("v", (F.col("place") - F.col("is")).alias("before"), "most"), every.where(F.col("is") == 1).select("place", F.col("v").alias("__at"))
@@ -61,10 +59,10 @@ def as_of_each(archive: Archive, versions: list | None = None) -> DataFrame:
     """
     name = archive.version
     before, places = _places(archive, versions)
-    rows = archive.df.withColumn("__until", _valid_until(archive))
-    rows = rows.join(before.select(F.col("v").alias(name), F.col("before").alias("__from"), F.col("most").alias("__most")), name)
-    rows = rows.join(before.select(F.col("v").alias("__until"), F.col("before").alias("__to")), "__until", "left")
-    rows = rows.withColumn("__last", F.coalesce("__to", "__most")).where(F.col("__from") < F.col("__last"))
+    rows = archive.df.join(before.select(F.col("v").alias(name), F.col("before").alias("__from"), F.col("most").alias("__most")), name)
+    # A row holds until the place of its key's next one.
+    after = F.lead("__from").over(Window.partitionBy(*archive.ekt).orderBy(name))
+    rows = rows.withColumn("__last", F.coalesce(after, "__most")).where(F.col("__from") < F.col("__last"))
     rows = rows.withColumn("place", F.explode(F.sequence(F.col("__from") + 1, F.col("__last"))))
     return rows.join(places, "place").select(*archive.ekt, F.col("__at").alias(name), *archive.values)
 

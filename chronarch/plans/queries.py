@@ -488,7 +488,7 @@ def task_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("predictor", "feature", _told("template").alias("template"), entities.alias("entities"))
 
 
-_FEATURES = """, rows AS (SELECT DISTINCT geo_value, grp, time_value FROM arch WHERE time_value >= DATE '2024-01-12'),
+_FEATURES = """, rows AS (SELECT DISTINCT geo_value, grp, time_value FROM arch),
 found AS (SELECT r.geo_value, r.grp, r.time_value, c.feature, c.horizon, arg_max(a.value, a.version) AS x FROM rows r JOIN cells c USING (geo_value, grp)
   LEFT JOIN arch a ON a.geo_value = r.geo_value AND a.grp = r.grp AND a.time_value = r.time_value + c.horizon::INTEGER AND a.version <= r.time_value + c.lag::INTEGER GROUP BY ALL),
 feats AS (SELECT geo_value, grp, time_value, f.feature, CASE WHEN count(x) = max(t.size) THEN CAST(sum(x) AS BIGINT) END AS value FROM found f JOIN temps t USING (geo_value, grp, feature) GROUP BY ALL)"""
@@ -502,8 +502,7 @@ _WIDE = (
 
 def _features(spark: SparkSession, sf_dir: str):
     a, found = _templates(spark, sf_dir)
-    rows = a.df.where(F.col("time_value") >= date(2024, 1, 12)).select(*EKT).distinct()
-    return a, nowcast.template_features(a, rows, found)
+    return a, nowcast.template_features(a, a.df.select(*EKT).distinct(), found, predictors=["value"])
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -522,7 +521,7 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _training(spark, sf_dir)
 
 
-_TESTING = _FEATURES.replace("SELECT DISTINCT geo_value, grp, time_value FROM arch WHERE time_value >= DATE '2024-01-12'", "SELECT DISTINCT geo_value, grp, DATE '2024-01-20' AS time_value FROM arch").replace("arg_max(a.value, a.version) AS x", "CASE WHEN max(a.version) = any_value(r.time_value + c.lag::INTEGER) THEN arg_max(a.value, a.version) END AS x")
+_TESTING = _FEATURES.replace("SELECT DISTINCT geo_value, grp, time_value FROM arch", "SELECT DISTINCT geo_value, grp, DATE '2024-01-20' AS time_value FROM arch").replace("arg_max(a.value, a.version) AS x", "CASE WHEN max(a.version) = any_value(r.time_value + c.lag::INTEGER) THEN arg_max(a.value, a.version) END AS x")
 
 
 @query(
@@ -532,7 +531,7 @@ _TESTING = _FEATURES.replace("SELECT DISTINCT geo_value, grp, time_value FROM ar
 )
 def testing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, found = _templates(spark, sf_dir)
-    return nowcast.testing_table(a, a.df, found, _NAMES, TEST_TIME)
+    return nowcast.testing_table(a, a.df, found, _NAMES, TEST_TIME, ["value"])
 
 
 @query(

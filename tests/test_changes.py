@@ -1,3 +1,4 @@
+import os
 import random
 
 import pandas as pd
@@ -147,3 +148,19 @@ def test_accumulator_must_return_a_pair(spark):
     paste = lambda acc, v, part: (f"{acc} {v}", pd.DataFrame({"time_value": [1], "value": [float(len(acc))]}))
     good = changes.map_accumulate(df.union(spark.createDataFrame([(1, 1, 2, 1.0)], ARCH)), paste, "", ARCH, ["geo_value"], EKT)
     assert [r["value"] for r in good.orderBy("version").collect()] == [0.0, 2.0]
+
+
+def test_fold_gives_both_from_one_pass(spark, tmp_path):
+    df = spark.createDataFrame([(g, t, v, None if v == 2 else float(t * v)) for g in (1, 2) for t in (1, 2) for v in (1, 2, 3)], ARCH)
+    seen = str(tmp_path)
+
+    def f(acc, v, rows):
+        with open(f"{seen}/{rows['geo_value'].iloc[0]}-{v}", "a") as told:
+            told.write("x")
+        return acc + f" {v}", rows[["time_value", "value"]]
+
+    archive, last = changes.fold_versions(df, f, "", ARCH, ["geo_value"], EKT, "string", result="update")
+    want = changes.map_accumulate(df, lambda acc, v, rows: (acc, rows[["time_value", "value"]]), "", ARCH, ["geo_value"], EKT, result="update")
+    assert sorted(map(str, archive.collect())) == sorted(map(str, want.collect())) and archive.columns == want.columns
+    assert sorted(map(tuple, last.collect())) == [(1, " 1 2 3"), (2, " 1 2 3")]
+    assert {(tmp_path / n).read_text() for n in os.listdir(tmp_path)} == {"x"} and len(os.listdir(tmp_path)) == 6
