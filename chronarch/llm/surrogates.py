@@ -40,6 +40,14 @@ ENDINGS = {"Latin": "a", "Cyrillic": "а", "Greek": "α"}
 _LETTER = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS)
 _UNCASED = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s not in (*ENDINGS, "Armenian"))
 _NAME = rf"(?:(?=\p{{Lu}})[{_LETTER}](?:[{_LETTER}]|(?:(?!\p{{L}})['-]))++|(?=\p{{L}})[{_UNCASED}]++)"
+#: Words within a name that stay as they are (fixed values).
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "bin", "ibn", "al", "el", "ter", "ten", "zu", "zur", "vom")
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})(?!\p{{L}})"
+_INITIALS = r"(?:[A-Z]\.)++"
+_BLANK = r"[ \t\u00A0]++"
+#: Any number of parts with particles and initials before them; only after the title may a line end.
+_WHOLE_NAME = rf"(?:(?:{_PARTICLE}|{_INITIALS})[ \t\u00A0]*+)*{_NAME}(?:{_BLANK}(?:(?:{_PARTICLE}|{_INITIALS})[ \t\u00A0]*+)*{_NAME})*"
+_AFTER_TITLE = r"\.?(?:[ \t\u00A0]++(?:\r?\n[ \t\u00A0]*+)?|\r?\n[ \t\u00A0]*+)"
 #: How secret tokens of some services begin; that stays (fixed values).
 TOKEN_PREFIX = r"(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[_-]?"
 
@@ -53,13 +61,15 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,40}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES}){_AFTER_TITLE}{_WHOLE_NAME}",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: The country of a phone number, which stays.
 COUNTRY = r"^\+\d{1,3}(?=[ (.-])"
+#: The same, at the head of a number's canonical form.
+LAND = r"^\+\d{1,3}:"
 #: What every entity but names has, and what names have: cheap tests before the patterns.
-MAYBE, MAYBE_NAME = "[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[A-Za-z_-]{16}|[a-f]{32}|[A-F]{32}", rf"(?:{_TITLES})\.? \p{{L}}"
+MAYBE, MAYBE_NAME = "[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[A-Za-z_-]{16}|[a-f]{32}|[A-F]{32}", rf"(?:{_TITLES})\.?\s+\p{{L}}"
 #: What may follow a name and is no part of it.
 OWNER = "'s?$"
 #: Names get longer with each round of drawing again after half of ROUNDS; after MOST_ROUNDS it is an error that surrogates are not distinct.
@@ -73,14 +83,27 @@ def _kind(entity: Column) -> Column:
 
 def _parts(entity: Column, kind: Column) -> Column:
     """What of the entity is replaced: (kind, canonical form), the same for all spellings of one entity."""
-    names = F.split(F.regexp_replace(F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", ""), OWNER, ""), " ")
-    title = F.regexp_extract(entity, r"^([^. ]+)", 1)
+    names = F.filter(_words(entity), lambda w: ~_stays(w) & ~w.rlike(r"^\s"))
+    title = F.regexp_extract(entity, r"^([^.\s]+)", 1)
     given = F.when(title.isin(*FEMALE), "given_f").when(title.isin(*MALE), "given_m").otherwise("given")
     part = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
     last = F.array(part(F.lit("surname"), F.lower(F.element_at(names, -1))))
+    first = F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda n: part(given, F.lower(n)))
+    country = F.regexp_extract(entity, COUNTRY, 0)
     bare = F.regexp_replace(F.regexp_replace(entity, COUNTRY, ""), r"[^\p{L}\p{N}]", "")
-    plain = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind.isin("ip", "token"), entity).otherwise(bare)
-    return F.when(kind == "name", F.when(F.size(names) > 1, F.concat(F.array(part(given, F.lower(names[0]))), last)).otherwise(last)).otherwise(F.array(part(kind, plain)))
+    plain = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind.isin("ip", "token"), entity).when((kind == "phone") & (country != ""), F.concat(country, F.lit(":"), bare)).otherwise(bare)
+    return F.when(kind == "name", F.concat(first, last)).otherwise(F.array(part(kind, plain)))
+
+
+def _words(name: Column) -> Column:
+    """The words and initials of a name after its title, and the blanks between them, without a genitive's end."""
+    rest = F.regexp_replace(F.regexp_replace(name, rf"^(?:{_TITLES}){_AFTER_TITLE}", ""), OWNER, "")
+    return F.regexp_extract_all(rest, F.lit(rf"\s+|{_INITIALS}|[^\s]+"), F.lit(0))
+
+
+def _stays(word: Column) -> Column:
+    """Whether a word of a name is a particle or initials."""
+    return word.isin(*PARTICLES) | word.rlike(rf"^{_INITIALS}$")
 
 
 def _pick(digest: Column, i: Column, letters: str) -> Column:
@@ -104,7 +127,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     seed = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), canon)
     digest = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512))
     longer = F.greatest(F.lit(0), attempt - ROUNDS // 2)
-    stays = F.when(kind == "token", F.regexp_extract(canon, f"^{TOKEN_PREFIX}", 0)).when(kind == "iban", F.substring(canon, 1, 2)).otherwise("")
+    stays = F.when(kind == "token", F.regexp_extract(canon, f"^{TOKEN_PREFIX}", 0)).when(kind == "iban", F.substring(canon, 1, 2)).when(kind == "phone", F.regexp_extract(canon, LAND, 0)).otherwise("")
     hexadecimal = (kind == "ipv6") | (kind == "token") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     head = F.substring(canon, 1, 2)
     script = F.coalesce(*[F.when(head.rlike(rf"^.?\p{{Is{x}}}"), x) for x in SCRIPTS], F.lit("Latin"))
@@ -130,7 +153,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
 
         alike = lambda text: F.array_join(F.transform(F.split(text, ""), same_class), "")
         spoken = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), sound), "")
-        host = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(107)), lambda i: pick(i, "abcdefghijklmnopqrstuvwxyz")), "")
+        host = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: _pick(told["domain"], i, "abcdefghijklmnopqrstuvwxyz")), "")  # one for all of a domain
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(told["digest"], i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
         whole = F.concat(stays, alike(F.substring(canon, F.length(stays) + 1, F.length(canon))))
         return (
@@ -143,7 +166,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
             .otherwise(whole)
         )
 
-    told = F.struct(digest.alias("digest"), hexadecimal.alias("hexadecimal"), script.alias("script"))
+    domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.regexp_extract(canon, "@(.*)$", 1)), 512)
+    told = F.struct(digest.alias("digest"), domain.alias("domain"), hexadecimal.alias("hexadecimal"), script.alias("script"))
     return _check_digits(kind, F.transform(F.array(told), draw)[0])
 
 
@@ -197,7 +221,7 @@ def _mentions(gap: Column, names: Column) -> Column:
 
 def _rendered(entity: Column, kind: Column, parts: Column) -> Column:
     """The entity with its parts replaced, in its own format and letter case."""
-    first = parts[0]
+    first = F.regexp_replace(parts[0], LAND, "")
     start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
 
     def fill(done: Column, c: Column) -> Column:
@@ -208,8 +232,17 @@ def _rendered(entity: Column, kind: Column, parts: Column) -> Column:
     country = F.when(kind == "phone", F.regexp_extract(entity, COUNTRY, 0)).otherwise("")
     rest = F.substring(entity, F.length(country) + 1, F.length(entity))
     formatted = F.concat(country, F.aggregate(F.split(rest, ""), start, fill, lambda d: d["text"]))
-    title = F.regexp_extract(entity, rf"^((?:{_TITLES})\.?) ", 1)
-    name = F.concat(F.concat_ws(" ", title, F.transform(parts, F.initcap)), F.regexp_extract(entity, OWNER, 0))
+    title = F.regexp_extract(entity, rf"^(?:{_TITLES}){_AFTER_TITLE}", 0)
+    begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+
+    def spell(done: Column, w: Column) -> Column:
+        """Words of the name one after the other; initials get a letter that the new family name and they decide."""
+        byte = F.conv(F.substring(F.sha2(F.concat(F.element_at(parts, -1), w), 256), 1, 2), 16, 10).cast("int")
+        letters = F.regexp_replace(w, "[A-Z]", F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), byte % 26 + 1, F.lit(1)))
+        same = F.when(w.rlike(rf"^{_INITIALS}$"), letters).otherwise(w)
+        return F.when(_stays(w) | w.rlike(r"^\s"), F.struct(F.concat(done["text"], same).alias("text"), done["at"].alias("at"))).otherwise(F.struct(F.concat(done["text"], F.initcap(parts[done["at"]])).alias("text"), (done["at"] + 1).alias("at")))
+
+    name = F.concat(title, F.aggregate(_words(entity), begin, spell, lambda d: d["text"]), F.regexp_extract(entity, OWNER, 0))
     shouted = (kind != "token") & (F.upper(entity) == entity) & entity.rlike(r"\p{L}")
     plain = F.when(shouted, F.upper(first)).otherwise(first)
     return F.when(kind == "name", name).when(kind.isin("email", "ip", "ipv6", "token"), plain).otherwise(formatted)
@@ -221,6 +254,8 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     Found are e-mail addresses, account, phone, card and social security numbers, IP
     addresses, secret tokens, names after a title in the scripts of ``SCRIPTS``, and
     where their parts stand again as words of the same text, each part for itself.
+    A name has any number of parts, with particles, which stay, and initials, which get other
+    letters; addresses of one mail domain share their new one; a phone number is that of its country.
     surrogates lists what was put in, in order.  Of a phone or account number the
     country stays, of a name the title, of a token its service's prefix and the case
     of each place; cards and accounts get valid check digits.  A given name, one

@@ -616,3 +616,45 @@ def test_attention_equals_a_plain_loop():
         share = np.exp(np.array(gates)) / np.exp(np.array(gates)).sum()
         z = sum(a * h for a, h in zip(share, encoded))
         assert np.isclose(got[text], 1 / (1 + np.exp(-(z @ m["c"] + m["b"]))), atol=1e-6)
+
+
+def test_names_addresses_and_numbers_of_people(spark):
+    """Told word by word here, not by the operator's patterns."""
+    cases = [
+        ("Dr Anna Maria Schmidt came. Schmidt left.", ["Anna", "Maria", "Schmidt"], "Dr {0} {1} {2} came. {2} left."),
+        ("Mr Ludwig van Beethoven", ["Ludwig", "Beethoven"], "Mr {0} van {1}"),
+        ("Mr  Otto  Weber sat", ["Otto", "Weber"], "Mr  {0}  {1} sat"),
+        ("Mr\nOtto Weber went\nHome", ["Otto", "Weber"], "Mr\n{0} {1} went\nHome"),
+        ("Prof. Maria de la Cruz's notes", ["Maria", "Cruz"], "Prof. {0} de la {1}'s notes"),
+        ("Mrs Ada Lovelace and Mr. Lovelace\nThe end", ["Ada", "Lovelace"], "Mrs {0} {1} and Mr. {1}\nThe end"),
+    ]
+    others = ["Dr J. Smith and Prof. J. R. Brown met Mr J.R. Brown", "a@acme.co.uk, b@acme.co.uk, c@other.org", "+1 555 123 4567, +44 555 123 4567, +1 (555) 123-4567"]
+    rows = [(k, t) for k, t in enumerate([t for t, _, _ in cases] + others)]
+    out = {r["doc_id"]: r["text"] for r in replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    new = {}
+    for k, (_, names, form) in enumerate(cases):
+        places = re.fullmatch(_once(form), out[k])
+        assert places, out[k]
+        for i, name in enumerate(names):
+            got = places[f"n{i}"]
+            assert got != name and got[0].isupper() and new.setdefault(name, got) == got
+    assert len(set(new.values())) == len(new)
+    a, b, c = re.fullmatch(r"Dr ([A-Z])\. (\w+) and Prof\. [A-Z]\. [A-Z]\. (\w+) met Mr [A-Z]\.[A-Z]\. (\w+)", out[6]).groups()[1:]
+    assert b == c != a and not {"Smith", "Brown"} & {a, b}
+    x, y, z = (t.split("@")[1] for t in out[7].split(", "))
+    assert x == y != z and len({t for t in out[7].split(", ")}) == 3
+    us, uk, same = out[8].split(", ")
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(us) == digits(same) and us.startswith("+1 ") and uk.startswith("+44 ") and digits(us)[1:] != digits(uk)[2:]
+
+
+def _once(form):
+    """A pattern of the form: each name where it stands first, and the same again later."""
+    seen, out = set(), ""
+    for part in re.split(r"(\{\d\})", form):
+        if re.fullmatch(r"\{\d\}", part):
+            out += f"(?P=n{part[1]})" if part in seen else rf"(?P<n{part[1]}>\w+)"
+            seen.add(part)
+        else:
+            out += re.escape(part)
+    return out
