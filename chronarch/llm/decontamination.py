@@ -4,8 +4,8 @@ Any window of w consecutive words holds a whole segment of g = (w + 1) // 2 word
 that begins at a multiple of g in its item.  The automaton holds these segments, a
 node for each word at most, so it is about as large as the items; items shorter than
 a window stand in it whole.  It reads every document once.  Where a segment is
-found, the words before and after are compared with the item's, which tells the
-windows that occur.  Words keep their places, so hits are told as byte offsets of
+found, the windows about it are looked up among all windows of items, each of which is there once
+with the items that hold it; so text that many items share costs no more than any other.  Words keep their places, so hits are told as byte offsets of
 the original text.
 
 A document's words are read in many lanes side by side, each overlapping the one
@@ -93,23 +93,45 @@ def build(items: list[tuple[str | None, str | None]], size: int) -> tuple[dict[s
             open_ = open_[~there]
             open_ = open_[at[open_] > 0]
             at[open_] = fail[at[open_]]
-    # Occurrences of the pattern that ends at a node, and the next node on the way of failures at which a pattern ends.
-    order = np.argsort(node, kind="stable")
-    ends = np.r_[0, np.cumsum(np.bincount(node, minlength=len(edges) + 1))]
-    link = np.zeros(len(edges) + 1, np.int32)
-    for a, b in levels:
+    # Of the patterns that end at a node: whether one is a segment, and which are whole items; and the next node on the way of failures at which a pattern ends.
+    n_nodes = len(edges) + 1
+    segment = np.zeros(n_nodes, bool)
+    segment[node[~short[item]]] = True
+    own = np.flatnonzero(short[item])
+    own = own[np.argsort(node[own], kind="stable")]
+    short_ends = np.r_[0, np.cumsum(np.bincount(node[own], minlength=n_nodes))]
+    ended = segment | (np.diff(short_ends) > 0)
+    depth, link = np.zeros(n_nodes, np.int32), np.zeros(n_nodes, np.int32)
+    for d, (a, b) in enumerate(levels):
         at = fail[a + 1 : b + 1]
-        link[a + 1 : b + 1] = np.where(np.diff(ends)[at] > 0, at, link[at])
+        link[a + 1 : b + 1] = np.where(ended[at], at, link[at])
+        depth[a + 1 : b + 1] = d + 1
     root = np.zeros(n_words, np.int32)
     top = edges[: levels[0][1]] if levels else edges
     root[top] = np.arange(1, len(top) + 1)
+    # Every window once, by its hash, with a place where it stands and the items that hold it.
+    many = np.where(short, 0, sizes - size + 1)
+    holder = np.repeat(np.arange(len(sizes)), many)
+    at = begins[holder] + np.arange(len(holder)) - np.repeat(np.cumsum(many) - many, many)
+    hashes = ta.spans(ta.rolling(vocabulary[item_words]), at, at + size) if len(at) else np.zeros(0, _U)
+    windows, first_at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    pairs = np.unique(inverse * max(1, len(sizes)) + holder)
+    in_window, holders = pairs // max(1, len(sizes)), pairs % max(1, len(sizes))
     arrays = {
-        "vocabulary": vocabulary, "edges": edges, "fail": fail, "link": link, "root": root, "ends": ends, "item": item[order].astype(np.int32),
-        "start": start[order], "length": length[order].astype(np.int32), "item_words": item_words, "begins": np.r_[begins, len(item_words)],
+        "vocabulary": vocabulary, "edges": edges, "fail": fail, "link": link, "root": root, "ended": ended.astype(np.uint8), "segment": segment.astype(np.uint8), "depth": depth,
+        "short_ends": short_ends, "short": item[own].astype(np.int32), "item_words": item_words, "windows": windows, "window_at": at[first_at],
+        "holder_ends": np.r_[0, np.cumsum(np.bincount(in_window, minlength=len(windows)))], "holders": holders.astype(np.int32),
     }
     return arrays, [sorted(x) for x in names]
 
 
+def _ranges(ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``of``, place) of all places from ends[k] to ends[k + 1] for each k of ``of``."""
+    many = ends[of + 1] - ends[of]
+    which = np.repeat(np.arange(len(of)), many)
+    return which, ends[of][which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+
+
 def _lanes(offsets: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word of each lane, its text's first word); lanes begin every ``LANE`` words of a text."""
     many = -(-np.diff(offsets) // LANE)
@@ -119,15 +141,15 @@ def _lanes(offsets: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
 
 def scan(m, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of the last word, node) of every pattern found in the texts, whose words (places in the vocabulary, -1 if not there) are ``ids``."""
-    edges, fail, link, root, ends = (m[k] for k in ("edges", "fail", "link", "root", "ends"))
+    edges, fail, link, root = (m[k] for k in ("edges", "fail", "link", "root"))
     if not len(edges) or not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n_words, overlap = len(root), int(m["length"].max()) - 1
+    n_words, overlap = len(root), int(m["depth"].max()) - 1
     first, text = _lanes(offsets, overlap)
     last = np.minimum(first + LANE, np.repeat(offsets[1:], -(-np.diff(offsets) // LANE)))
     state = np.zeros(len(first), np.int64)
     places, nodes = [], []
-    ended = np.diff(ends) > 0
+    ended = np.asarray(m["ended"]) > 0
     for t in range(-overlap, LANE):
         at = first + t
         inside = (at >= text) & (at < last)
@@ -155,31 +177,42 @@ def scan(m, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(places), np.concatenate(nodes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _hits(m, ids: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last, item class) of each stretch of words that windows cover."""
+def _hits(m, hashes: np.ndarray, ids: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, class) of each window that occurs; classes are windows, and after them whole items.
+
+    About a segment that is found lie ``size`` - its length + 1 windows; those that are an item's
+    count, each once, however many items share it.
+    """
     place, node = scan(m, ids, offsets)
-    many = m["ends"][node + 1] - m["ends"][node]
-    which = np.repeat(m["ends"][node], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    item, start, length = m["item"][which], m["start"][which], m["length"][which].astype(np.int64)
-    a = np.repeat(place, many) + 1 - length
-    b = a + length
-    low, high = m["begins"][item], m["begins"][item + 1]
-    text = np.searchsorted(offsets, a, "right") - 1
-    whole = high - low < size
-    left, right = (~whole).copy(), (~whole).copy()  # which still grow
-    before, after = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    words = m["item_words"]
-    for d in range(1, size - (size + 1) // 2 + 1):
-        i, q = a - d, start - d
-        left &= (i >= offsets[text]) & (q >= low)
-        left &= ids[np.maximum(i, 0)] == words[np.maximum(q, 0)]
-        before += left
-        i, q = b + d - 1, start + length + d - 1
-        right &= (i < offsets[text + 1]) & (q < high)
-        right &= ids[np.minimum(i, len(ids) - 1)] == words[np.minimum(q, len(words) - 1)]
-        after += right
-    real = whole | (before + length + after >= size)
-    return (a - before)[real], (b + after)[real], item[real]
+    depth = np.asarray(m["depth"])[node].astype(np.int64)
+    which, at = _ranges(np.asarray(m["short_ends"]), node)
+    a, b, kind = [(place - depth + 1)[which]], [(place + 1)[which]], [len(m["windows"]) + np.asarray(m["short"])[at].astype(np.int64)]
+    found = np.asarray(m["segment"])[node] > 0
+    g = (size + 1) // 2
+    begin = np.unique((place[found] - g + 1)[:, None] - np.arange(size - g + 1))
+    text = np.searchsorted(offsets, begin, "right") - 1
+    begin = begin[(begin >= 0) & (text >= 0)]
+    text = np.searchsorted(offsets, begin, "right") - 1
+    begin = begin[begin + size <= offsets[text + 1]]
+    if len(begin) and len(m["windows"]):
+        told = ta.spans(ta.rolling(hashes), begin, begin + size)
+        windows = m["windows"]
+        k = np.minimum(np.searchsorted(windows, told), len(windows) - 1)
+        real = windows[k] == told
+        begin, k = begin[real], k[real]
+        where = np.asarray(m["window_at"])[k]
+        real = np.ones(len(k), bool)
+        for d in range(size):
+            real &= ids[begin + d] == m["item_words"][where + d]
+        a.append(begin[real]), b.append(begin[real] + size), kind.append(k[real])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(kind)
+
+
+def _items(m, kinds: np.ndarray) -> np.ndarray:
+    """The items of distinct classes of ``_hits``."""
+    n = len(m["windows"])
+    _, at = _ranges(np.asarray(m["holder_ends"]), kinds[kinds < n])
+    return np.unique(np.r_[np.asarray(m["holders"])[at].astype(np.int64), kinds[kinds >= n] - n])
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -187,7 +220,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
     rows, held, any_ = [], 0, False
     for row in items.toLocalIterator():
         rows.append((row["item"], row["text"]))
-        held += len(row["text"] or "")
+        held += len((row["text"] or "").encode())
         if held > MOST_BYTES:
             yield rows
             rows, held, any_ = [], 0, True
@@ -216,7 +249,7 @@ def _scanned(rows: DataFrame, block: list, size: int, hits_only: bool) -> DataFr
                 hashes = w.hashes(lower=True)
                 ids = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                 ids = np.where(vocabulary[ids] == hashes, ids, -1)
-                a, b, item = _hits(m, ids, w.offsets, size)
+                a, b, kind = _hits(m, hashes, ids, w.offsets, size)
                 if not len(a):
                     continue
                 cover = np.bincount(a, minlength=len(ids) + 1) - np.bincount(b, minlength=len(ids) + 1)
@@ -228,10 +261,10 @@ def _scanned(rows: DataFrame, block: list, size: int, hits_only: bool) -> DataFr
                     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
                     at = w.bounds[i]
                     runs[first + i] = [{"first": int(x), "last": int(y), "start": int(w.starts[s + x] - at), "end": int(w.ends[s + y] - at)} for x, y in zip(begin, end)]
-                    found[first + i] = sorted({x for c in np.unique(item[text == i]) for x in shared.value[c]})
-            kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
+                    found[first + i] = sorted({x for c in _items(m, np.unique(kind[text == i])) for x in shared.value[c]})
+            spans = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
             out = {c: batch[c] for c in batch.schema.names if c != "__text"}
-            out = pa.RecordBatch.from_pydict(out | {"__n": pa.array(n, pa.int64()), "__runs": pa.array(runs, kind), "__names": pa.array(found, pa.list_(pa.string()))})
+            out = pa.RecordBatch.from_pydict(out | {"__n": pa.array(n, pa.int64()), "__runs": pa.array(runs, spans), "__names": pa.array(found, pa.list_(pa.string()))})
             yield out.filter(out["__runs"].is_valid()) if hits_only else out
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")

@@ -658,3 +658,38 @@ def _once(form):
         else:
             out += re.escape(part)
     return out
+
+
+def test_items_that_share_text_cost_no_rows(spark):
+    """Thousands of items with one instruction, in a document that repeats it: windows are met once, items told by a set."""
+    import numpy as np
+    import pyarrow as pa
+
+    from chronarch.llm import decontamination as d
+    from chronarch.llm import textarrays as ta
+
+    shared = " ".join(f"shared{k}" for k in range(28))
+    items = [(str(k), f"{shared} own{k} " + " ".join(f"q{k}w{j}" for j in range(6))) for k in range(3000)] + [("short", "just three words")]
+    arrays, names = d.build(items, 13)
+    doc = " . ".join([shared, "just three words", items[5][1], items[7][1][len(shared) - 40 :]] * 20)
+    w = next(iter(ta.chunks(pa.array([doc]), ta.NOT_ALPHANUMERIC_RAW)))
+    hashes = w.hashes(lower=True)
+    ids = np.minimum(np.searchsorted(arrays["vocabulary"], hashes), len(arrays["vocabulary"]) - 1)
+    ids = np.where(arrays["vocabulary"][ids] == hashes, ids, -1)
+    a, b, kind = d._hits(arrays, hashes, ids, w.offsets, 13)
+    assert len(a) < len(hashes)
+    words = doc.replace(" .", "").split()
+    windows = {}
+    for name, text in items:
+        own = text.split()
+        for i in range(max(1, len(own) - 12)):
+            windows.setdefault(tuple(own[i : i + 13]), set()).add(name)
+    want, hit = set(), set()
+    for size in (3, 13):
+        for i in range(len(words) - size + 1):
+            if names_of := windows.get(tuple(words[i : i + size])):
+                want |= names_of
+                hit |= set(range(i, i + size))
+    got = {x for c in d._items(arrays, np.unique(kind)) for x in names[c]}
+    assert got == want and len(got) == 3001
+    assert {k for s, e in zip(a, b) for k in range(s, e)} == hit
