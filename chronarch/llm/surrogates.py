@@ -81,9 +81,8 @@ def _kind(entity: Column) -> Column:
     return F.coalesce(*[F.when(fits, k) for k, fits in kinds])
 
 
-def _parts(entity: Column, kind: Column) -> Column:
+def _parts(entity: Column, kind: Column, names: Column) -> Column:
     """What of the entity is replaced: (kind, canonical form), the same for all spellings of one entity."""
-    names = F.filter(_words(entity), lambda w: ~_stays(w) & ~w.rlike(r"^\s"))
     title = F.regexp_extract(entity, r"^([^.\s]+)", 1)
     given = F.when(title.isin(*FEMALE), "given_f").when(title.isin(*MALE), "given_m").otherwise("given")
     part = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
@@ -277,7 +276,9 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     held = scanned.where(F.size("__entities") > 0).withColumns({"__gaps": F.split(text, ALL, -1), "__row": F.monotonically_increasing_id()})
     held = written(held, "with-entities")
     found = held.select("__row", F.posexplode("__entities").alias("pos", "entity")).withColumn("kind", _kind(F.col("entity")))
-    parts = found.select("__row", "pos", "entity", F.col("kind").alias("whole"), F.posexplode(_parts(F.col("entity"), F.col("kind"))).alias("nth", "part"))
+    # The words of a name that are replaced are worked out once, which keeps the plan short.
+    found = found.withColumn("names", F.when(F.col("kind") == "name", F.filter(_words(F.col("entity")), lambda w: ~_stays(w) & ~w.rlike(r"^\s"))))
+    parts = found.select("__row", "pos", "entity", F.col("kind").alias("whole"), F.posexplode(_parts(F.col("entity"), F.col("kind"), F.col("names"))).alias("nth", "part"))
     parts = written(_one_gender(parts.select("__row", "pos", "entity", "whole", "nth", "part.*")), "entities")
     table = surrogate_table(parts.select("kind", "canon").distinct(), key)
     # A name that is both given and family name is, without a title, the family name.
