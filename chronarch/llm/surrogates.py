@@ -5,8 +5,8 @@ surrogate, made from a keyed digest, so it stays the same wherever the entity
 stands.  The table of surrogates is checked for two entities with one surrogate
 and for surrogates that are entities themselves; those are drawn again.
 
-Only documents with entities are shuffled, and of them only the entities; texts
-are put together where their parts meet.
+Entities alone are grouped by what they are.  The text of a document with entities
+goes through one shuffle, to where its surrogates are; the others through none.
 """
 
 from __future__ import annotations
@@ -105,10 +105,10 @@ def _stays(word: Column) -> Column:
     return word.isin(*PARTICLES) | word.rlike(rf"^{_INITIALS}$")
 
 
-def _pick(digest: Column, i: Column, letters: str) -> Column:
-    """The letter for place i that the digest's byte there chooses."""
+def _pick(digest: Column, i: Column, letters: Column) -> Column:
+    """The letter for place i that the digest's byte there chooses; null where letters is."""
     byte = F.conv(F.substring(digest, (i % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.substring(F.lit(letters), byte % len(letters) + 1, F.lit(1))
+    return F.substring(letters, byte % F.length(letters) + 1, F.lit(1))
 
 
 def _check_digits(kind: Column, text: Column) -> Column:
@@ -135,28 +135,28 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     odd, even = name_length - (name_length % 2) + 1, name_length + (name_length % 2)
     ending = F.coalesce(*[F.when(script == x, letter) for x, letter in ENDINGS.items()], F.lit(""))
     more = F.when(longer > 0, attempt.cast("string")).otherwise("")
+    spelled = F.coalesce(*[F.when(script == x, F.array(F.lit(some), F.lit(others))) for x, (some, others) in SCRIPTS.items()])
 
     def draw(told: Column) -> Column:
         """The surrogate; what holds for the whole entity is in ``told``, worked out once and not for each letter."""
-        pick = lambda i, letters: _pick(told["digest"], i, letters)
 
         def same_class(c: Column, i: Column) -> Column:
-            out = F.when(told["hexadecimal"] & c.rlike("[0-9a-f]"), pick(i, "0123456789abcdef")).when(told["hexadecimal"] & c.rlike("[A-F]"), pick(i, "0123456789ABCDEF"))
-            out = out.when(c.rlike("[0-9]"), pick(i, "0123456789")).when(c.rlike("[a-z]"), pick(i, "abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick(i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            letters = F.when(told["hexadecimal"] & c.rlike("[0-9a-f]"), "0123456789abcdef").when(told["hexadecimal"] & c.rlike("[A-F]"), "0123456789ABCDEF")
+            letters = letters.when(c.rlike("[0-9]"), "0123456789").when(c.rlike("[a-z]"), "abcdefghijklmnopqrstuvwxyz").when(c.rlike("[A-Z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
             for x, (some, others) in SCRIPTS.items():
-                out = out.when(c.rlike(rf"\p{{Is{x}}}"), pick(i, "àáâäçèéêëíîïñóôöùúûü" if x == "Latin" else "".join(dict.fromkeys(some + others))))
-            return out.otherwise(c)
-
-        def sound(i: Column) -> Column:
-            return F.coalesce(*[F.when(told["script"] == x, F.when(i % 2 == 0, pick(i, some)).otherwise(pick(i, others))) for x, (some, others) in SCRIPTS.items()])
+                letters = letters.when(c.rlike(rf"\p{{Is{x}}}"), "àáâäçèéêëíîïñóôöùúûü" if x == "Latin" else "".join(dict.fromkeys(some + others)))
+            return F.coalesce(_pick(told["digest"], i, letters), c)
 
+        sound = lambda i: _pick(told["digest"], i, told["spelled"][i % 2])
         alike = lambda text: F.array_join(F.transform(F.split(text, ""), same_class), "")
         spoken = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), sound), "")
-        host = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: _pick(told["domain"], i, "abcdefghijklmnopqrstuvwxyz")), "")  # one for all of a domain
+        host = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: _pick(told["domain"], i, F.lit("abcdefghijklmnopqrstuvwxyz"))), "")  # one for all of a domain
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(told["digest"], i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
-        whole = F.concat(stays, alike(F.substring(canon, F.length(stays) + 1, F.length(canon))))
+        mailbox = F.regexp_extract(canon, "^(.*)@", 1)
+        changed = alike(F.when(kind == "email", mailbox).otherwise(F.substring(canon, F.length(stays) + 1, F.length(canon))))
+        whole = F.concat(stays, changed)
         return (
-            F.when(kind == "email", F.concat(alike(F.regexp_extract(canon, "^(.*)@", 1)), more, F.lit("@"), host, F.lit(".example")))
+            F.when(kind == "email", F.concat(changed, more, F.lit("@"), host, F.lit(".example")))
             .when(kind == "ip", octets)
             .when(kind == "surname", spoken(even))
             .when(kind.isin("given_m", "given"), spoken(odd))
@@ -166,8 +166,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
         )
 
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.regexp_extract(canon, "@(.*)$", 1)), 512)
-    told = F.struct(digest.alias("digest"), domain.alias("domain"), hexadecimal.alias("hexadecimal"), script.alias("script"))
-    return _check_digits(kind, F.transform(F.array(told), draw)[0])
+    told = F.struct(digest.alias("digest"), domain.alias("domain"), hexadecimal.alias("hexadecimal"), spelled.alias("spelled"))
+    return F.transform(F.transform(F.array(told), draw), lambda text: _check_digits(kind, text))[0]
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
