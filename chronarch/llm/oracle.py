@@ -53,6 +53,24 @@ SELECT c.doc_id, c.n::BIGINT AS n_shingles, c.class_id, c.class_size::BIGINT AS
 FROM classed c LEFT JOIN least l ON l.a = c.class_id
 """
 
+
+
+def _address(t: str, s: str) -> str:
+    """The address that t means on the page s."""
+    own, root, path = f"regexp_extract({t}, '(?s)^[^?#]*')", f"regexp_extract({s}, '(?s)^.*?://[^/?#]*')", f"regexp_extract({s}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    whole = f"CASE WHEN {t} LIKE '/%' THEN {own} WHEN {path} = '' THEN '/' || {own} ELSE regexp_extract({path}, '(?s)^.*/') || {own} END"
+    steps = f"list_transform(string_split(substr({whole}, 2), '/'), lambda x: [x])"
+    folded = f"list_reduce({steps}, lambda a, x: CASE x[1] WHEN '..' THEN a[:len(a) - 1] WHEN '.' THEN a ELSE a || x END, []::VARCHAR[])"
+    last = f"CASE WHEN regexp_matches({own}, '(^|/)[.][.]?$') AND len({folded}) > 0 THEN '/' ELSE '' END"
+    return f"""CASE WHEN regexp_matches({t}, '^[^/?#]*://') THEN {t}
+    WHEN {t} LIKE '//%' THEN regexp_extract({s}, '(?s)^(.*?:)//', 1) || {t}
+    WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN {t} LIKE '#%' THEN regexp_extract({s}, '(?s)^[^#]*') || {t}
+    WHEN {t} LIKE '?%' THEN {root} || {path} || {t}
+    ELSE {root} || '/' || array_to_string({folded}, '/') || {last} || substr({t}, length({own}) + 1) END"""
+
+
+_TEXTUAL = "".join(rf"|<{e}(?:[\s/][^>]*)?>.*?(?:</{e}(?:[\s/][^>]*)?>|\z)" for e in ("script", "style", "textarea", "title"))
 URL_REDIRECTS = rf"""
 WITH RECURSIVE forms(p) AS (VALUES
   ('(?is)<link\b[^>]*?[\s\"'']rel\s*=\s*["'']?canonical\b[^>]*?[\s\"'']href\s*=\s*["'']?([^"''\s>]+)'),
@@ -60,10 +78,12 @@ WITH RECURSIVE forms(p) AS (VALUES
   ('(?is)<meta\b[^>]*?[\s\"'']http-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)'),
   ('(?is)<meta\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)[^>]*?[\s\"'']http-equiv\s*=\s*["'']?refresh\b')),
 rules(host, path, rule, verdict) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
-found AS (SELECT DISTINCT url, replace(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'), p, 1)), '&amp;', '&') AS t FROM pages, forms WHERE contains(url, '://')),
-linked AS (
-  SELECT url AS s, CASE WHEN contains(t, '://') THEN t WHEN t LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-    WHEN t LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS t FROM found),
+seen AS (SELECT DISTINCT url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z){_TEXTUAL}', '', 'g') AS h FROM pages WHERE contains(url, '://')),
+found AS (
+  SELECT DISTINCT url, replace(unnest(regexp_extract_all(h, p, 1)), '&amp;', '&') AS t,
+    replace(nullif(regexp_extract(h, '(?is)<base\b[^>]*?[\s\"'']href\s*=\s*["'']?([^"''\s>]+)', 1), ''), '&amp;', '&') AS base FROM seen, forms),
+based AS (SELECT url, t, coalesce(CASE WHEN base IS NOT NULL THEN {_address("base", "url")} END, url) AS b FROM found),
+linked AS (SELECT url AS s, {_address("t", "b")} AS t FROM based),
 ends AS (SELECT DISTINCT unnest([s, t]) AS u FROM linked WHERE t IS NOT NULL UNION SELECT url FROM pages WHERE url IS NOT NULL),
 node_of AS (
   SELECT u, {_LOWER.format("regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1)")} || substr(regexp_extract(u, '(?s)^([^#]*)', 1), length(regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1)) + 1) AS node FROM ends),

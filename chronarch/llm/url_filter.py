@@ -25,8 +25,12 @@ LINKS = (
     rf"(?is)<meta\b[^>]*?{AT}http-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)",
     rf"(?is)<meta\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?{AT}http-equiv\s*=\s*[\"']?refresh\b",
 )
-#: What a browser does not read.
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+#: Elements whose content is text to a browser (fixed values).
+TEXTUAL = ("script", "style", "textarea", "title")
+#: What a browser does not read as markup: comments and the content of those elements.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}(?:[\s/][^>]*)?>.*?(?:</{e}(?:[\s/][^>]*)?>|\z)" for e in TEXTUAL)
+#: The address that relative ones of the page are resolved by; the first counts.
+BASE = rf"(?is)<base\b[^>]*?{AT}href\s*=\s*[\"']?([^\"'\s>]+)"
 #: Where A-Z stand in a host, they are taken as a-z (fixed values).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,16 +93,18 @@ def resolved(target: Column, source: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(source, target) addresses of canonical links and redirects to absolute addresses and to those relative to the page."""
+    """(source, target) addresses of canonical links and redirects to absolute addresses and to those relative to the page or its base."""
     source = F.col(f"`{url_col}`")
     html = F.col(f"`{html_col}`")
-    seen = F.regexp_replace(html, COMMENT, "")
-    targets = F.concat(*[F.regexp_extract_all(seen, F.lit(p), F.lit(1)) for p in LINKS])
+    targets = F.concat(*[F.regexp_extract_all("seen", F.lit(p), F.lit(1)) for p in LINKS])
     # The cheap test comes first: most pages have neither.
     some = pages.where(source.contains("://") & html.rlike("(?i)canonical|http-equiv"))
-    links = some.select(source.alias("source"), F.explode(targets).alias("target"))
-    target = F.regexp_replace("target", "&amp;", "&")
-    target = resolved(target, F.col("source"))
+    links = some.select(source.alias("source"), F.regexp_replace(html, UNREAD, "").alias("seen"))
+    links = links.select("source", F.regexp_extract("seen", BASE, 1).alias("base"), F.explode(targets).alias("target"))
+    plain = lambda c: F.regexp_replace(c, "&amp;", "&")
+    base = F.when(F.col("base") != "", resolved(plain("base"), F.col("source")))
+    links = links.select("source", F.coalesce(base, "source").alias("base"), plain("target").alias("target"))
+    target = resolved(F.col("target"), F.col("base"))
     return links.select(url_node(F.col("source")).alias("source"), url_node(target).alias("target")).where("target IS NOT NULL AND source <> target").distinct()
 
 
@@ -112,7 +118,8 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
     verdict: that of the page's rule; without a rule, block if an alias has a rule
     that blocks it (whether or not the alias is among the pages), else allow.  A null
     url or one without :// has an empty host and path, no aliases and no rule.  Null
-    html and HTML comments have no links, and addresses without :// link nothing.  Pages with the same url are judged alike.  Input columns
+    html, HTML comments, scripts, styles, titles and text fields have no links, and addresses without :// link nothing.  Relative addresses
+    are resolved by the page's first base, where it has one.  Pages with the same url are judged alike.  Input columns
     named like a result are replaced.
     """
     prepare(pages.sparkSession)

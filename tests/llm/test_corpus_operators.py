@@ -505,10 +505,12 @@ def test_pages_equal_an_html_parser(spark):
     class Links(HTMLParser):
         def __init__(self):
             super().__init__()
-            self.found = []
+            self.found, self.base = [], None
 
         def handle_starttag(self, tag, attrs):
             a = dict(attrs)
+            if tag == "base" and self.base is None and a.get("href"):
+                self.base = a["href"]
             if tag == "link" and "canonical" in (a.get("rel") or "").lower().split() and a.get("href"):
                 self.found.append(a["href"])
             if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or "").lower():
@@ -522,6 +524,8 @@ def test_pages_equal_an_html_parser(spark):
         form = rng.choice([
             "<link rel='canonical' href='{0}'>", '<LINK href="{0}" data-x=1 rel="nofollow Canonical">', "<!-- <link rel=canonical href={0}> -->", '<meta http-equiv="refresh" content="0; url={0}">', "<link rel=canonical data-href='{0}' href='p7'>",
             "<link rel='alternate' href='{0}'>", "<link rel='shortlink canonical' href='../x/p3'>", "<p>canonical {0}</p>", "",
+            "<base target=_top><base href='{0}?q#f'><base href='http://h0.net/'><link rel=canonical href='../x/p3'>", "<link rel=canonical href=p4><BASE HREF=/de/>",
+            "<script type='a/b'>w('<link rel=canonical href={0}>')</script>", "<style>/* <link rel=canonical href={0}> */</style ><link rel=canonical href='p5'>", "<script>'<!--'</script><link rel=canonical href={0}>",
         ])
         rows.append((k, u, f"<html><head>{form.format(at)}</head></html>"))
     rules = [("net/", "block"), ("org/fr/", "allow")]
@@ -542,7 +546,7 @@ def test_pages_equal_an_html_parser(spark):
             page = Links()
             page.feed(html)
             for target in page.found:
-                parent[find(urljoin(u, target))] = find(u)
+                parent[find(urljoin(urljoin(u, page.base or ""), target))] = find(u)
     bad = {find(x) for x in list(parent) if own(x) == "block"}
     want = {k: (own(u) if u else None) or ("block" if u in parent and find(u) in bad else "allow") for k, u, _ in rows}
     got = {r["page_id"]: r["verdict"] for r in judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}

@@ -43,6 +43,9 @@ def edges(spark, tmp_path_factory):
         (1, "http://a.net/", html.format('<link rel="canonical" href="https://ok.com/x">')), (2, "https://ok.com/x", None), (3, "HTTPS://OK.com/x#top", ""),
         (4, "http://b.org/fr/1", html.format('<meta http-equiv="refresh" content="0; url=http://a.net/">')), (5, "http://b.org/en/1", html.format("<link href='//ok.com/x' rel='canonical'>")),
         (6, None, html), (7, "no address", html), (8, "http://www.Example.NET/en/5?q", html), (9, "http://example.net/de/5", html), (10, "http://sub.example.com/de/", html), (10, "http://sub.example.com/de/", html),
+        (11, "http://c.com/x/y", html.format("<base href='http://example.com/de/f?q'><link rel='canonical' href='z'>")), (12, "http://d.com/", html.format("<script>'<link rel=canonical href=http://a.net/>'</script>")),
+        (13, "http://e.com/de/x/", html.format("<link rel='canonical' href='../../en/./f/..'>")), (14, "http://e.com/en/", html.format("<base href='//f.net'><link href='?a' rel='canonical'>")),
+        (15, "http://g.com", html.format("<link rel='canonical' href='/../h'>")), (16, "http://g.com/h", html.format("<link rel='canonical' href='mailto:x@a.net'>")), (17, "http://g.com/h?z", html.format("<title><link rel='canonical' href='http://a.net/'></title>")),
     ]
     os.remove(f"{at}/pages.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
