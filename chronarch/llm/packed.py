@@ -5,6 +5,9 @@ of many owners that fall into one bucket into one row, so that a value costs abo
 as many bytes as it has.  Of a value that a task meets twice, only one mark is
 sent, which counts as two: a value that a third of all owners hold reaches its
 bucket once for each batch.  What is found goes back to the owners packed alike.
+
+A Python worker holds one bucket at a time.  There are as many as keep it at some
+``MOST_VALUES`` values, whatever the number of shuffle partitions is.
 """
 
 from __future__ import annotations
@@ -14,9 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronarch.llm.tables import buckets
 
+#: Values of a bucket, about: some 300 MB while they are compared.
+MOST_VALUES = 1 << 21
+
 PACKED = "bucket int, known boolean, owners binary, counts binary, places binary, found binary"
 FOUND = "owner long, places binary"
 
@@ -46,8 +53,9 @@ def repeated(rows: DataFrame) -> DataFrame:
     of its values that occur at least twice among all rows, twice in one row included.  Owners without such
     values have no row; an owner may stand in several rows, whose places then count in each row from 0.
     """
-    # Few groups for each partition: every group sends a row to every other one, so the rows grow with the square.
-    n = buckets(rows.sparkSession, 2)
+    # Few groups for each partition: every batch sends a row to each group.  More where a group would have too many values.
+    total = rows.agg(F.sum(F.octet_length("values").cast("long"))).first()[0] or 0
+    n = max(buckets(rows.sparkSession, 2), -(-total // (8 * MOST_VALUES)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
