@@ -16,7 +16,9 @@ Documents with equal sets are one class and take part once.  Where many classes
 share a token, each is first compared with a few leaders, other ones in each round.
 Classes that this joins into one component are not compared with each other again;
 all other pairs are, across components, so the components are exact, and a group of
-thousands of near copies does not cost all the pairs within it.
+thousands of near copies does not cost all the pairs within it.  A round whose
+comparisons with leaders would be more than all those that are left is not run, and
+none follows a round that finds no link.
 """
 
 from __future__ import annotations
@@ -188,6 +190,18 @@ def _candidates(left: DataFrame, rows: DataFrame, percent: int, all_pairs: bool)
     return pairs if all_pairs else pairs.distinct()
 
 
+def _few_left(rows: DataFrame) -> bool:
+    """Whether all pairs across components that rows outside each token's largest one make are fewer than those of all rows with leaders."""
+    tokens = rows.groupBy("token").agg(F.count("*").alias("many"), F.count_if("outside").alias("outside"))
+    reads, most = tokens.agg(F.sum(F.col("many") * F.col("outside").cast("double")), F.sum(F.col("many") * LEADERS)).first()
+    return not reads or reads <= most
+
+
+def _joined(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) with new links (a, b): those found before stand for the links that made them."""
+    return connected_components(links if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def _all_links(postings: DataFrame, joined: DataFrame | None, texts: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of classes of different components: of each token, rows outside its largest component look for partners."""
     rows, base = _across(postings, joined, scratch)
@@ -253,7 +267,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _texts(docs, id_col, text_col)
     signed, classes, postings = _prepared(texts, size, percent, scratch)
 
-    links = joined = None
+    joined = None
     crowds = postings.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD)
     crowds = scratch.written(postings.join(crowds, "token").drop("many"), "crowds")
     if not crowds.isEmpty():
@@ -261,20 +275,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         crowds = scratch.written(crowds.join(central, "node"), "crowds")
         for k in range(ROUNDS):
             rows, base = _across(crowds, joined, scratch)
+            if _few_left(rows):
+                scratch.drop(base)
+                break
             # A text from which others are copied shares more tokens than its copies, whose rarest are their own.
             order = [F.xxhash64("node", F.lit(k)), F.col("node")]
             first = Window.partitionBy("token").orderBy(*([F.desc("central")] if k % 2 == 0 else []), *order)
             leaders = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= LEADERS).drop("rank")
             pairs = scratch.written(_candidates(leaders, rows, percent, all_pairs=False), "candidates")
             scratch.drop(base)
-            found = _verified(pairs, texts, classes, size, percent)
-            before, links = links, scratch.written(found if links is None else links.union(found), "links")
-            scratch.drop(pairs, *([before] if before is not None else []))
-            joined = connected_components(links)
+            found = scratch.written(_verified(pairs, texts, classes, size, percent), "links")
+            scratch.drop(pairs)
+            none = found.isEmpty()
+            joined = joined if none else _joined(joined, found)
+            scratch.drop(found)
+            if none:
+                break
     scratch.drop(crowds)
 
-    more = _all_links(postings, joined, texts, classes, size, percent, scratch)
-    components = connected_components(more if links is None else links.union(more))
+    components = _joined(joined, _all_links(postings, joined, texts, classes, size, percent, scratch))
     named = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "component").select("node", "class_id", "class_size", "component_id", "component")
