@@ -197,6 +197,66 @@ def test_neighbours_of_many_blocks_equal_brute_force():
         assert np.allclose(what[: toxicity.NEAREST], np.sort(dense[:, at] @ w)[::-1][: toxicity.NEAREST], atol=1e-5)
 
 
+def test_toxic_inflections_are_found(spark):
+    """Words in forms that no example has are told by their beginnings, in texts that share all else with the others."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("ba", "ké", "lu", "mi", "so") for b in ("dan", "fel", "göm", "rip", "tus", "vez")]
+    rows = []
+    for k in range(480):
+        text = [rng.choice(words) for _ in range(40)]
+        if k % 8 == 0:
+            text[20] = f"Grünb{k}"  # no form stands in two texts
+        rows.append((k, " ".join(text), int(k % 8 == 0)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in score_toxicity(docs, labels, F.col("doc_id") % 3 != 0).collect()}
+    held = [(got[k], y) for k, _, y in rows if k % 3 == 0]
+    assert sum(y for _, y in held) == 20 and all(r["predicted"] == y for r, y in held)
+    assert min(r["score"] for r, y in held if y) > max(r["score"] for r, y in held if not y)
+
+
+def test_beginnings_are_of_characters():
+    import numpy as np
+    import pyarrow as pa
+
+    from chronarch.llm.toxicity import STEMS, term_counts
+
+    texts = ["Réeuxé réeuxan, ab Abc", None, "", "日本語の文 ré réE réeux", "idiot idiots IDIOTIC a"]
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
+    want = [{} for _ in texts]
+    for words, n in zip(split, want):
+        for term in [("word", w) for w in words] + [(k, w[:k]) for w in words for k in STEMS if len(w) >= k]:
+            n[term] = n.get(term, 0) + 1
+    got = list(term_counts(pa.array(texts)))
+    assert [sorted(c.tolist()) for _, c in got] == [sorted(n.values()) for n in want]
+    shared = lambda a, b: len(np.intersect1d(got[a][0], got[b][0]))
+    assert shared(0, 3) == len(want[0].keys() & want[3].keys()) == 3 and shared(3, 4) == 0
+    plain = list(term_counts(pa.array(texts), np.zeros(0, np.uint64)))
+    some = list(term_counts(pa.array(texts), np.intersect1d(got[0][0], got[3][0])))
+    assert [len(t) for t, _ in plain] == [len(set(w)) for w in split]
+    assert [len(t) for t, _ in some] == [len(p[0]) + sum(k in want[0].keys() & want[3].keys() for k in n) for p, n in zip(plain, want)]
+
+
+def test_telling_terms_equal_brute_force(spark):
+    from math import log
+
+    from chronarch.llm import toxicity
+
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(("alpha", "betas", "gamma", "delta", "kappa")) for _ in range(6)) + (f" toxin{k}" if k % 5 == 0 or k == 7 else ""), int(k % 5 == 0)) for k in range(200)]
+    terms, lean = toxicity.telling_terms(spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3))
+    n, ones, want = 200, 40, {}
+    for term in {(0, w) for _, t, _ in rows for w in t.split()} | {(k, w[:k]) for _, t, _ in rows for w in t.split() for k in toxicity.STEMS}:
+        has = [y for _, t, y in rows if any(w == term[1] if not term[0] else w[: term[0]] == term[1] and len(w) >= term[0] for w in t.split())]
+        a, t = sum(has), len(has)
+        cells = [(a, t * ones), (t - a, t * (n - ones)), (ones - a, (n - t) * ones), (n - ones - t + a, (n - t) * (n - ones))]
+        if 2 * sum(x * log(x * n / e) for x, e in cells if x) >= toxicity.TELLING:
+            want[term] = abs(log((a + 0.5) / 41 / ((t - a + 0.5) / 161)))
+    assert {t[1] for t in want} == {"tox", "toxi", "toxin", "toxin1"} and len(terms) == 4 and list(terms) == sorted(terms)
+    assert max(abs(x - y) for x, y in zip(sorted(lean), sorted(want.values()))) < 1e-9
+    assert len(toxicity.telling_terms(spark.createDataFrame([], "doc_id long, text string, y int"))[0]) == 0
+
+
 def test_samples_are_bounded(spark):
     from chronarch.llm.toxicity import labelled_sample
 
